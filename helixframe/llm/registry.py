@@ -6,15 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, packing, pieces, repetition, sharding
+from . import language, neighbours, packing, personal, pieces, repetition, resampling, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        toxicity.op1_subsequence_kernel,
         sharding.op2_weighted_hash_tree,
         language.op3_partial_matching,
+        personal.op4_semi_markov_field,
+        neighbours.op6_one_bit_codes,
         packing.op7_large_item_matching,
         repetition.op8_suffix_repetition,
+        resampling.op9_importance_resampling,
         pieces.op10_offset_pieces,
     )
 }
