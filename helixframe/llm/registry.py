@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, neighbours, packing, personal, pieces, repetition, resampling, sharding, toxicity
+from . import language, neighbours, packing, personal, pieces, repetition, resampling, sharding, similarity, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         sharding.op2_weighted_hash_tree,
         language.op3_partial_matching,
         personal.op4_semi_markov_field,
+        similarity.op5_chosen_paths,
         neighbours.op6_one_bit_codes,
         packing.op7_large_item_matching,
         repetition.op8_suffix_repetition,
