@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import itertools
 import unicodedata
+from collections import defaultdict
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import map_texts, table
 
 LENGTH, SPAN, DECAY = 4, 6, 0.5
-LANDMARKS, TOXIC, CLEAN, ROUNDS = 360, 1_600, 2_400, 4
+LANDMARKS, TOXIC, CLEAN, ROUNDS = 360, 1_400, 2_000, 4
 #: Digits read as letters (fixed values).
 IMITATED = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t"}
 _DROP, _TOP = 255, 0x3000
@@ -137,6 +138,20 @@ def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return np.concatenate(rows), np.concatenate(codes), np.concatenate(values)
 
 
+def _in_steps(words: list[str], step: int = 4000):
+    for a in range(0, len(words), step):
+        yield a, word_features(words[a : a + step])
+
+
+def _values(words: list[str], table: np.ndarray) -> np.ndarray:
+    """Sum of the table over each word's subsequences."""
+    out = np.zeros(len(words))
+    for a, (row, code, value) in _in_steps(words):
+        n = min(4000, len(words) - a)
+        out[a : a + n] = np.bincount(row, weights=value * table[code], minlength=n)
+    return out
+
+
 def svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, steps: int = 25) -> tuple[np.ndarray, float]:
     """Weights and bias of least |w|^2 / 2 + sum cost * max(0, 1 - y f)^2, by Newton steps."""
     x1 = np.c_[x, np.ones(len(x))]
@@ -214,19 +229,24 @@ def train(texts: list[str], toxic: list[bool], rounds: int = ROUNDS, landmarks:
         return Machine()
     use, rest = order[own], order[~own] if (~own).any() else order[own]
     y = label[use]
-    signs, at, text = stream([texts[i] for i in use])
-    spelled = np.array(_spell(signs, at))
-    words, word = np.unique(spelled, return_inverse=True)
-    pairs = np.unique(text.astype(np.int64) * len(words) + word)
-    text, word = pairs // len(words), pairs % len(words)  # each word once a text
+    number: dict = defaultdict(itertools.count().__next__)
+    pairs = []
+    for k, i in enumerate(use):  # each word once a text
+        signs, at, _ = stream([texts[i]])
+        of = np.unique(np.fromiter(map(number.__getitem__, _spell(signs, at)), np.int64, len(at)))
+        pairs.append(np.stack([np.full(len(of), k), of]))
+    words = list(number)
+    text, word = np.concatenate(pairs, axis=1)
     in_toxic = np.bincount(word[y[text]], minlength=len(words))
     in_clean = np.bincount(word[~y[text]], minlength=len(words))
-    # first guess: log odds of plain subsequences by the texts that hold them
-    row, code, value = word_features(list(words))
+    # first guess: log odds of plain subsequences by the words that hold them
     share = lambda n, total: np.log((n + 0.5) / (total + 1.0))
-    whole = np.bincount(code, weights=in_toxic[row] > 0, minlength=1 << 20), np.bincount(code, weights=in_clean[row] > 0, minlength=1 << 20)
-    odds = (share(whole[0], (in_toxic > 0).sum()) - share(whole[1], (in_clean > 0).sum())).astype(np.float32)
-    guess = np.bincount(row, weights=value * odds[code], minlength=len(words))
+    holds = np.zeros((2, 1 << 20))
+    for a, (row, code, _) in _in_steps(words):
+        for k, seen in enumerate((in_toxic, in_clean)):
+            holds[k] += np.bincount(code, weights=seen[a + row] > 0, minlength=1 << 20)
+    odds = (share(holds[0], (in_toxic > 0).sum()) - share(holds[1], (in_clean > 0).sum())).astype(np.float32)
+    guess = _values(words, odds)
     guess += 0.5 * (share(in_toxic, y.sum()) - share(in_clean, (~y).sum())) * (in_toxic > 1)
     rng = np.random.default_rng(3)
     against = np.flatnonzero(in_clean > 0)
@@ -253,10 +273,10 @@ def train(texts: list[str], toxic: list[bool], rounds: int = ROUNDS, landmarks:
         near = no[np.argsort(-guess[no] * np.sqrt(in_clean[no]) * (guess[no] > -0.5), kind="stable")[: landmarks // 3]]
         marks = np.r_[for_[np.argsort(-in_toxic[for_], kind="stable")[: landmarks // 2]], near, rng.choice(no, min(len(no), landmarks // 6), replace=False)]
         marks = np.unique(marks)
-        machine, bias = nystroem(list(words[train_words]), sign, share_of, list(words[marks]))
-        guess = np.bincount(row, weights=value * machine[code], minlength=len(words)) + bias
-    found, t = word_scores([texts[i] for i in rest], machine, bias)
-    x, z = _gathered(found, t, len(rest)), label[rest].astype(float)
+        machine, bias = nystroem([words[i] for i in train_words], sign, share_of, [words[i] for i in marks])
+        guess = _values(words, machine) + bias
+    x = np.concatenate([_gathered(*word_scores([texts[i]], machine, bias), 1) for i in rest])
+    z = label[rest].astype(float)
     link = logistic(x, z)
     if link[0] < 0:  # a higher highest word never makes a text less toxic
         link = np.r_[0.0, logistic(x[:, 1:], z)]
