@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+from ..sources.ontology import Ontology
 from .dialect import Duck
 from .synth import lines_sql
 
@@ -33,7 +34,7 @@ VIEWS: dict[str, str] = {
                    CASE WHEN instr(part, '=') > 0 THEN substr(part, instr(part, '=') + 1) ELSE '' END AS value
             FROM (SELECT file, line_no, gen, len(x) AS n_parts, unnest(range(0, len(x))) AS pos, unnest(x) AS part
                   FROM (SELECT *, string_split(attrs, ';') AS x FROM feat WHERE attrs <> '.') w) y) z""",
-    "item": "SELECT file, line_no, tag, unnest(string_split(value, ',')) AS item FROM part WHERE nth = 1 AND tag IN ('Dbxref', 'Ontology_term')",
+    "item": "SELECT file, line_no, tag, item, url_decode(item) AS decoded FROM (SELECT file, line_no, tag, unnest(string_split(value, ',')) AS item FROM part WHERE nth = 1 AND tag IN ('Dbxref', 'Ontology_term')) y",
     "tagged": """
       SELECT file, line_no, max(CASE WHEN tag = 'ID' AND value <> '' THEN url_decode(value) END) AS id, max(CASE WHEN tag = 'Parent' THEN value END) AS parents,
              max(CASE WHEN tag = 'Derives_from' THEN value END) AS derives, bool_or(tag = 'Is_circular' AND value = 'true') AS circular
@@ -72,10 +73,26 @@ VIEWS: dict[str, str] = {
       FROM node WHERE seqid NOT IN ('', '.') GROUP BY file, seqid""",
     "seq_name": "SELECT file, seqid, url_decode(seqid) AS decoded FROM seq",
     "circle": "SELECT file, seqid, circular_gen, circle_st, circle_en FROM seq",
-    "cds_type": "SELECT unnest(['CDS', 'SO:0000316']) AS type",
+    "tag_value": "SELECT file, line_no, tag, url_decode(value) AS decoded FROM part WHERE nth = 1",
+    "typ": """
+      SELECT t.type, t.value, t.exact, t.near_n, t.term, coalesce(NOT s.obsolete, FALSE) AS current, coalesce(s.is_feature, FALSE) AS is_feature, coalesce(s.in_subset, FALSE) AS in_subset,
+             coalesce(s.is_cds, FALSE) AS is_cds, coalesce(s.is_exon, FALSE) AS is_exon, coalesce(s.is_recoded, FALSE) AS is_recoded, coalesce(s.is_polypeptide, FALSE) AS is_polypeptide
+      FROM (SELECT y.type, y.value, e.term AS exact, coalesce(n.near_n, 0) AS near_n, coalesce(e.term, CASE WHEN n.near_n = 1 AND lower(y.value) NOT LIKE 'so:%' THEN n.near END) AS term
+            FROM (SELECT DISTINCT type, url_decode(type) AS value FROM feat WHERE type NOT IN ('', '.')) y LEFT JOIN so_exact e ON e.value = y.value
+            LEFT JOIN (SELECT folded, count(*) AS near_n, min(term) AS near FROM so_near GROUP BY folded) n ON n.folded = lower(y.value)) t
+      LEFT JOIN so_term s ON s.term = t.term""",
 }
 
 
+def _literal(x: object) -> str:
+    return str(x).upper() if isinstance(x, bool) else f"'{x}'"
+
+
+for _name, (_schema, _rows) in Ontology().rows().items():
+    _columns = ", ".join(c.split()[0] for c in _schema.split(", "))
+    VIEWS[_name] = f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(_literal, r)) + ')' for r in _rows)}) v({_columns})"
+
+
 def with_views(query: str) -> str:
     """A complete statement: the query over ``@view`` names, led by the views that it needs."""
     needed: list[str] = []

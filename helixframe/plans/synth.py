@@ -17,7 +17,7 @@ _DEFECTS = [
     "''", "';'", "';;Note=x'", "';bare'", "';=v'", "';Note=a&b'", "';Foo=1'", "';parent=x'", "';Note=\"q\"'", "';Name=a,b'",
     "concat(';Target=EST1 1 ', CAST(k % 40 + 1 AS STRING))", "';Target=EST1 0 5 +'", "';Gap=M8 X3;Target=e 1 5'", "';Gap=M3 D2'",
     "';Gap=M8 D3 M6 I1 M6;Target=EST23 1 21'", "';Dbxref=EMBL:AA1,bad;Ontology_term=GO:0046703'", "concat(';Is_circular=', CASE WHEN k % 3 = 0 THEN 'true' ELSE 'yes' END)",
-    "';Note=%41x'", "';Target=E%20S 1 2'", "';ID=again'", "concat(';Parent=', parent)",
+    "';Note=%41x'", "';Target=E%20S 1 2'", "';ID=again'", "';Ontology_term=SO:0000704,SO:12,SO:9999999,GO:0000001'", "';so_term_name=mRNA'", "';Target=e  1 5 +'", "concat(';Parent=', parent)",
 ]
 
 
@@ -28,14 +28,15 @@ def lines_sql(d: Spark) -> str:
     extra = extra.replace(_DEFECTS[-1], "CASE WHEN parent IS NULL THEN ';Note=y' ELSE concat(';Parent=', parent) END")
     start = "CASE h % 79 WHEN 0 THEN '12a' WHEN 1 THEN '0' WHEN 2 THEN CAST(en + 5 AS STRING) ELSE CAST(st AS STRING) END"
     columns = [
-        "CASE WHEN h % 211 = 0 THEN 'chr 1' WHEN h % 223 = 0 THEN 'chr%31' ELSE seqid END",
+        "CASE WHEN h % 211 = 0 THEN 'chr 1' WHEN h % 223 = 0 THEN 'chr%31' WHEN h % 227 = 0 THEN 'chr1,chr2' ELSE seqid END",
         f"CASE h % 83 WHEN 0 THEN concat('a', {d.chr(1)}, 'b') WHEN 1 THEN 'so%zz' WHEN 2 THEN 'so%41' ELSE 'src' END",
-        "CASE h % 73 WHEN 0 THEN '.' WHEN 1 THEN '' ELSE type END",
+        "CASE h % 73 WHEN 0 THEN '.' WHEN 1 THEN '' WHEN 2 THEN 'SO:704' WHEN 3 THEN 'SO:9999999' WHEN 4 THEN 'GENE' WHEN 5 THEN 'protein_coding_transcript' WHEN 6 THEN 'RNA_polymerase_promoter' "
+        "WHEN 7 THEN 'coding_sequence_variant' WHEN 8 THEN 'CDS_predicted' WHEN 9 THEN 'polypeptide' WHEN 10 THEN 'oddity' WHEN 11 THEN 'exon' ELSE type END",
         start,
         "CAST(en AS STRING)",
         "CASE h % 61 WHEN 0 THEN '1e' WHEN 1 THEN '.5E-3' ELSE '.' END",
         "CASE WHEN h % 67 = 0 THEN 'x' ELSE strand END",
-        "CASE WHEN h % 71 = 0 THEN '3' ELSE phase END",
+        "CASE h % 71 WHEN 0 THEN '3' WHEN 1 THEN '.' ELSE phase END",
     ]
     first8 = f", {tab}, ".join(columns)
     attrs = f"""CASE WHEN h % 107 = 0 THEN '.' ELSE concat('ID=', CASE WHEN h % 53 = 0 THEN replace(id, 'f', '%66') ELSE id END,
@@ -46,7 +47,8 @@ def lines_sql(d: Spark) -> str:
         (1, "CASE WHEN f % 5 = 2 THEN '##gff-version 2' ELSE '##gff-version 3.1.26' END"),
         (2, "CASE WHEN f % 2 = 0 THEN '##species NCBITaxon:9606' ELSE '##species https://www.ncbi.nlm.nih.gov/Taxonomy/Browser/wwwtax.cgi?id=9606' END"),
         (3, "'##genome-build NCBI'"), (4, "'##feature-ontology http://purl.obolibrary.org/obo/so.obo'"), (5, "'##made-up 1'"),
-        (6, "CASE WHEN f % 3 = 0 THEN '##gff-version 3' ELSE '# plain' END"), (7, "'##sequence-region chr1 10'"), (8, "'##sequence-region chr2 0 10'"), (9, "''"),
+        (6, "CASE WHEN f % 3 = 0 THEN '##gff-version 3' ELSE '# plain' END"), (42, "CASE WHEN f % 2 = 0 THEN '##Score name=x;min=0;max=1e3;best=lower' ELSE '##score name=x;min=a;max=1' END"), (43, "'##source-ontology http://example.org/x'"),
+        (7, "'##sequence-region chr1 10'"), (8, "'##sequence-region chr2 0 10'"), (9, "''"),
         *[(10 + c, f"concat('##sequence-region chr{c} ', CAST(f * 1000000 + 3000 AS STRING), ' ', CAST(f * 1000000 + {990 if c % 2 else 700}000 AS STRING))") for c in range(20)],
         (40, "'##sequence-region chr3 1 5'"), (41, "'#~ provenance'"),
         (70000, "CASE WHEN f % 4 = 1 THEN '# end' ELSE '##FASTA' END"), (70001, "'>chr0 first'"), (70002, "'ACGTACGTAC'"), (70003, "'  GGTT '"), (70004, "'>chr1'"), (70005, "'>chr0'"),

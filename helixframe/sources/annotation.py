@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import percent_decode
 from .lines import running_count
+from .ontology import Ontology
 
 COLUMNS = ("seqid", "source", "type", "s", "e", "score", "strand", "phase", "attrs")
 _SPACE = r"[\s\x1c-\x1f\x85\xa0　]+"
@@ -24,15 +25,16 @@ class Annotation:
     ``keep(df, name)`` may write or persist those that many rules read.
     """
 
-    def __init__(self, lines: DataFrame, keep: Callable[[DataFrame, str], DataFrame] | None = None):
+    def __init__(self, lines: DataFrame, keep: Callable[[DataFrame, str], DataFrame] | None = None, ontology: Ontology | None = None):
         have = set(lines.columns)
         self._lines = lines if "valid_utf8" in have else lines.withColumn("valid_utf8", F.lit(True))
-        self.keep = keep
+        self.keep, self.ontology = keep, ontology or Ontology()
+        self._terms: dict[str, DataFrame] | None = None
         self._kept: dict[str, DataFrame] = {}
 
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self._kept:
-            made = getattr(self, f"_{name}")()
+            made = self._so(name) if name.startswith("so_") or name == "cds_type" else getattr(self, f"_{name}")()
             self._kept[name] = self.keep(made, name) if self.keep and name in ("line", "feat", "part", "node") else made
         return self._kept[name]
 
@@ -170,7 +172,7 @@ class Annotation:
     def _item(self) -> DataFrame:
         """Items of the tags that hold cross-references."""
         rows = self["part"].filter("nth = 1 and tag in ('Dbxref', 'Ontology_term')")
-        return rows.select("file", "line_no", "tag", F.explode(F.split("value", ",", -1)).alias("item"))
+        return rows.select("file", "line_no", "tag", F.explode(F.split("value", ",", -1)).alias("item")).withColumn("decoded", percent_decode(F.col("item")))
 
     def _seq_name(self) -> DataFrame:
         return self["seq"].select("file", "seqid", percent_decode(F.col("seqid")).alias("decoded"))
@@ -178,8 +180,22 @@ class Annotation:
     def _circle(self) -> DataFrame:
         return self["seq"].select("file", "seqid", "circular_gen", F.col("circle.st").alias("circle_st"), F.col("circle.en").alias("circle_en"))
 
-    def _cds_type(self) -> DataFrame:
-        return self._lines.sparkSession.createDataFrame([(t,) for t in sorted(self.cds_types)], "type string")
-
-    #: Types that need a phase: the term itself by label and accession, and its subtypes where an ontology is given.
-    cds_types: frozenset[str] = frozenset(("CDS", "SO:0000316"))
+    def _typ(self) -> DataFrame:
+        """Distinct types with the term each one names, and what the ontology says of it."""
+        df = self["feat"].select("type").filter("type not in ('', '.')").distinct().withColumn("value", percent_decode(F.col("type")))
+        near = self["so_near"].groupBy("folded").agg(F.count(F.lit(1)).alias("near_n"), F.min_by("term", F.struct("obsolete", "term")).alias("near"))
+        df = df.join(F.broadcast(self["so_exact"].withColumnRenamed("term", "exact")), "value", "left").join(F.broadcast(near), F.lower("value") == F.col("folded"), "left").drop("folded")
+        own = (F.col("near_n") == 1) & ~F.lower("value").startswith("so:")
+        df = df.na.fill({"near_n": 0}).withColumn("term", F.coalesce("exact", F.when(own, F.col("near"))))
+        df = df.join(F.broadcast(self["so_term"]), "term", "left")
+        flags = [F.coalesce(F.col(c), F.lit(False)).alias(c) for c in ("is_feature", "in_subset", "is_cds", "is_exon", "is_recoded", "is_polypeptide")]
+        return df.select("type", "value", "exact", "near_n", "term", F.coalesce(~F.col("obsolete"), F.lit(False)).alias("current"), *flags)
+
+    def _tag_value(self) -> DataFrame:
+        """The first value of each tag of a row, decoded."""
+        return self["part"].filter("nth = 1").select("file", "line_no", "tag", percent_decode(F.col("value")).alias("decoded"))
+
+    def _so(self, name: str) -> DataFrame:
+        if self._terms is None:
+            self._terms = self.ontology.frames(self._lines.sparkSession)
+        return self._terms[name]
