@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import re
 
+from ..functions import genetic_code
 from ..sources.ontology import Ontology
 from .dialect import Duck
-from .synth import lines_sql
+from .synth import genome_sql, lines_sql
 
 _SPACE = r"[\s\x1c-\x1f\x{85}\x{a0}\x{3000}]+"
 
@@ -44,7 +45,7 @@ VIEWS: dict[str, str] = {
         SELECT file, line_no, 'P' AS rel, unnest(range(0, len(string_split(parents, ',')))) AS ord, unnest(string_split(parents, ',')) AS v FROM tagged WHERE parents IS NOT NULL
         UNION ALL SELECT file, line_no, 'D', unnest(range(0, len(string_split(derives, ',')))), unnest(string_split(derives, ',')) FROM tagged WHERE derives IS NOT NULL) y WHERE v <> ''""",
     "node": """
-      SELECT f.file, f.line_no, f.gen, f.seqid, f.type, f.strand, f.st, f.en, t.id, coalesce(t.circular, FALSE) AS circular, coalesce(p.parent_set, '') AS parent_set
+      SELECT f.file, f.line_no, f.gen, f.seqid, f.type, f.strand, f.phase, f.st, f.en, t.id, coalesce(t.circular, FALSE) AS circular, coalesce(p.parent_set, '') AS parent_set
       FROM feat f LEFT JOIN tagged t ON t.file = f.file AND t.line_no = f.line_no
       LEFT JOIN (SELECT file, line_no, string_agg(target, chr(1) ORDER BY target) AS parent_set FROM (SELECT DISTINCT file, line_no, target FROM reference WHERE rel = 'P') u GROUP BY file, line_no) p
         ON p.file = f.file AND p.line_no = f.line_no""",
@@ -73,6 +74,44 @@ VIEWS: dict[str, str] = {
       FROM node WHERE seqid NOT IN ('', '.') GROUP BY file, seqid""",
     "seq_name": "SELECT file, seqid, url_decode(seqid) AS decoded FROM seq",
     "circle": "SELECT file, seqid, circular_gen, circle_st, circle_en FROM seq",
+    "genome_block": genome_sql(Duck()),
+    "genome": "SELECT name, max(start0 + length(bases)) AS length FROM genome_block GROUP BY name",
+    "exon_type": "SELECT e.value AS type FROM so_exact e JOIN so_term t ON t.term = e.term WHERE t.is_exon UNION SELECT 'exon'",
+    "parent_list": "SELECT file, line_no, string_agg(target, ',' ORDER BY ord) AS plist FROM reference WHERE rel = 'P' GROUP BY file, line_no",
+    "partial": "SELECT DISTINCT file, line_no FROM part WHERE nth = 1 AND tag = 'start_range'",
+    "cds": """
+      SELECT n.file, n.gen, CASE WHEN n.id IS NOT NULL THEN concat('I', n.id) WHEN p.plist IS NOT NULL THEN concat('P', p.plist) ELSE concat('L', CAST(n.line_no AS STRING)) END AS key,
+             n.line_no, n.seqid, n.strand, CASE WHEN n.phase IN ('0', '1', '2') THEN CAST(n.phase AS BIGINT) ELSE -1 END AS ph, n.st, n.en,
+             m.file IS NOT NULL AND n.strand = '+' AS p5, m.file IS NOT NULL AND n.strand <> '+' AS p3
+      FROM node n JOIN cds_type t ON t.type = n.type LEFT JOIN parent_list p ON p.file = n.file AND p.line_no = n.line_no
+      LEFT JOIN partial m ON m.file = n.file AND m.line_no = n.line_no WHERE n.st IS NOT NULL""",
+    "chain_parent": """
+      SELECT c.file, c.gen, c.key, r.ord, r.target FROM (SELECT file, gen, key, min(line_no) AS line_no FROM cds GROUP BY file, gen, key) c
+      JOIN reference r ON r.file = c.file AND r.line_no = c.line_no AND r.rel = 'P'""",
+    "ranked_cds": """
+      SELECT c.*, row_number() OVER (PARTITION BY file, gen, key ORDER BY CASE WHEN strand = '+' THEN st ELSE -en END, CASE WHEN strand = '+' THEN en ELSE 0 END, CASE WHEN strand = '+' THEN ph ELSE 0 END, line_no) AS rn FROM cds c""",
+    "chain": """
+      SELECT p.*, total - ph0 AS len, coalesce(a.name, b.name) AS name, coalesce(max_en <= coalesce(a.length, b.length), FALSE) AS in_genome
+      FROM (SELECT file, gen, key, arg_min(seqid, line_no) AS seqid, count(DISTINCT concat(seqid, chr(9), strand)) = 1 AND min(strand) IN ('+', '-') AND min(ph) >= 0 AS ok,
+                   sum(en - st + 1) AS total, bool_or(p5) AS p5, bool_or(p3) AS p3, max(en) AS max_en, arg_min(ph, rn) AS ph0 FROM ranked_cds GROUP BY file, gen, key) p
+      LEFT JOIN genome a ON a.name = p.seqid LEFT JOIN genome b ON b.name = url_decode(p.seqid)""",
+    "seg": """
+      SELECT c.file, c.gen, c.key, c.line_no, c.seqid, c.strand, c.ph, h.ph0, c.st, c.en, c.rn,
+             coalesce(sum(c.en - c.st + 1) OVER (PARTITION BY c.file, c.gen, c.key ORDER BY c.rn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+      FROM ranked_cds c JOIN chain h ON h.file = c.file AND h.gen = c.gen AND h.key = c.key WHERE h.ok""",
+    "exception": "SELECT file, line_no, regexp_extract(decoded, 'pos:([0-9]+)[.][.]([0-9]+),', 1) AS low, regexp_extract(decoded, 'pos:([0-9]+)[.][.]([0-9]+),', 2) AS high FROM tag_value WHERE tag = 'transl_except'",
+    "recoded": "SELECT DISTINCT c.file, c.gen, c.key, CAST(e.low AS BIGINT) AS low, CAST(e.high AS BIGINT) AS high FROM cds c JOIN exception e ON e.file = c.file AND e.line_no = c.line_no WHERE e.low <> ''",
+    "genome_text": "SELECT name, string_agg(bases, '' ORDER BY block_no) AS bases FROM genome_block GROUP BY name",
+    "coding": """
+      SELECT h.file, h.gen, h.key, h.ph0, h.len, h.p5, h.p3, substr(x.bases, h.ph0 + 1) AS bases
+      FROM chain h JOIN (SELECT s.file, s.gen, s.key, string_agg(CASE WHEN s.strand = '+' THEN substr(g.bases, s.st, s.en - s.st + 1)
+                           ELSE reverse(translate(substr(g.bases, s.st, s.en - s.st + 1), 'ACGT', 'TGCA')) END, '' ORDER BY s.rn) AS bases
+                         FROM seg s JOIN chain c ON c.file = s.file AND c.gen = s.gen AND c.key = s.key JOIN genome_text g ON g.name = c.name WHERE c.in_genome GROUP BY s.file, s.gen, s.key) x
+        ON x.file = h.file AND x.gen = h.gen AND x.key = h.key WHERE h.ok AND h.in_genome AND h.len >= 3""",
+    "inner_codon": """
+      SELECT file, gen, key, ph0, CAST(k * 3 AS BIGINT) AS pos, substr(bases, CAST(k * 3 + 1 AS INT), 3) AS codon
+      FROM (SELECT file, gen, key, ph0, bases, unnest(range(0, CAST(greatest(floor(len / 3) - 1, 0) AS BIGINT))) AS k FROM coding) y""",
+    "codon": "SELECT * FROM (VALUES " + ", ".join(f"('{c}', {a}, {b})" for c, a, b in genetic_code.codons()) + ") v(codon, starts, stops)",
     "tag_value": "SELECT file, line_no, tag, url_decode(value) AS decoded FROM part WHERE nth = 1",
     "typ": """
       SELECT t.type, t.value, t.exact, t.near_n, t.term, coalesce(NOT s.obsolete, FALSE) AS current, coalesce(s.is_feature, FALSE) AS is_feature, coalesce(s.in_subset, FALSE) AS in_subset,

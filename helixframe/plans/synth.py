@@ -17,7 +17,7 @@ _DEFECTS = [
     "''", "';'", "';;Note=x'", "';bare'", "';=v'", "';Note=a&b'", "';Foo=1'", "';parent=x'", "';Note=\"q\"'", "';Name=a,b'",
     "concat(';Target=EST1 1 ', CAST(k % 40 + 1 AS STRING))", "';Target=EST1 0 5 +'", "';Gap=M8 X3;Target=e 1 5'", "';Gap=M3 D2'",
     "';Gap=M8 D3 M6 I1 M6;Target=EST23 1 21'", "';Dbxref=EMBL:AA1,bad;Ontology_term=GO:0046703'", "concat(';Is_circular=', CASE WHEN k % 3 = 0 THEN 'true' ELSE 'yes' END)",
-    "';Note=%41x'", "';Target=E%20S 1 2'", "';ID=again'", "';Ontology_term=SO:0000704,SO:12,SO:9999999,GO:0000001'", "';so_term_name=mRNA'", "';Target=e  1 5 +'", "concat(';Parent=', parent)",
+    "';Note=%41x'", "';Target=E%20S 1 2'", "';ID=again'", "';Ontology_term=SO:0000704,SO:12,SO:9999999,GO:0000001'", "';so_term_name=mRNA'", "';start_range=.,1'", "concat(';transl_except=(pos:', CAST(st AS STRING), '..', CAST(st + 2 AS STRING), ',aa:Sec)')", "';Target=e  1 5 +'", "concat(';Parent=', parent)",
 ]
 
 
@@ -83,6 +83,22 @@ def lines_sql(d: Spark) -> str:
     SELECT concat('file', CAST(f AS STRING)) AS file, CAST(line_no AS BIGINT) AS line_no, text FROM body"""
 
 
+#: Bases that the synthetic genome repeats, each sequence from another place.
+MOTIF = "ATGGCATTCGACCTGATGAAACGTGGTCACTTAGCCGATATTCGGCAATCCTGTAAGCTTGA"
+GENOME_BLOCK, SEQUENCES = 6_000, 20
+
+
+def genome_sql(d: Spark) -> str:
+    """(name, block_no, start0, bases) of the synthetic genome; even sequences are longer."""
+    n = len(MOTIF)
+    numbers = lambda most: " UNION ALL ".join(f"SELECT CAST({k} AS BIGINT) AS {{0}}" for k in range(most))
+    tens = f"(SELECT a.x + 10 * b.x AS b FROM ({numbers(10).format('x')}) a JOIN ({numbers(10).format('x')}) b ON a.x >= 0)"
+    return f"""
+    SELECT concat('chr', CAST(c AS STRING)) AS name, b AS block_no, b * {GENOME_BLOCK} AS start0,
+           substr(repeat('{MOTIF}', {GENOME_BLOCK // n + 2}), CAST((b * {GENOME_BLOCK} + 7 * c) % {n} + 1 AS INT), {GENOME_BLOCK}) AS bases
+    FROM ({numbers(SEQUENCES).format('c')}) s JOIN {tens} t ON b < CASE WHEN c % 2 = 0 THEN 100 ELSE 40 END"""
+
+
 def synth_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     views = {}
     for name in ("orders", "lineitem"):
@@ -99,5 +115,5 @@ def synth_tables(spark: SparkSession, sf_dir: str) -> Annotation:
     """The parsed tables of the synthetic lines, written once a session and input."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _TABLES:
-        _TABLES[key] = Annotation(written(synth_lines(spark, sf_dir), "lines"), keep=written)
+        _TABLES[key] = Annotation(written(synth_lines(spark, sf_dir), "lines"), written, genome=written(spark.sql(genome_sql(Spark())), "genome"), block=GENOME_BLOCK)
     return _TABLES[key]

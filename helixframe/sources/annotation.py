@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import percent_decode
+from ..functions import genetic_code
+from ..functions.text import codons, percent_decode, reverse_complement
 from .lines import running_count
 from .ontology import Ontology
 
@@ -25,17 +26,18 @@ class Annotation:
     ``keep(df, name)`` may write or persist those that many rules read.
     """
 
-    def __init__(self, lines: DataFrame, keep: Callable[[DataFrame, str], DataFrame] | None = None, ontology: Ontology | None = None):
+    def __init__(self, lines: DataFrame, keep: Callable[[DataFrame, str], DataFrame] | None = None, ontology: Ontology | None = None, genome: DataFrame | None = None, translation_table: int = 1, block: int = 1 << 16):
         have = set(lines.columns)
         self._lines = lines if "valid_utf8" in have else lines.withColumn("valid_utf8", F.lit(True))
         self.keep, self.ontology = keep, ontology or Ontology()
+        self.genome, self.translation_table, self.block = genome, translation_table, block
         self._terms: dict[str, DataFrame] | None = None
         self._kept: dict[str, DataFrame] = {}
 
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self._kept:
             made = self._so(name) if name.startswith("so_") or name == "cds_type" else getattr(self, f"_{name}")()
-            self._kept[name] = self.keep(made, name) if self.keep and name in ("line", "feat", "part", "node") else made
+            self._kept[name] = self.keep(made, name) if self.keep and name in ("line", "feat", "part", "node", "cds") else made
         return self._kept[name]
 
     def _line(self) -> DataFrame:
@@ -199,3 +201,100 @@ class Annotation:
         if self._terms is None:
             self._terms = self.ontology.frames(self._lines.sparkSession)
         return self._terms[name]
+
+    def _exon_type(self) -> DataFrame:
+        return self._type_names("is_exon", "exon", "SO:0000147")
+
+    def _type_names(self, flag: str, *fixed: str) -> DataFrame:
+        """Labels and accessions of the terms with a flag, and the fixed ones."""
+        names = self["so_exact"].join(self["so_term"].filter(flag), "term").select(F.col("value").alias("type"))
+        return names.union(self._lines.sparkSession.createDataFrame([(x,) for x in fixed], "type string")).distinct()
+
+    def _cds(self) -> DataFrame:
+        """Coding rows with coordinates: key of the chain, phase (-1 if it has none), partial ends."""
+
+        def has(tag: str) -> Column:
+            return F.exists(F.split("attrs", ";", -1), lambda p: p.startswith(tag + "="))
+
+        hit = F.filter(F.split("attrs", ";", -1), lambda p: p.startswith("partial="))
+        said = F.transform(F.split(F.lower(percent_decode(F.substring(F.coalesce(F.get(hit, F.lit(0)), F.lit("")), 9, 1 << 30))), ","), F.trim)
+        any_of = lambda *v: F.arrays_overlap(said, F.array(*map(F.lit, v)))
+        plus = F.col("strand") == "+"
+        both = any_of("true", "yes", "1") | (~plus & any_of("start", "end"))
+        p5 = both | (plus & any_of("start")) | F.when(plus, has("start_range")).otherwise(has("end_range"))
+        p3 = both | (plus & any_of("end")) | F.when(plus, has("end_range")).otherwise(has("start_range"))
+        key = F.when(F.col("id").isNotNull(), F.concat(F.lit("I"), "id")).when(F.size("parents") > 0, F.concat(F.lit("P"), F.array_join("parents", ","))).otherwise(F.concat(F.lit("L"), F.col("line_no").cast("string")))
+        rows = self["node"].filter("st is not null").join(F.broadcast(self["cds_type"]), "type", "left_semi")
+        phase = F.when(F.col("phase").isin("0", "1", "2"), F.col("phase").cast("long")).otherwise(-1)
+        return rows.select("file", "gen", key.alias("key"), "line_no", "seqid", "strand", phase.alias("ph"), "st", "en", p5.alias("p5"), p3.alias("p3"), "parents", "attrs")
+
+    def _chain_parent(self) -> DataFrame:
+        """Parents of the first row of each chain."""
+        first = self["cds"].groupBy("file", "gen", "key").agg(F.min_by("parents", "line_no").alias("parents"))
+        return first.select("file", "gen", "key", F.posexplode("parents").alias("ord", "target"))
+
+    def _chain(self) -> DataFrame:
+        """Chains: ok if on one sequence and strand with all phases; len without the first phase; partial ends."""
+        c = self["cds"]
+        where = F.struct("seqid", "strand")
+        per = c.groupBy("file", "gen", "key").agg(
+            (F.min(where) != F.max(where)).alias("mixed"), F.min_by("seqid", "line_no").alias("seqid"), F.min_by("strand", "line_no").alias("strand"),
+            F.min("ph").alias("worst"), F.sum(F.col("en") - F.col("st") + 1).alias("total"), F.max("p5").alias("p5"), F.max("p3").alias("p3"), F.max("en").alias("max_en"),
+            F.min_by("ph", F.struct("st", "en", "ph", "line_no")).alias("ph_plus"), F.min_by("ph", F.struct(-F.col("en"), F.col("line_no"))).alias("ph_minus"),
+        )
+        per = per.withColumn("ok", ~F.col("mixed") & F.col("strand").isin("+", "-") & (F.col("worst") >= 0))
+        per = per.withColumn("ph0", F.when(F.col("strand") == "+", F.col("ph_plus")).otherwise(F.col("ph_minus")))
+        raw, decoded = self["genome"].withColumnRenamed("name", "seqid"), self["genome"].select(F.col("name").alias("_decoded"), F.col("length").alias("_length"))
+        per = per.join(F.broadcast(raw), "seqid", "left").withColumn("_decoded", percent_decode(F.col("seqid"))).join(F.broadcast(decoded), "_decoded", "left")
+        name = F.when(F.col("length").isNotNull(), F.col("seqid")).when(F.col("_length").isNotNull(), F.col("_decoded"))
+        inside = F.coalesce(F.col("max_en") <= F.coalesce("length", "_length"), F.lit(False))
+        return per.select("file", "gen", "key", "seqid", "strand", "ok", "ph0", (F.col("total") - F.col("ph0")).alias("len"), "p5", "p3", name.alias("name"), inside.alias("in_genome"))
+
+    def _seg(self) -> DataFrame:
+        """Segments of readable chains from 5' to 3': rn, bases before."""
+        ok = self["chain"].filter("ok").select("file", "gen", "key", "ph0")
+        rows = self["cds"].join(ok, ["file", "gen", "key"])
+        plus = F.col("strand") == "+"
+        order = [F.when(plus, F.col("st")).otherwise(-F.col("en")), F.when(plus, F.col("en")).otherwise(0), F.when(plus, F.col("ph")).otherwise(0), F.col("line_no")]
+        w = Window.partitionBy("file", "gen", "key").orderBy(*order)
+        before = F.coalesce(F.sum(F.col("en") - F.col("st") + 1).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        return rows.select("file", "gen", "key", "line_no", "seqid", "strand", "ph", "ph0", "st", "en", F.row_number().over(w).alias("rn"), before.alias("before"))
+
+    def _recoded(self) -> DataFrame:
+        """Ranges of recoded codons of a chain: rows below it, and legacy exceptions in its own column 9."""
+        rows = self["ref"].filter("rel = 'P' and st is not null").join(F.broadcast(self._type_names("is_recoded", "recoded_codon", "SO:0000145")), "type", "left_semi")
+        below = rows.select("file", "gen", F.concat(F.lit("I"), "target").alias("key"), F.col("st").alias("low"), F.col("en").alias("high"))
+        hit = F.filter(F.split("attrs", ";", -1), lambda p: p.startswith("transl_except="))
+        said = percent_decode(F.substring(F.get(hit, F.lit(0)), 15, 1 << 30))
+        places = self["cds"].filter(F.size(hit) > 0).select("file", "gen", "key", F.explode(F.regexp_extract_all(said, F.lit(r"pos:(.*?),\s*aa:"), F.lit(1))).alias("x"))
+        ranges = places.select("file", "gen", "key", F.explode(F.regexp_extract_all("x", F.lit(r"[0-9]+(?:\.\.[0-9]+)?"), F.lit(0))).alias("r"))
+        own = ranges.select("file", "gen", "key", F.substring_index("r", "..", 1).cast("long").alias("low"), F.substring_index("r", "..", -1).cast("long").alias("high"))
+        return below.union(own).distinct()
+
+    def _coding(self) -> DataFrame:
+        """Coding sequences of readable chains inside the genome, without the first phase."""
+        from .genome import slices
+
+        ok = self["chain"].filter("ok and in_genome and len >= 3").select("file", "gen", "key", "name", "len", "p5", "p3")
+        rows = self["seg"].join(ok, ["file", "gen", "key"])
+        parts = slices(rows, self["genome_block"], ["file", "gen", "key", "rn", "strand", "ph0", "len", "p5", "p3"], self.block)
+        strand = F.when(F.col("strand") == "+", F.col("bases")).otherwise(reverse_complement(F.col("bases")))
+        whole = parts.withColumn("part", strand).groupBy("file", "gen", "key", "ph0", "len", "p5", "p3").agg(F.array_join(F.array_sort(F.collect_list(F.struct("rn", "part")))["part"], "").alias("x"))
+        return whole.select("file", "gen", "key", "ph0", "len", "p5", "p3", F.substring("x", (F.col("ph0") + 1).cast("int"), F.length("x")).alias("bases"))
+
+    def _inner_codon(self) -> DataFrame:
+        """Codons before the last full one of each coding sequence, with their offset."""
+        rows = self["coding"].select("file", "gen", "key", "ph0", F.posexplode(codons(F.col("bases"))).alias("k", "codon"), (F.floor(F.col("len") / 3) - 1).alias("last"))
+        return rows.filter("k < last").select("file", "gen", "key", "ph0", (F.col("k") * 3).cast("long").alias("pos"), "codon")
+
+    def _genome(self) -> DataFrame:
+        """name, length of the genome's sequences."""
+        return self["genome_block"].groupBy("name").agg(F.max(F.col("start0") + F.length("bases")).alias("length"))
+
+    def _genome_block(self) -> DataFrame:
+        if self.genome is None:
+            raise ValueError("the rules of coding sequences need a genome")
+        return self.genome
+
+    def _codon(self) -> DataFrame:
+        return self._lines.sparkSession.createDataFrame(genetic_code.codons(self.translation_table), "codon string, starts boolean, stops boolean")
