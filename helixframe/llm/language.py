@@ -94,10 +94,10 @@ class ContextTrees:
         return out
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
-        bits = self.code_lengths(texts)
-        known = np.array([bool(self.languages) and _LETTER(x) is not None for x in texts], bool)
         if not self.languages:
             return ["und"] * len(texts), np.zeros(len(texts))
+        bits = self.code_lengths(texts)
+        known = np.array([_LETTER(x) is not None for x in texts], bool)
         best = bits.argmin(axis=1)
         share = np.exp2(np.maximum(bits.min(axis=1, keepdims=True) - bits, -1000.0))
         score = np.where(known, 1 / share.sum(axis=1), 0.0)
