@@ -36,6 +36,8 @@ LENGTH, SPAN, DECAY = 4, 6, 0.5
 LANDMARKS, TOXIC, CLEAN, ROUNDS = 360, 1_400, 2_000, 4
 #: Digits read as letters (fixed values).
 IMITATED = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t"}
+#: Weight of a made-up spelling beside the word itself.
+SPREAD = 0.3
 _DROP, _TOP = 255, 0x3000
 
 
@@ -99,7 +101,8 @@ def _codes(signs: np.ndarray, at: np.ndarray):
     n = len(signs)
     pad = np.zeros(n + SPAN, np.int32)
     pad[:n] = signs
-    room = np.zeros(n, np.int8)  # signs up to the blank after the word, SPAN at most
+    room = np.full(n, SPAN, np.int8)  # signs up to the blank after the word, SPAN at most
+    room[-1] = 0
     ends = np.r_[at[1:], n - 1] if len(at) else at
     for k in range(SPAN, 0, -1):
         p = ends - k
@@ -273,7 +276,11 @@ def train(texts: list[str], toxic: list[bool], rounds: int = ROUNDS, landmarks:
         near = no[np.argsort(-guess[no] * np.sqrt(in_clean[no]) * (guess[no] > -0.5), kind="stable")[: landmarks // 3]]
         marks = np.r_[for_[np.argsort(-in_toxic[for_], kind="stable")[: landmarks // 2]], near, rng.choice(no, min(len(no), landmarks // 6), replace=False)]
         marks = np.unique(marks)
-        machine, bias = nystroem([words[i] for i in train_words], sign, share_of, [words[i] for i in marks])
+        # an insult with a letter put in is one too
+        spread = [(w[:k] + rng.choice(list("abcdefghijklmnopqrstuvwxyz")) + w[k:], s) for w, s in zip((words[i] for i in for_), share_of) if len(w) > 4 for k in (len(w) // 2, len(w) // 2 - 1)]
+        spread = [(w, s) for w, s in spread if w not in number]
+        sign, share_of = np.r_[sign, np.ones(len(spread))], np.r_[share_of, [SPREAD * s for _, s in spread]]
+        machine, bias = nystroem([words[i] for i in train_words] + [w for w, _ in spread], sign, share_of, [words[i] for i in marks])
         guess = _values(words, machine) + bias
     x = np.concatenate([_gathered(*word_scores([texts[i]], machine, bias), 1) for i in rest])
     z = label[rest].astype(float)
