@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import profile
 from ..operators.catalogue import RULES
 from . import engine, oracle
 from .dialect import Duck
@@ -72,6 +73,26 @@ def scan_line_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return synth_tables(spark, sf_dir)["line"].groupBy("file", "kind").agg(F.count(F.lit(1)).alias("n_lines"))
 
 
+def codon_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return synth_tables(spark, sf_dir)["inner_codon"].groupBy("codon").agg(F.count(F.lit(1)).alias("n_codons"))
+
+
+def genome_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return synth_tables(spark, sf_dir)["coding"].select("file", "gen", "key", "bases")
+
+
+def ontology_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many rows of each file name each term or one below it."""
+    t = synth_tables(spark, sf_dir)
+    named = t["feat"].join(F.broadcast(t["typ"].filter("current").select("type", "term")), "type")
+    return named.groupBy("file", "term").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(t["so_up"]), "term").groupBy("file", "up").agg(F.sum("n").alias("n_rows"))
+
+
+def profile_raised_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = engine.findings(spark, synth_tables(spark, sf_dir), profile.RAISED)
+    return engine.raised(found).select("file", "rule", "level", "core_level", "line", "n")
+
+
 _INDEX = """(SELECT l.file, len(x) = 9 AS well_formed, CASE WHEN len(x) = 9 THEN x[3] END AS type,
     CASE WHEN len(x) = 9 AND regexp_extract(x[9], '(^|;)ID=([^;]*)', 2) <> '' THEN url_decode(regexp_extract(x[9], '(^|;)ID=([^;]*)', 2)) END AS id
   FROM (SELECT file, line_no, string_split(text, chr(9)) AS x, text FROM @line) l
@@ -99,12 +120,16 @@ _SQL: dict[str, Callable[[], str]] = {
         FROM {_WANTED} w LEFT JOIN (SELECT file, count(*) AS n FROM {_INDEX} i WHERE well_formed GROUP BY file) s ON s.file = w.file
         LEFT JOIN (SELECT file, id, count(*) AS n, bool_or(type IN ('gene', 'SO:0000704')) AS gene FROM {_INDEX} j WHERE well_formed AND id IS NOT NULL GROUP BY file, id) h ON h.file = w.file AND h.id = w.feature_id""",
     "unresolved_references": lambda: "SELECT r.file, r.rel, count(*) AS n_refs, count(DISTINCT r.target) AS n_targets FROM @ref r LEFT JOIN @first f ON f.file = r.file AND f.id = r.target WHERE f.id IS NULL GROUP BY r.file, r.rel",
+    "codon_scan": lambda: "SELECT codon, count(*) AS n_codons FROM @inner_codon GROUP BY codon",
+    "genome_slices": lambda: "SELECT file, CAST(gen AS BIGINT) AS gen, key, bases FROM @coding",
+    "ontology_closure": lambda: "SELECT f.file, u.up, count(*) AS n_rows FROM @feat f JOIN @typ t ON t.type = f.type AND t.current JOIN @so_up u ON u.term = t.term GROUP BY f.file, u.up",
+    "profile_raised_levels": lambda: " UNION ALL ".join(f"SELECT file, '{r}' AS rule, 'error' AS level, '{RULES[r].level}' AS core_level, line, n FROM ({RULES[r].query(Duck())}) x" for r in profile.RAISED),
     "scan_line_kinds": lambda: "SELECT file, kind, count(*) AS n_lines FROM @line GROUP BY file, kind",
 }
 
 
 def queries() -> Queries:
-    out: Queries = {f.__name__: f for f in (report_counts, report_verdicts, epoch_running_count, fasta_records, feature_index_summary, feature_index_resolve, unresolved_references, scan_line_kinds)}
+    out: Queries = {f.__name__: f for f in (report_counts, report_verdicts, epoch_running_count, fasta_records, feature_index_summary, feature_index_resolve, unresolved_references, scan_line_kinds, codon_scan, genome_slices, ontology_closure, profile_raised_levels)}
     return out | {name_of(r): _rule(r) for r in engine.implemented()}
 
 

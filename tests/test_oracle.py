@@ -3,6 +3,7 @@
 import os
 from collections import Counter
 
+import pandas as pd
 import pytest
 
 from helixframe.plans import queries
@@ -13,7 +14,8 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(DIR), reason="the driver's tab
 
 def rows(frame):
     frame = frame[sorted(frame.columns)]
-    return Counter(tuple("-" if x is None or x != x else str(int(x)) if isinstance(x, float) else str(x) for x in r) for r in frame.astype(object).itertuples(index=False))
+    show = lambda x: "-" if pd.isna(x) else str(int(x)) if isinstance(x, float) else str(x)
+    return Counter(tuple(map(show, r)) for r in frame.astype(object).itertuples(index=False))
 
 
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
