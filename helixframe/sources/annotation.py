@@ -13,6 +13,8 @@ from .lines import running_count
 from .ontology import Ontology
 
 COLUMNS = ("seqid", "source", "type", "s", "e", "score", "strand", "phase", "attrs")
+#: Tables that many rules, or many branches of one rule, read.
+KEPT = ("line", "feat", "part", "node", "cds", "chain", "seg", "coding", "recoded")
 _SPACE = r"[\s\x1c-\x1f\x85\xa0　]+"
 
 
@@ -37,7 +39,7 @@ class Annotation:
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self._kept:
             made = self._so(name) if name.startswith("so_") or name == "cds_type" else getattr(self, f"_{name}")()
-            self._kept[name] = self.keep(made, name) if self.keep and name in ("line", "feat", "part", "node", "cds") else made
+            self._kept[name] = self.keep(made, name) if self.keep and name in KEPT else made
         return self._kept[name]
 
     def _line(self) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from helixframe.plans import engine
 from helixframe.sources.annotation import Annotation
+from helixframe.sources.scratch import written
 
 HEAD = "##gff-version 3\n"
 GENE = "chr1\tsrc\tgene\t1\t900\t.\t+\t.\tID=g1\n"
@@ -10,7 +11,7 @@ MRNA = "chr1\tsrc\tmRNA\t1\t900\t.\t+\t.\tID=m1;Parent=g1\n"
 
 def tables(spark, text, file="a"):
     rows = [(file, n, x) for n, x in enumerate(text.split("\n")[: -1 if text.endswith("\n") else None], start=1)]
-    return Annotation(spark.createDataFrame(rows, "file string, line_no long, text string"))
+    return Annotation(spark.createDataFrame(rows, "file string, line_no long, text string"), written)
 
 
 def found(spark, text, rules):
@@ -21,7 +22,7 @@ def found(spark, text, rules):
 def found_in_each(spark, texts, rules):
     """The findings of each text; all texts are files of one table, so each rule runs once."""
     rows = [(f"{k:03}", n, x) for k, text in enumerate(texts) for n, x in enumerate(text.split("\n")[:-1], start=1)]
-    t = Annotation(spark.createDataFrame(rows, "file string, line_no long, text string"))
+    t = Annotation(spark.createDataFrame(rows, "file string, line_no long, text string"), written)
     out = [[] for _ in texts]
     for r in rules:
         for x in engine.find(spark, t, r).collect():
@@ -192,7 +193,7 @@ def test_coding_sequences(spark):
         (exon + cds(3, 20, more=";Parent=m"), [("BIO-005", 3)]),
     ]
     rows = [(f"{k}", n, x) for k, (text, _) in enumerate(cases) for n, x in enumerate((HEAD + text).split("\n")[:-1], start=1)]
-    t = Annotation(spark.createDataFrame(rows, "file string, line_no long, text string"), genome=genome(spark, good=good, back=back, stop="ATGTAAGCATAA"), block=10)
+    t = Annotation(spark.createDataFrame(rows, "file string, line_no long, text string"), written, genome=genome(spark, good=good, back=back, stop="ATGTAAGCATAA"), block=10)
     got = [(x.file, r, x.line) for r in CODING for x in engine.find(spark, t, r).collect()]
     assert {k: sorted((r, n) for f, r, n in got if f == str(k)) for k in range(len(cases))} == {k: x for k, (_, x) in enumerate(cases)}
 
