@@ -28,5 +28,6 @@ def watch(spark: SparkSession, folder: str, out: str, checkpoint: str, rules: It
             found = engine.findings(spark, Annotation(read_lines(spark, paths), keep=written), chosen)
             found.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    names = spark.readStream.format("binaryFile").option("maxFilesPerTrigger", files_per_batch).load(folder).select("path")
+    schema = "path string, modificationTime timestamp, length long, content binary"
+    names = spark.readStream.format("binaryFile").schema(schema).option("maxFilesPerTrigger", files_per_batch).load(folder).select("path")
     return names.writeStream.foreachBatch(judge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
