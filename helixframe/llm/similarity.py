@@ -101,22 +101,20 @@ _SALTS = mix64(np.arange(1, SKETCH + 1, dtype=_U) * _U(0x9E3779B97F4A7C15))
 
 
 def sketch(found: np.ndarray) -> np.ndarray:
-    """``SKETCH`` 32-bit minima: by true hash functions for small sets, else by parts of one hash.
-
-    A large set is dealt into ``SKETCH`` parts by its hash and each part gives its minimum; a
-    part without members borrows the next one's, altered by the distance.
-    """
-    if len(found) <= 4 * SKETCH:
-        return (mix64(found[:, None] ^ _SALTS[None, :]) >> _U(32)).min(axis=0).astype(np.uint32)
-    h = np.sort(mix64(found ^ _U(0xA5A5A5A55A5A5A5A)))
-    edge = np.searchsorted(h, np.arange(SKETCH, dtype=_U) << _U(58))
-    have = np.diff(np.r_[edge, len(h)]) > 0
-    out = np.zeros(SKETCH, np.uint32)
-    out[have] = ((h[edge[have]] >> _U(20)) & _U(0xFFFFFFFF)).astype(np.uint32)
-    for k in np.flatnonzero(~have):
-        step = next(s for s in range(1, SKETCH) if have[(k + s) % SKETCH])
-        out[k] = (int(out[(k + step) % SKETCH]) + 0x9E3779B1 * step) & 0xFFFFFFFF
-    return out
+    """``SKETCH`` 32-bit minima by true hash functions, the same for sets of every size; in strips."""
+    out = np.full(SKETCH, np.iinfo(np.uint64).max, _U)
+    for a in range(0, len(found), 512):
+        x = _SALTS[:, None] ^ found[None, a : a + 512]
+        y = x >> _U(30)  # mix64 in place
+        x ^= y
+        x *= _U(0xBF58476D1CE4E5B9)
+        np.right_shift(x, _U(27), out=y)
+        x ^= y
+        x *= _U(0x94D049BB133111EB)
+        np.right_shift(x, _U(31), out=y)
+        x ^= y
+        np.minimum(out, x.min(axis=1), out=out)
+    return (out >> _U(32)).astype(np.uint32)
 
 
 def children(paths: np.ndarray, minima: np.ndarray, branch: float = BRANCH) -> tuple[np.ndarray, np.ndarray]:

@@ -154,6 +154,25 @@ def test_similarity_join_matches_brute_force(spark, words, monkeypatch):
     assert got == _plain_classes(ids, similarity.shingles(texts))
 
 
+def test_sketches_agree_across_set_sizes(spark, words):
+    r = np.random.default_rng(3)
+    for n in (1, 40, 255, 256, 257, 511, 512, 513, 3000):
+        found = r.integers(0, 1 << 63, n, dtype=np.uint64)
+        plain = [min(int(x) >> 32 for x in similarity.mix64(found ^ salt)) for salt in similarity._SALTS]
+        assert similarity.sketch(found).tolist() == plain
+    pick, texts = random.Random(8), []
+    for n in range(250, 263):  # shingles of the original; its copy has an inserted sentence
+        w = [pick.choice(words) + str(n) for _ in range(n + 4)]
+        at = pick.randrange(20, n - 20)
+        texts += [" ".join(w), " ".join([*w[:at], *(pick.choice(words) for _ in range(pick.randint(1, 20))), *w[at:]])]
+    sizes = [len(x) for x in similarity.shingles(texts)]
+    assert sum(a <= 256 < b for a, b in zip(sizes[::2], sizes[1::2])) >= 5
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x.doc_id: (x.class_id, x.n_links) for x in similarity.join_similar(spark, docs).collect()}
+    assert got == _plain_classes(list(range(len(texts))), similarity.shingles(texts))
+    assert sum(n for _, n in got.values()) == len(texts)
+
+
 def test_blocks_count_each_pair_once(monkeypatch):
     sets = [np.unique(np.r_[np.arange(50), 100 + k]).astype(np.uint64) for k in range(6)]
     (_, ok), = similarity.compare(sets)
