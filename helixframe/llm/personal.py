@@ -82,7 +82,8 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 _AT = r"(?:@|\s?[\[({<]\s?at\s?[\])}>]\s?|\sat\s)"
 _DOT = r"(?:\.|\s?[\[({<]\s?dot\s?[\])}>]\s?|\sdot\s|\s?[\[({]\.[\])}]\s?)"
 _ADDRESS = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{{1,64}}{_AT}[A-Za-z0-9-]{{1,63}}(?:{_DOT}[A-Za-z0-9-]{{1,63}}){{1,8}}", re.I)
-_ADDRESS_SIGN = re.compile(r"dot|Dot|DOT|[\[({<]\s?(?:at|AT|At)\s?[\])}>]")
+_ADDRESS_SIGN = re.compile(_AT, re.I)  # a part of every match of _ADDRESS
+_TOP = re.compile(r"[A-Za-z]{2,}|xn--[A-Za-z0-9-]+", re.I)
 _NUMBERS = re.compile(r"(?:\+|\((?=[0-9]))?[0-9](?:[ ().\-/\[\]‐-―]{0,3}[0-9])+")
 _TOKEN = re.compile(r"[0-9]+|[^\W\d_]+|.", re.S)
 _CUES = {
@@ -99,7 +100,7 @@ def islands(text: str) -> list[tuple[int, int]]:
     found = []
     if _DIGIT.search(text):
         found = [(m.start(), m.end()) for m in _NUMBERS.finditer(text) if m.end() - m.start() >= 7]
-    if "@" in text or _ADDRESS_SIGN.search(text):
+    if _ADDRESS_SIGN.search(text):
         found += [(m.start(), m.end()) for m in _ADDRESS.finditer(text)]
     out: list[tuple[int, int]] = []
     for a, b in sorted(found):
@@ -155,6 +156,11 @@ def features(text: str, s: int, e: int, kind: str) -> tuple[str, ...]:
         out.append("at sign" if "@" in span else "bracketed at" if re.search(r"[\[({<]\s?at", span, re.I) else "word at")
         tail = re.split(r"[^A-Za-z0-9-]+", span)[-1]
         out.append("tail of letters" if tail.isalpha() and 2 <= len(tail) <= 6 else "odd tail")
+        if out[1] == "word at":  # as prose has it: at 4.50, at U.S. ports, at home.Then
+            if not _TOP.fullmatch(tail):
+                out.append("word at, tail no name")
+            elif tail.istitle():
+                out.append("word at, tail begins a sentence")
         if " " in re.sub(r"(?i)\s?(?:[\[({<]\s?)?\b(?:at|dot)\b(?:\s?[\])}>])?\s?", "", span):
             out.append("blank inside")
     else:
@@ -314,10 +320,24 @@ def examples(count: int = 900, seed: int = 11) -> list[tuple[str, list[tuple[str
     return out
 
 
+def prose(count: int = 120, seed: int = 12) -> list[tuple[str, list[tuple[str, int, int]]]]:
+    """Seeded sentences with the word "at" before something with a point in it: addresses, and what is none."""
+    r, out = random.Random(seed), []
+    word = lambda: "".join(r.choice("abcdefghijklmnoprstuvwz") for _ in range(r.randint(2, 9)))
+    number = lambda: str(r.randint(0, 99))
+    none = [lambda: f"{number()}.{number()}", lambda: f"{number()}.{number()}{r.choice(['am', 'pm', 'h'])}", lambda: f"{r.choice('ABCDU')}.{r.choice('ABCDS')}", lambda: f"{word()}.{word().title()}"]
+    true = [lambda: f"{word()}.{r.choice(['com', 'org', 'net', 'de'])}", lambda: f"{word()}[.]{r.choice(['com', 'org', 'info'])}"]
+    for k in range(count):
+        head, name = f"{word()} {word()} ", word()
+        span = f"{name} at {r.choice(true if k % 2 else none)()}"
+        out.append((f"{head}{span} {word()}", [("email", len(head), len(head) + len(span))] if k % 2 else []))
+    return out
+
+
 @lru_cache(maxsize=2)
 def trained(count: int = 900, seed: int = 11) -> Field:
     data = []
-    for text, spans in examples(count, seed):
+    for text, spans in examples(count, seed) + prose():
         for a, b in islands(text):
             tokens, segments = candidates(text, a, b)
             if segments:

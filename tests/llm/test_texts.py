@@ -104,6 +104,20 @@ def test_field_on_held_out_sentences():
     assert personal.find(plain, field) == ([], [])
 
 
+def test_written_out_addresses_do_not_depend_on_far_text():
+    field, r = personal.trained(), random.Random(9)
+    for t in ("write to john at example[.]com", "mail john at example.com", "john aT example dOt com", "john [aT] example.com", "john <At> example(.)com"):
+        found = personal.find(t, field)[1]
+        assert [k for k, _, _ in found] == ["email"] and t[found[0][1] : found[0][2]].startswith("john")
+        assert [s for s in personal.find(t + "; an anecdote. @", field)[1]] == found
+    for t in ("12 items at 4.50 each", "they met at 9.30pm", "held at U.S. ports", "we stayed at home.Then we left", "look at this. Dot by dot", "40 at 10.0.0.1 or so"):
+        assert not any(k == "email" for k, _, _ in personal.find(t, field)[1])
+    for _ in range(4000):
+        t = "".join(r.choice(["a", "b1", " ", " at ", "\tAT\n", "[aT]", "@", ".", "[.]", " dOt ", "(DOT)", "; "]) for _ in range(r.randint(0, 14)))
+        every = [m.span() for m in personal._ADDRESS.finditer(t)]
+        assert all(any(a <= s and e <= b for a, b in personal.islands(t)) for s, e in every)
+
+
 def test_personal_data_of_odd_rows(odd, nothing):
     got = personal.find_personal(odd).collect()
     empty = hashlib.sha256(b"").hexdigest()
