@@ -396,8 +396,9 @@ def keep_one(spark: SparkSession, docs: DataFrame) -> DataFrame:
     stay = found.groupBy("label").agg(F.min(F.struct("member", "doc_id")).alias("x")).select(F.col("x.member").alias("_stays"), F.col("x.doc_id").alias("_id"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", _member long"
     marked = map_texts(docs, lambda batch, texts: {"_member": [_number(s) for s in shingles(texts)]}, schema)
+    marked = marked.withColumn("_alone", F.when(F.col("_member").isNull(), F.monotonically_increasing_id()))  # no two rows without words are copies
     out = marked.join(stay, F.col("_member").eqNullSafe(F.col("_stays")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left")
-    return out.filter("_stays is not null or _member is null").dropDuplicates(["doc_id", "_member"]).drop("_member", "_stays", "_id")
+    return out.filter("_stays is not null or _member is null").dropDuplicates(["doc_id", "_member", "_alone"]).drop("_member", "_alone", "_stays", "_id")
 
 
 def op5_chosen_paths(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -188,6 +188,12 @@ def test_one_of_each_class_stays(spark, odd, nothing):
     assert similarity.keep_one(spark, nothing).count() == 0
 
 
+def test_rows_without_words_all_stay(spark):
+    rows = [(1, "..."), (1, "!!!"), (1, "!!!"), (None, "- -"), (None, "+"), (None, None), (2, "one two three four five six"), (2, "one two three four five six"), (3, "one two three four five six")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    assert Counter(map(tuple, similarity.keep_one(spark, docs).collect())) == Counter(rows[:7])
+
+
 @pytest.mark.parametrize("sf_dir", ["/root/testdata/sf0.001"])
 def test_pipeline(spark, sf_dir, tmp_path):
     import os
