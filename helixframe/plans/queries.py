@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from ..operators import profile
 from ..operators.catalogue import RULES
+from ..sources.annotation import Annotation
+from ..sources.scratch import written
 from . import engine, oracle
 from .dialect import Duck
 from .synth import synth_tables
@@ -37,6 +39,26 @@ def report_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return engine.verdicts(engine.findings(spark, tables, REPORTED), tables["line"])
 
 
+def _every(spark: SparkSession, tables: Annotation) -> DataFrame:
+    """(file, rule, level, line) of all rules of a run; each rule's findings are written, so that no plan holds them all."""
+    out = None
+    for r in engine.chosen(with_genome=True):
+        rows = written(engine.findings(spark, tables, [r]).select("file", "rule", "level", "line"), "found")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def report_counts_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``report_counts`` for every rule of a run; without SQL, as cycles have none."""
+    return engine.counts(_every(spark, synth_tables(spark, sf_dir)))
+
+
+def report_verdicts_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``report_verdicts`` by every rule of a run."""
+    tables = synth_tables(spark, sf_dir)
+    return engine.verdicts(_every(spark, tables), tables["line"])
+
+
 def epoch_running_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return synth_tables(spark, sf_dir)["line"].select("file", "line_no", "kind", "gen")
 
@@ -129,7 +151,7 @@ _SQL: dict[str, Callable[[], str]] = {
 
 
 def queries() -> Queries:
-    out: Queries = {f.__name__: f for f in (report_counts, report_verdicts, epoch_running_count, fasta_records, feature_index_summary, feature_index_resolve, unresolved_references, scan_line_kinds, codon_scan, genome_slices, ontology_closure, profile_raised_levels)}
+    out: Queries = {f.__name__: f for f in (report_counts, report_verdicts, report_counts_all, report_verdicts_all, epoch_running_count, fasta_records, feature_index_summary, feature_index_resolve, unresolved_references, scan_line_kinds, codon_scan, genome_slices, ontology_closure, profile_raised_levels)}
     return out | {name_of(r): _rule(r) for r in engine.implemented()}
 
 
