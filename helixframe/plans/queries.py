@@ -13,7 +13,7 @@ from ..sources.annotation import Annotation
 from ..sources.scratch import written
 from . import engine, oracle
 from .dialect import Duck
-from .synth import synth_tables
+from .synth import synth_tables, whole_tables
 
 Queries = dict[str, Callable[[SparkSession, str], DataFrame]]
 
@@ -115,6 +115,23 @@ def profile_raised_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return engine.raised(found).select("file", "rule", "level", "core_level", "line", "n")
 
 
+def codon_scan_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codon counts with a genome that covers every order, so that every readable chain is scanned."""
+    return whole_tables(spark, sf_dir)["inner_codon"].groupBy("codon").agg(F.count(F.lit(1)).alias("n_codons"))
+
+
+def genome_slices_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whole_tables(spark, sf_dir)["coding"].select("file", "gen", "key", "bases")
+
+
+def _whole_rule(rule_id: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: engine.find(spark, whole_tables(spark, sf_dir), rule_id)
+
+
+#: Queries over the genome of all orders; its SQL is not given.
+WHOLE: Queries = {f.__name__: f for f in (codon_scan_all, genome_slices_all)} | {f"bio_{n}_all": _whole_rule(f"BIO-{n}") for n in ("006", "007", "008")}
+
+
 _INDEX = """(SELECT l.file, len(x) = 9 AS well_formed, CASE WHEN len(x) = 9 THEN x[3] END AS type,
     CASE WHEN len(x) = 9 AND regexp_extract(x[9], '(^|;)ID=([^;]*)', 2) <> '' THEN url_decode(regexp_extract(x[9], '(^|;)ID=([^;]*)', 2)) END AS id
   FROM (SELECT file, line_no, string_split(text, chr(9)) AS x, text FROM @line) l
@@ -152,7 +169,7 @@ _SQL: dict[str, Callable[[], str]] = {
 
 def queries() -> Queries:
     out: Queries = {f.__name__: f for f in (report_counts, report_verdicts, report_counts_all, report_verdicts_all, epoch_running_count, fasta_records, feature_index_summary, feature_index_resolve, unresolved_references, scan_line_kinds, codon_scan, genome_slices, ontology_closure, profile_raised_levels)}
-    return out | {name_of(r): _rule(r) for r in engine.implemented()}
+    return out | WHOLE | {name_of(r): _rule(r) for r in engine.implemented()}
 
 
 def oracle_sql() -> dict[str, str]:

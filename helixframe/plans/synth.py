@@ -8,6 +8,7 @@ numbered within a file with gaps, from the order's own rows: no global sort.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..sources.annotation import Annotation
 from ..sources.scratch import written
@@ -117,3 +118,23 @@ def synth_tables(spark: SparkSession, sf_dir: str) -> Annotation:
     if key not in _TABLES:
         _TABLES[key] = Annotation(written(synth_lines(spark, sf_dir), "lines"), written, genome=written(spark.sql(genome_sql(Spark())), "genome"), block=GENOME_BLOCK)
     return _TABLES[key]
+
+
+def genome_of_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(name, block_no, start0, bases): the same genome carried on over the coordinates of every order; blocks that no order touches are left out."""
+    n, size = len(MOTIF), GENOME_BLOCK
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").cast("long").alias("k"), (F.col("o_custkey") % 25).cast("int").alias("c"))
+    named = orders.filter(F.col("c") < SEQUENCES).union(orders.select("k", F.lit(1)))  # any row may be put on chr1, written chr%31
+    ends = F.array(F.floor(F.col("k") * 1000 / size), F.floor((F.col("k") * 1000 + 1100) / size))  # an order's rows end before 1,100
+    at = named.select("c", F.explode(ends).alias("b")).distinct()
+    from_ = ((F.col("b") * size + 7 * F.col("c")) % n + 1).cast("int")
+    bases = F.repeat(F.lit(MOTIF), size // n + 2).substr(from_, F.lit(size))
+    return at.select(F.concat(F.lit("chr"), F.col("c").cast("string")).alias("name"), F.col("b").alias("block_no"), (F.col("b") * size).alias("start0"), bases.alias("bases"))
+
+
+def whole_tables(spark: SparkSession, sf_dir: str) -> Annotation:
+    """As ``synth_tables``, with the genome of all orders."""
+    key = (spark.sparkContext.applicationId, f"{sf_dir} whole")
+    if key not in _TABLES:
+        _TABLES[key] = Annotation(written(synth_lines(spark, sf_dir), "lines"), written, genome=written(genome_of_orders(spark, sf_dir), "genome"), block=GENOME_BLOCK)
+    return _TABLES[key]

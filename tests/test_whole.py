@@ -26,3 +26,27 @@ def test_reports_of_every_rule(spark):
         per[file, level] += n
     for r in every["report_verdicts_all"](spark, DIR).collect():
         assert (r.n_error, r.n_warning, r.n_info) == tuple(per[r.file, x] for x in engine.LEVELS) and r.valid == (r.n_error == 0)
+
+
+def test_genome_of_all_orders(spark):
+    every = queries.queries()
+    t = synth.whole_tables(spark, DIR)
+    parts = t["seg"].join(t["chain"].select("file", "gen", "key", "name", "ok", "len"), ["file", "gen", "key"]).filter("ok and len >= 3 and name is not null")
+    chains = {}
+    for r in parts.select("file", "gen", "key", "name", "strand", "ph0", "st", "en", "rn").collect():
+        chains.setdefault((r.file, r.gen, r.key), []).append(r)
+    want, codons, n = {}, Counter(), len(synth.MOTIF)
+    for key, segments in chains.items():
+        out = ""
+        for s in sorted(segments, key=lambda s: s.rn):
+            bases = "".join(synth.MOTIF[(p - 1 + 7 * int(s.name[3:])) % n] for p in range(s.st, s.en + 1))
+            out += bases if s.strand == "+" else bases[::-1].translate(str.maketrans("ACGT", "TGCA"))
+        want[key] = out[segments[0].ph0 :]
+        codons.update(want[key][k : k + 3] for k in range(0, 3 * (len(want[key]) // 3 - 1), 3))
+    assert {(r.file, r.gen, r.key): r.bases for r in every["genome_slices_all"](spark, DIR).collect()} == want
+    assert {r.codon: r.n_codons for r in every["codon_scan_all"](spark, DIR).collect()} == codons
+    assert {f for f, _, _ in want} == {r.file for r in t["line"].select("file").distinct().collect()}
+    assert len(want) > every["genome_slices"](spark, DIR).count()
+    for rule in ("006", "007", "008"):  # findings on the fixed genome are among those on the whole one
+        few, many = (Counter(map(tuple, every[name](spark, DIR).collect())) for name in (f"bio_{rule}", f"bio_{rule}_all"))
+        assert not few - many and many.total() > few.total()
