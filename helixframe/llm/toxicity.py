@@ -62,7 +62,14 @@ def _signs() -> np.ndarray:
 _SIGN = _signs()
 #: Offsets of a subsequence's signs, and its weight.
 PATTERNS = [((0, *rest), DECAY ** (rest[-1] - LENGTH + 1)) for rest in itertools.combinations(range(1, SPAN), LENGTH - 1)]
-_NORM = np.sqrt(np.array([sum(w * w * max(0, n + 2 - o[-1]) for o, w in PATTERNS) for n in range(4096)]).clip(1e-12))
+#: Squared norms of words shorter than ``SPAN``; from there on the norm is linear under the root.
+_SQUARES = np.array([sum(w * w * max(0, n + 2 - o[-1]) for o, w in PATTERNS) for n in range(SPAN)])
+_SLOPE, _START = sum(w * w for _, w in PATTERNS), sum(w * w * (2 - o[-1]) for o, w in PATTERNS)
+
+
+def _norm(length: np.ndarray) -> np.ndarray:
+    """The kernel norm of words of so many signs."""
+    return np.sqrt(np.where(length < SPAN, _SQUARES[np.minimum(length, SPAN - 1)], _SLOPE * length + _START).clip(1e-12))
 
 
 def stream(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -123,7 +130,7 @@ def word_scores(texts: list[str], table: np.ndarray, bias: float) -> tuple[np.nd
     for code, weight in _codes(signs, at):
         total += np.float32(weight) * table[code]
     length = np.diff(np.r_[at, len(signs) - 1]) - 1
-    return np.add.reduceat(total, at)[: len(at)] / _NORM[np.minimum(length, len(_NORM) - 1)] + bias, text
+    return np.add.reduceat(total, at)[: len(at)] / _norm(length) + bias, text
 
 
 def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -131,7 +138,7 @@ def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     signs, at, text = stream(words)
     of = np.repeat(np.arange(len(at)), np.diff(np.r_[at, len(signs)]))
     length = np.diff(np.r_[at, len(signs) - 1]) - 1
-    scale = 1 / _NORM[np.minimum(length, len(_NORM) - 1)]
+    scale = 1 / _norm(length)
     rows, codes, values = [], [], []
     for code, weight in _codes(signs, at):
         hit = np.flatnonzero(code)

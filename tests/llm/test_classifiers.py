@@ -30,6 +30,16 @@ def test_subsequence_kernel_is_a_dot_product_of_gapped_subsequences():
         assert got.keys() == want.keys() and all(abs(got[u] - want[u]) < 1e-5 for u in want)
 
 
+def test_norm_of_a_word_of_any_length():
+    lengths = [1, 2, 3, toxicity.SPAN - 1, toxicity.SPAN, 100, 4095, 4096, 50_000]
+    for n in lengths:
+        want = math.sqrt(max(1e-12, sum(w * w * max(0, n + 2 - o[-1]) for o, w in toxicity.PATTERNS)))
+        assert abs(float(toxicity._norm(np.array([n]))[0]) / want - 1) < 1e-12
+    table = np.ones(1 << 20, np.float32)
+    values = [float(toxicity.word_scores(["ab" * n], table, 0.0)[0][0]) / math.sqrt(n) for n in (1000, 2000, 20_000)]
+    assert max(values) / min(values) < 1.01  # grows with the root of the length
+
+
 def _insulting(n, seed):
     r = random.Random(seed)
     plain = ["".join(r.choice("aeiounrst") for _ in range(r.randint(3, 8))) for _ in range(300)]
