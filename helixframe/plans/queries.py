@@ -74,16 +74,22 @@ def feature_index_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def feature_index_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every order's gene and every first line item's feature, looked up in its well-formed rows."""
-    tables = synth_tables(spark, sf_dir)
-    index = engine.feature_index(tables).filter("well_formed")
+def _wanted(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
     key = F.col("o_orderkey")
     file = F.concat(F.lit("file"), F.floor(key / 1000).cast("string"))
     wanted = orders.select(file.alias("file"), F.concat(F.lit("gene"), key.cast("string")).alias("feature_id"))
-    wanted = wanted.union(orders.select(file, F.concat(F.lit("f"), key.cast("string"), F.lit(".1"))))
-    return engine.resolve(index, wanted)
+    return wanted.union(orders.select(file, F.concat(F.lit("f"), key.cast("string"), F.lit(".1"))))
+
+
+def feature_index_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order's gene and every first line item's feature, looked up in its well-formed rows."""
+    return engine.resolve(engine.feature_index(synth_tables(spark, sf_dir)).filter("well_formed"), _wanted(spark, sf_dir))
+
+
+def feature_index_resolve_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``feature_index_resolve`` over all rows, so that a file with a malformed one says so; without SQL."""
+    return engine.resolve(engine.feature_index(synth_tables(spark, sf_dir)), _wanted(spark, sf_dir))
 
 
 def unresolved_references(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -168,7 +174,7 @@ _SQL: dict[str, Callable[[], str]] = {
 
 
 def queries() -> Queries:
-    out: Queries = {f.__name__: f for f in (report_counts, report_verdicts, report_counts_all, report_verdicts_all, epoch_running_count, fasta_records, feature_index_summary, feature_index_resolve, unresolved_references, scan_line_kinds, codon_scan, genome_slices, ontology_closure, profile_raised_levels)}
+    out: Queries = {f.__name__: f for f in (report_counts, report_verdicts, report_counts_all, report_verdicts_all, epoch_running_count, fasta_records, feature_index_summary, feature_index_resolve, feature_index_resolve_all, unresolved_references, scan_line_kinds, codon_scan, genome_slices, ontology_closure, profile_raised_levels)}
     return out | WHOLE | {name_of(r): _rule(r) for r in engine.implemented()}
 
 

@@ -50,3 +50,10 @@ def test_genome_of_all_orders(spark):
     for rule in ("006", "007", "008"):  # findings on the fixed genome are among those on the whole one
         few, many = (Counter(map(tuple, every[name](spark, DIR).collect())) for name in (f"bio_{rule}", f"bio_{rule}_all"))
         assert not few - many and many.total() > few.total()
+
+
+def test_malformed_rows_decide_a_lookup(spark):
+    every = queries.queries()
+    bad = {r.file for r in engine.feature_index(synth.synth_tables(spark, DIR)).filter("not well_formed").select("file").distinct().collect()}
+    few, got = ({(r.file, r.feature_id): r.outcome for r in every[name](spark, DIR).collect()} for name in ("feature_index_resolve", "feature_index_resolve_all"))
+    assert bad and got == {k: "malformed-layer" if k[0] in bad else v for k, v in few.items()}
