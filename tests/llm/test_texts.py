@@ -144,6 +144,15 @@ def test_pieces_are_the_library_s_with_exact_spans(odd, nothing):
     assert pieces.digest_pieces(nothing, PIECES).count() == 0
 
 
+def test_counted_marks_equal_the_alignment():
+    m, r = pieces.model(PIECES), random.Random(10)
+    texts = ["".join(r.choice(["a", "the", " ", "  ", "é", "漢", "\n", "\x00", "😀", "word", "ﬁ", "."]) for _ in range(r.randint(1, 40))) for _ in range(1500)]
+    assert m.separable and not m.map.units
+    for t, ids, want in zip(texts, m.encode(texts), m.library.encode(texts, add_bos=True, add_eos=True)):
+        assert ids.tolist() == want
+        assert m.offsets(t, ids)[:, 1].tolist() == m.normalise(t)[1][np.cumsum(m.length[ids])].tolist()
+
+
 def test_character_map_takes_the_longest_prefix():
     import struct
 
