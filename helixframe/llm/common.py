@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import itertools
 import uuid
 from collections import defaultdict
@@ -11,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import DataType, StructField, StructType
 
 #: Bytes of text that one numpy step works on; bounds the memory of a Python worker.
 STEP_BYTES = 1 << 21
@@ -20,21 +23,81 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: The sessions' own folders under the shared one, by application.
+_FOLDERS: dict[str, str] = {}
+
+
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+    """This session's own folder under ``spark.checkpoint.dir``, which driver and executors share.
 
-    Only where the session has none (tests on one machine) is a folder under the
-    warehouse used instead.
+    Only where the session has none and runs in one process (tests) is a folder under the
+    warehouse used instead; a cluster without it is refused. The folder is deleted when the
+    driver's process ends.
     """
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    return found or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
+    context = spark.sparkContext
+    if context.applicationId not in _FOLDERS:
+        top = context.getConf().get("spark.checkpoint.dir", None)
+        if not top:
+            if not context.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+            top = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+        _FOLDERS[context.applicationId] = f"{top.rstrip('/')}/{context.applicationId}"
+        atexit.register(_discard_last, spark, _FOLDERS[context.applicationId])
+    return _FOLDERS[context.applicationId]
+
+
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Delete folders that no later plan reads."""
+    jvm, context = spark._jvm, spark.sparkContext
+    if context._jsc is None or context._jsc.sc().isStopped():
+        return
+    for path in paths:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def _discard_last(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):  # the session may be gone already
+        discard(spark, path)
+
+
+class Scratch:
+    """Tables written to the shared folder; ``drop`` deletes one as soon as nothing reads it any more."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self._at = spark, {}
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{scratch_dir(self.spark)}/{name}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self._at[id(out)] = (path, out)
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        for x in tables:
+            discard(self.spark, self._at.pop(id(x))[0])
 
 
 def settle(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: cuts lineage, survives lost executors."""
-    path = f"{scratch_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return Scratch(spark).write(df, name)
+
+
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """``names``, with underscores added until none of them is one of ``columns`` in any case."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def with_fields(schema: StructType, **kinds: DataType) -> StructType:
+    """``schema`` with more fields."""
+    return StructType([*schema.fields, *(StructField(name, kind) for name, kind in kinds.items())])
 
 
 def slices(batch: pa.RecordBatch, text: str, step_bytes: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
@@ -51,7 +114,7 @@ def slices(batch: pa.RecordBatch, text: str, step_bytes: int = STEP_BYTES) -> It
 def map_texts(
     df: DataFrame,
     work: Callable[[pa.RecordBatch, list[str]], dict],
-    schema: str,
+    schema: str | StructType,
     text: str = "text",
     step_bytes: int = STEP_BYTES,
 ) -> DataFrame:
@@ -63,7 +126,7 @@ def map_texts(
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
-    wanted = _parse_datatype_string(schema)
+    wanted = _parse_datatype_string(schema) if isinstance(schema, str) else schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrow = to_arrow_schema(wanted)

@@ -9,9 +9,11 @@ its bytes' probabilities, and the language with the shortest code is predicted.
 statistics are frozen, a byte's code length depends only on the last ``ORDER`` bytes, so
 each distinct window is evaluated once and exactly.
 
-Learning uses at most about ``PER_LANGUAGE`` texts of each language, taken by hash. Null
+Learning uses at most ``PER_LANGUAGE`` texts of each of at most ``LANGUAGES`` languages (the
+most frequent ones), taken by hash; a language whose texts hold no byte is not learned. Null
 texts and those without a letter are 'und' with score 0; so is every text if nothing could
 be learned. Ties go to the language that is first by name. Letters are lowered first.
+Repeated rows get equal results; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -24,11 +26,17 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from .common import join_bytes, map_texts, sums_by, table
 
-ORDER, PER_LANGUAGE = 4, 500
-_LETTER = re.compile(r"[^\W\d_]").search
+ORDER, PER_LANGUAGE, LANGUAGES = 4, 500, 500
+_LETTERS = re.compile(r"[^\W\d_]").finditer
+
+
+def has_letter(text: str) -> bool:
+    """Whether any sign is a letter; signs such as a half or a raised two are none."""
+    return any(m[0].isalpha() for m in _LETTERS(text))
 
 
 def _windows(data: np.ndarray, order: int) -> np.ndarray:
@@ -43,6 +51,7 @@ class ContextTrees:
     """Frozen counts of all languages. ``order`` + 1 bytes make a window; zero bytes stand before a text."""
 
     def __init__(self, texts: dict[str, Iterable[str]], order: int = ORDER):
+        texts = {lang: held for lang, x in texts.items() if any(held := list(x))}
         self.languages, self.order = sorted(texts), order
         self.levels = []
         per: list[list[tuple]] = [[] for _ in range(order + 1)]
@@ -70,6 +79,8 @@ class ContextTrees:
         """Code length in bits of the last byte of each window, one column per language."""
         out = np.full((len(windows), len(self.languages)), 8.0)
         for k, (codes, counts, contexts, totals, distinct) in enumerate(self.levels):
+            if not len(codes):
+                continue
             w = windows & ((1 << 8 * (k + 1)) - 1)
             at, cat = np.searchsorted(codes, w), np.searchsorted(contexts, w >> 8)
             at, cat = np.minimum(at, len(codes) - 1), np.minimum(cat, len(contexts) - 1)
@@ -97,26 +108,28 @@ class ContextTrees:
         if not self.languages:
             return ["und"] * len(texts), np.zeros(len(texts))
         bits = self.code_lengths(texts)
-        known = np.array([_LETTER(x) is not None for x in texts], bool)
+        known = np.array([has_letter(x) for x in texts], bool)
         best = bits.argmin(axis=1)
         share = np.exp2(np.maximum(bits.min(axis=1, keepdims=True) - bits, -1000.0))
         score = np.where(known, 1 / share.sum(axis=1), 0.0)
         return [self.languages[b] if k else "und" for b, k in zip(best, known)], score
 
 
-def fit_languages(docs: DataFrame, per_language: int = PER_LANGUAGE, order: int = ORDER) -> ContextTrees:
-    """Trees from about ``per_language`` texts of each language, by hash of the key; all if there are fewer.
+def fit_languages(docs: DataFrame, per_language: int = PER_LANGUAGE, order: int = ORDER, languages: int = LANGUAGES) -> ContextTrees:
+    """Trees from at most ``per_language`` texts of each language, by hash of id and text; all if there are fewer.
 
-    ``docs`` has doc_id, text, lang. Only counts and the chosen texts come to the driver.
+    ``docs`` has doc_id, text, lang. The hash first thins each language to about twice what
+    is wanted, so what is ranked stays small at any size; the text of least hash stays
+    always. At most ``languages`` counts and ``languages`` x ``per_language`` texts come to the driver.
     """
-    docs = docs.filter("lang is not null and text is not null")
-    shares = {r[0]: per_language / r[1] for r in docs.groupBy("lang").count().collect()}
+    docs = docs.filter("lang is not null and text is not null").select("lang", "text", F.xxhash64("doc_id", "text", F.lit("language")).alias("draw"))
+    counts = docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min("draw").alias("least")).orderBy(F.desc("n"), "lang").limit(languages)
+    share = F.least(F.lit(1.0), F.lit(2.0 * per_language) / F.col("n"))
+    chosen = docs.join(F.broadcast(counts), "lang").filter((F.shiftrightunsigned("draw", 11) * F.lit(2.0**-53) < share) | (F.col("draw") == F.col("least")))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("draw"))
     texts: dict[str, list[str]] = {}
-    if shares:
-        draw = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit("language")), 11) * F.lit(2.0**-53)
-        share = F.create_map(*[F.lit(x) for kv in shares.items() for x in kv])
-        for lang, text in docs.filter(draw < share[F.col("lang")]).select("lang", "text").toLocalIterator():
-            texts.setdefault(lang, []).append(text)
+    for lang, text in chosen.withColumn("rank", rank).filter(F.col("rank") <= per_language).select("lang", "text").toLocalIterator():
+        texts.setdefault(lang, []).append(text)
     return ContextTrees(texts, order)
 
 

@@ -9,11 +9,15 @@ falling length, to the smallest gap that holds them, or open new sequences.
 The plan depends only on how many pieces there are of each length, so it is made from a
 histogram of at most ``capacity`` counts: whole runs of equal lengths are placed at once in
 runs of equal sequences. The plan is a list of (length, first rank, first sequence, offset);
-each piece finds its place by its rank among the pieces of its length. Ranks come from
-hashed sub-buckets, so a length that holds a third of all pieces is dealt over many tasks.
-
-Null and empty texts are one piece of one id (the end id). Repeated rows are packed one by
-one. An empty table gives an empty result. Columns beside key and text are ignored.
+each piece finds its place by its rank among the pieces of its length. Which of two pieces
+of one length comes first is of no account, so ranks come from sub-buckets to which pieces
+are dealt by a number written with them: a length, or one text, that makes up a third of
+all pieces is spread over many tasks.
+
+Ids are those of the tokenizers library as the vocabulary file sets it up: a text that spells
+out a special token gets that token's id. Null and empty texts are one piece of one id (the
+end id). Repeated rows are packed one by one. An empty table gives an empty result. Columns
+beside key and text are ignored.
 """
 
 from __future__ import annotations
@@ -29,20 +33,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
+from pyspark.sql.types import LongType
 
-from .common import ChunkIds, map_texts, settle, table
+from .common import ChunkIds, fresh, map_texts, settle, table, with_fields
 
 CAPACITY, END_ID = 2048, 0
-#: Sub-buckets in which the pieces of one length are ranked.
-RANK_BUCKETS = 64
+#: Pieces of one length that one sub-bucket holds at about this many; it is ranked in one task.
+BUCKET_PIECES = 250_000
 
 
 class Encoder:
     """Ids of texts exactly as the tokenizer file gives them, remembering the ids of chunks.
 
     The vocabulary's pattern never joins a blank to what stands before it, so a text whose
-    blanks stand alone between other characters can be cut before each blank. Other texts
-    go to the tokenizer whole. The rank file holds the same vocabulary; chunks not yet
+    blanks stand alone between other characters can be cut before each blank. Other texts,
+    and those that spell out a special token, go to the tokenizer whole. The rank file holds the same vocabulary; chunks not yet
     known are encoded together in one call.
     """
 
@@ -52,7 +57,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(tokenizer)
-        self.whole.encode_special_tokens = True
+        special = [re.escape(t.content) for t in self.whole.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(special)).search if special else lambda t: None
         with open(ranks, "rb") as lines:
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.words = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens={})
@@ -75,7 +81,7 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         split = [t.split(" ") for t in texts]
-        whole = ["" in words or self.crowded(t) for t, words in zip(texts, split)]
+        whole = ["" in words or self.crowded(t) or self.special(t) for t, words in zip(texts, split)]
         rest = self.chunks.encode([[] if w else words[1:] for words, w in zip(split, whole)])
         out = []
         for t, words, w, ids in zip(texts, split, whole, rest):
@@ -164,9 +170,11 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple[i
     while large:
         a = large[-1]
         at = bisect.bisect_right(large, capacity - a)
-        b = large[at - 1] if at else 0
-        n = left[a] if not b else left[a] // 2 if a == b else min(left[a], left[b])
-        n, partner = (n, b) if n else (left[a], 0)
+        if at and large[at - 1] == a and left[a] == 1:
+            at -= 1  # its only partner of this length would be itself
+        partner = large[at - 1] if at else 0
+        n = left[a] if not partner else left[a] // 2 if a == partner else min(left[a], left[partner])
+        b = partner
         first, end, made = made, made + n, made + n
         runs.append((a, rank[a], first, 0))
         rank[a] += n
@@ -202,52 +210,54 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple[i
     return runs, made
 
 
-def pack(spark: SparkSession, items: DataFrame, order: list[str], capacity: int = CAPACITY) -> DataFrame:
-    """``items`` (with a column ``length``) with sequence_id and offset; ``order`` breaks ties for ranks.
+def pack(spark: SparkSession, items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """``items`` (with a column ``length``, 1 to ``capacity``) with sequence_id and offset.
 
-    ``items`` is read twice and must give the same rows each time.
+    Items are written once, each with a number that deals it to a sub-bucket of its length.
+    At most ``capacity`` counts and, beyond those, one for ``BUCKET_PIECES`` items come to
+    the driver.
     """
-    bucket = F.pmod(F.xxhash64(*order), F.lit(RANK_BUCKETS)).cast("int")
-    dealt = items.withColumn("_bucket", bucket)
-    totals = dealt.groupBy("length", "_bucket").agg(F.count(F.lit(1)).alias("_total"))
-    # at most capacity x RANK_BUCKETS rows
-    found: dict[int, list[tuple[int, int]]] = {}
-    for n, b, c in sorted(map(tuple, totals.collect())):
-        found.setdefault(n, []).append((b, c))
-    before, counts = np.zeros((capacity + 1, RANK_BUCKETS), np.int64), {}
-    for n, row in found.items():
-        for b, c in row:
-            before[n, b] = counts.get(n, 0)
-            counts[n] = counts.get(n, 0) + c
+    names = items.columns
+    deal, bucket, rank = fresh(names, "deal", "bucket", "rank")
+    # a number per row, not a hash of it, so that equal rows part
+    items = settle(spark, items.withColumn(deal, F.xxhash64(F.monotonically_increasing_id())), "pieces")
+    counts = {n: c for n, c in items.groupBy("length").count().collect()}
+    sizes = spark.createDataFrame([(n, max(1, -(-c // BUCKET_PIECES))) for n, c in counts.items()], f"length {dict(items.dtypes)['length']}, {bucket} long")
+    dealt = items.join(F.broadcast(sizes), "length").withColumn(bucket, F.pmod(F.col(deal), F.col(bucket)))
+    base = np.zeros(capacity + 2, np.int64)  # where a length's sub-buckets begin
+    for n, c in counts.items():
+        base[n + 1] = max(1, -(-c // BUCKET_PIECES))
+    base = np.cumsum(base)
+    before = np.zeros(base[-1], np.int64)
+    seen: dict[int, int] = {}
+    for n, b, c in sorted(map(tuple, dealt.groupBy("length", bucket).count().collect())):
+        before[base[n] + b] = seen.get(n, 0)
+        seen[n] = seen.get(n, 0) + c
     runs, _ = plan(counts, capacity)
     runs.sort()
     lengths, ranks, firsts, offsets = (np.array(x, np.int64) for x in zip(*runs)) if runs else (np.zeros(0, np.int64),) * 4
     keys = (lengths << 48) | ranks
-    shared = spark.sparkContext.broadcast((before, keys, ranks, firsts, offsets))
-    ranked = dealt.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_bucket").orderBy(*order)).cast("long") - 1)
-    from pyspark.sql.types import LongType, StructField, StructType
-
-    schema = StructType([*items.schema.fields, StructField("sequence_id", LongType()), StructField("offset", LongType())])
-    names = items.columns
+    shared = spark.sparkContext.broadcast((base, before, keys, ranks, firsts, offsets))
+    ranked = dealt.withColumn(rank, F.row_number().over(Window.partitionBy("length", bucket).orderBy(deal)).cast("long") - 1)
+    schema = with_fields(items.select(*names).schema, sequence_id=LongType(), offset=LongType())
 
     def place(batches):
-        before, keys, ranks, firsts, offsets = shared.value
+        base, before, keys, ranks, firsts, offsets = shared.value
         for batch in batches:
             if not batch.num_rows:
                 continue
             n = batch.column("length").to_numpy()
-            rank = batch.column("_rank").to_numpy() + before[n, batch.column("_bucket").to_numpy()]
-            at = np.searchsorted(keys, (n << 48) | rank, side="right") - 1
+            at_rank = batch.column(rank).to_numpy() + before[base[n] + batch.column(bucket).to_numpy()]
+            at = np.searchsorted(keys, (n << 48) | at_rank, side="right") - 1
             columns = [batch.column(c) for c in names]
-            columns += [pa.array(firsts[at] + rank - ranks[at]), pa.array(offsets[at])]
+            columns += [pa.array(firsts[at] + at_rank - ranks[at]), pa.array(offsets[at])]
             yield pa.RecordBatch.from_arrays(columns, names=[*names, "sequence_id", "offset"])
 
-    return ranked.mapInArrow(place, schema)
+    return ranked.select(*names, bucket, rank).mapInArrow(place, schema)
 
 
 def pack_documents(spark: SparkSession, docs: DataFrame, capacity: int = CAPACITY, args: tuple[str, str, str] | None = None) -> DataFrame:
-    items = settle(spark, pieces(docs, args or public_encoder_args(), capacity), "pieces")
-    return pack(spark, items, ["doc_id", "piece", "start", "ids_crc32"], capacity)
+    return pack(spark, pieces(docs, args or public_encoder_args(), capacity), capacity)
 
 
 def op7_large_item_matching(spark: SparkSession, sf_dir: str) -> DataFrame:

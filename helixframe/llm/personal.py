@@ -70,7 +70,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
         else:
             at = text.find("@", at + 1)
     if _DIGIT.search(text):
-        out += [("ip", m.start(), m.end()) for m in _IP.finditer(text) if all(len(x.lstrip("0")) <= 3 and int(x) <= 255 for x in m[0].split("."))]
+        out += [("ip", m.start(), m.end()) for m in _IP.finditer(text) if all(len(n := x.lstrip("0")) <= 3 and int(n or "0") <= 255 for x in m[0].split("."))]
         for m in _CARD.finditer(text):
             if m.end() - m.start() >= 12 and 12 <= len(d := _only_digits(m[0])) <= 19 and luhn(d):
                 out.append(("card", m.start(), m.end()))
@@ -172,7 +172,7 @@ def features(text: str, s: int, e: int, kind: str) -> tuple[str, ...]:
         if kind == "card":
             out.append("checksum holds" if luhn(digits) else "checksum fails")
         if kind == "ip":
-            out.append("octets" if all(int(g) <= 255 and len(g) <= 3 for g in groups) else "no octets")
+            out.append("octets" if all(len(g) <= 3 and int(g) <= 255 for g in groups) else "no octets")
             out.append("dotted" if re.fullmatch(r"\d+(?:(?:\.|\[\.\]|\(\.\))\d+){3}", span) else "not dotted")
         if span[0] == "+":
             out.append("plus")
@@ -402,8 +402,7 @@ def mask_personal(df: DataFrame, text: str = "text", field: Field | None = None)
         null = batch.column(text).is_null().to_pylist()
         return {text: [None if n else masked(t, find(t, f)[1]) for t, n in zip(texts, null)]}
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    out = map_texts(df, work, schema, text)
+    out = map_texts(df, work, df.schema, text)
     return out.withColumn("n_chars", F.length(text).cast(out.schema["n_chars"].dataType)) if "n_chars" in df.columns else out
 
 

@@ -2,14 +2,17 @@
 
 Normalisation walks a text with the model's compiled character map (a double-array trie):
 the longest prefix that the map holds is replaced, else one character is copied, and every
-normalised byte remembers the source byte it came from. A model whose map is empty copies
-all characters. Blanks become the mark U+2581 and one mark is put before a text, which has
-no source byte. The pieces' lengths then cut the normalised bytes, and the alignment
+normalised byte remembers the source byte it came from. Only bytes that begin an entry of
+the map are looked up, and stretches between them are copied at once; a model whose map is
+empty copies all of a text. Blanks become the mark U+2581 and one mark is put before a text,
+which has no source byte; models that say so also drop outer blanks and join inner ones.
+The normalised bytes are what is encoded. The pieces' lengths cut them, and the alignment
 projects each cut to the source: piece k covers source bytes [start, end), gapless.
 
-No piece of a model joins a mark to a character before it (checked when it is loaded), so
-blank-led chunks are encoded apart and remembered. Null and empty texts give the begin and
-end ids alone; repeated rows equal results; an empty table an empty one.
+Where no piece of a model joins a mark to a character before it (checked when it is loaded),
+the normalised text is cut before its marks, and chunks are encoded apart and remembered;
+other models encode whole texts. Null and empty texts give the begin and end ids alone;
+repeated rows equal results; an empty table an empty one.
 """
 
 from __future__ import annotations
@@ -65,15 +68,23 @@ class CharacterMap:
             (n,) = struct.unpack_from("<I", compiled)
             self.units = list(struct.unpack_from(f"<{n // 4}I", compiled, 4))
             self.values = compiled[4 + n :]
+        #: Whether an entry begins with this byte.
+        self.begins = np.array([self.units != [] and self._first(b) for b in range(256)], bool)
+
+    @staticmethod
+    def _step(unit: int) -> int:
+        return (unit >> 10) << ((unit & 0x200) >> 6)
+
+    def _first(self, byte: int) -> bool:
+        node = self._step(self.units[0]) ^ byte
+        return node < len(self.units) and self.units[node] & 0x800000FF == byte
 
     def longest(self, raw: bytes, at: int) -> tuple[int, bytes] | None:
         """Length of the longest prefix of ``raw[at:]`` in the map, and its replacement."""
         if not self.units:
             return None
         units, found = self.units, None
-        node = 0
-        step = lambda u: (u >> 10) << ((u & 0x200) >> 6)
-        node ^= step(units[0])
+        node = self._step(units[0])
         for k in range(at, len(raw)):
             node ^= raw[k]
             if node >= len(units):
@@ -81,7 +92,7 @@ class CharacterMap:
             unit = units[node]
             if unit & 0x800000FF != raw[k]:
                 break
-            node ^= step(unit)
+            node ^= self._step(unit)
             if unit & 0x100:
                 found = (k + 1 - at, units[node] & 0x7FFFFFFF)
         if found is None:
@@ -99,76 +110,79 @@ class PieceModel:
             fields = list(_fields(f.read()))
         spec = dict(_fields(next(v for k, v in fields if k == 3)))
         self.map = CharacterMap(spec.get(2, b""))
-        self.dummy_prefix = bool(spec.get(3, 1))
-        self.collapse = bool(spec.get(4, 1))
+        self.dummy_prefix, self.collapse, self.escape = (bool(spec.get(k, 1)) for k in (3, 4, 5))
         surfaces = [self.library.id_to_piece(i) for i in range(self.library.get_piece_size())]
-        self.separable = self.dummy_prefix and not self.collapse and not self.map.units
+        self.separable = self.dummy_prefix and self.escape and not self.collapse and not self.map.units
+        self.separable &= all(self.library.piece_to_id(f"<0x{b:02X}>") != self.library.unk_id() for b in range(256))
         self.separable &= not any(re.search(f"[^{MARK}]{MARK}", s) for s in surfaces)
-        #: Normalised bytes of each piece, and how many of them are marks' extra bytes.
+        #: Normalised bytes of each piece; those of an unknown piece are known from the text alone.
         self.length = np.array([1 if self.library.is_byte(i) else 0 if self.library.is_control(i) else len(s.encode()) for i, s in enumerate(surfaces)])
-        self.marks = np.array([0 if self.library.is_control(i) else s.count(MARK) for i, s in enumerate(surfaces)])
         self.chunks = ChunkIds(self._learn)
         self.mark_id = np.array([self.library.piece_to_id(MARK)], "<u4").tobytes()
         self.ends = (self.library.bos_id(), self.library.eos_id())
-        self.led = re.compile(" +[^ ]*").findall
+        self.led = re.compile(f"{MARK}+[^{MARK}]*").findall
 
     def _learn(self, chunks: list[str]) -> list[bytes]:
-        """Ids of chunks that begin with a blank, which the library puts there itself."""
+        """Ids of normalised chunks that begin with a mark, which the library puts there itself."""
         made = self.library.encode([c[1:] for c in chunks])
         return [np.array(ids, "<u4").tobytes() if len(c) > 1 else self.mark_id for c, ids in zip(chunks, made)]
 
     def normalise(self, text: str) -> tuple[bytes, np.ndarray]:
         """Normalised bytes; for each, and for the end, the source byte it came from."""
-        raw, mark = text.encode("utf-8", "surrogatepass"), MARK.encode()
-        out, source = bytearray(), []
-
-        def put(value: bytes, at: int) -> None:
-            value = value.replace(b" ", mark)
-            out.extend(value)
-            source.extend([at] * len(value))
-
-        if raw and self.dummy_prefix:
-            put(b" ", 0)
+        raw = text.encode("utf-8", "surrogatepass")
+        if not raw:
+            return b"", np.zeros(1, np.int64)
+        data = np.frombuffer(raw, np.uint8)
+        parts: list[bytes] = []
+        places: list[np.ndarray] = []
         at = 0
-        while at < len(raw):
-            hit = self.map.longest(raw, at)
-            n = hit[0] if hit else 1 if raw[at] < 0x80 else 2 if raw[at] < 0xE0 else 3 if raw[at] < 0xF0 else 4
-            if hit:
-                put(hit[1], at)
-            elif n == 1:
-                put(raw[at : at + 1], at)
-            else:  # the bytes of a copied character keep their own places
-                out.extend(raw[at : at + n])
-                source.extend(range(at, at + n))
-            at += n
-        return bytes(out), np.array([*source, len(raw)], np.int64)
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text, begin and end ids included."""
+        for k in np.flatnonzero(self.map.begins[data]).tolist() if self.map.units else ():
+            if k < at or not (hit := self.map.longest(raw, k)):
+                continue
+            parts += [raw[at:k], hit[1]]
+            places += [np.arange(at, k), np.full(len(hit[1]), k)]
+            at = k + hit[0]
+        parts.append(raw[at:])
+        places.append(np.arange(at, len(raw)))
+        out, source = b"".join(parts), np.concatenate(places)
+        if self.collapse:
+            letters = np.frombuffer(out, np.uint8)
+            keep = (letters != 32) | np.r_[False, letters[:-1] != 32]
+            last = np.flatnonzero(letters != 32)
+            keep &= np.arange(len(out)) <= (last[-1] if len(last) else -1)
+            out, source = letters[keep].tobytes(), source[keep]
+            if not out:
+                return b"", np.array([len(raw)], np.int64)
+        if self.dummy_prefix:
+            out, source = b" " + out, np.r_[0, source]
+        if self.escape:
+            width = np.where(np.frombuffer(out, np.uint8) == 32, len(MARK.encode()), 1)
+            out, source = out.replace(b" ", MARK.encode()), np.repeat(source, width)
+        return out, np.r_[source, len(raw)]
+
+    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each text its ids, begin and end ids included, and their source byte spans, one row (start, end)."""
         b, e = self.ends
-        if not self.separable:
-            return [np.array(x, "<u4") for x in self.library.encode(texts, add_bos=True, add_eos=True)]
-        chunks = []
-        for t in texts:
-            t = t.replace(MARK, " ")
-            words = (" " + t).split(" ")[1:] if t else []
-            chunks.append(self.led(" " + t) if "" in words else [" " + w for w in words])
-        return [np.concatenate(([b], x, [e])).astype("<u4") for x in self.chunks.encode(chunks)]
-
-    def offsets(self, text: str, ids: np.ndarray) -> np.ndarray:
-        """Source byte span of each id, one row (start, end); control ids have empty ones.
-
-        Where nothing but blanks changes, the normalised text is longer by two bytes for
-        each blank and three for the first mark, so the cuts are projected by counting
-        marks; other texts use the alignment.
-        """
-        n = self.length[ids]
-        cuts = np.cumsum(n)
-        if not self.map.units and MARK not in text and text:
-            stop = np.maximum(cuts - 2 * np.cumsum(self.marks[ids]) - self.dummy_prefix, 0)
+        normal = [self.normalise(t) for t in texts]
+        if self.separable:
+            chunks = []
+            for raw, _ in normal:
+                t = raw.decode("utf-8", "surrogatepass")
+                words = t.split(MARK)[1:]
+                chunks.append(self.led(t) if "" in words else [MARK + w for w in words])
+            ids = [np.concatenate(([b], x, [e])).astype("<u4") for x in self.chunks.encode(chunks)]
+            sizes = [self.length[x] for x in ids]
         else:
-            _, source = self.normalise(text)
-            stop = source[cuts]
+            ids, sizes = [], []
+            for made, surfaces in zip(self.library.encode(texts), self.library.encode(texts, out_type=str)):
+                ids.append(np.array([b, *made, e], "<u4"))
+                n = [1 if self.library.is_byte(x) else len(s.encode()) for x, s in zip(made, surfaces)]
+                sizes.append(np.array([0, *n, 0], np.int64))
+        return [(x, self._spans(n, source)) for x, n, (_, source) in zip(ids, sizes, normal)]
+
+    @staticmethod
+    def _spans(sizes: np.ndarray, source: np.ndarray) -> np.ndarray:
+        stop = source[np.cumsum(sizes)]
         return np.stack([np.r_[0, stop[:-1]], stop], axis=1)
 
 
@@ -186,8 +200,7 @@ def encode_pieces(df: DataFrame, path: str, key: str = "doc_id", text: str = "te
 
     def work(batch: pa.RecordBatch, texts: list[str]) -> dict:
         m = model(path)
-        ids = m.encode(texts)
-        spans = [m.offsets(t, x) for t, x in zip(texts, ids)]
+        ids, spans = zip(*m.encode(texts))
         return {
             "ids": [x.tolist() for x in ids],
             "starts": [s[:, 0].tolist() for s in spans],
@@ -204,9 +217,8 @@ def digest_pieces(df: DataFrame, path: str, key: str = "doc_id", text: str = "te
 
     def work(batch: pa.RecordBatch, texts: list[str]) -> dict:
         m = model(path)
-        ids = m.encode(texts)
+        ids, spans = zip(*m.encode(texts))
         decoded = m.library.decode([x.tolist() for x in ids])
-        spans = [m.offsets(t, x) for t, x in zip(texts, ids)]
         return {
             "n_tokens": [len(x) for x in ids],
             "ids_sha256": [hashlib.sha256(x).hexdigest() for x in ids],

@@ -20,8 +20,10 @@ from collections import defaultdict
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
-from .common import map_texts, table
+from .common import fresh, map_texts, table, with_fields
 
 MIN_WORDS, MAX_COVERED, MAX_REPEAT = 5, 0.35, 60
 _SPACE, _SYMBOLS = b" \t\n\v\f\r", b"#*$%&|<>"
@@ -133,9 +135,8 @@ def score_repetition(df: DataFrame, key: str = "doc_id", text: str = "text") ->
 
 def filter_repetition(df: DataFrame, text: str = "text") -> DataFrame:
     """The rows whose text passes the rules, with all their columns."""
-    flag = "_kept_by_repetition"
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + f", {flag} boolean"
-    return map_texts(df, lambda batch, texts: {flag: judge(texts)["kept"]}, schema, text).filter(flag).drop(flag)
+    (flag,) = fresh(df.columns, "kept_by_repetition")
+    return map_texts(df, lambda batch, texts: {flag: judge(texts)["kept"]}, with_fields(df.schema, **{flag: BooleanType()}), text).filter(F.col(flag)).drop(flag)
 
 
 def op8_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,8 +25,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
 
-from .common import map_texts, settle, slices, table
+from .common import fresh, map_texts, settle, slices, table, with_fields
 
 BITS, TARGETS, OTHERS, TARGET_COST = 15, 20_000, 5_000, 20.0
 #: Byte n-grams, then: word differs from the one before, word repeats it.
@@ -105,8 +106,6 @@ def kth_largest(df: DataFrame, column: str, k: int, collect: int = 5_000, bins:
 
 def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> tuple[Ratio, DataFrame]:
     """The fitted ratio with its least kept key, and (doc_id, log_weight, noise) of all rows."""
-    from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
-
     docs = docs.select("doc_id", "text").join(F.broadcast(chosen_labels(labels)), "doc_id", "left")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,7 +136,8 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> tuple[Ratio,
     )
     scored = settle(spark, scored, "weights")
     if target.sum():
-        known = scored.filter("quality is not null and log_weight > double('-infinity')").select("quality", "log_weight").toPandas()
+        # one weight a labelled id, at most TARGETS + OTHERS
+        known = scored.filter("quality is not null and log_weight > double('-infinity')").groupBy("doc_id", "quality").agg(F.min("log_weight").alias("log_weight")).toPandas()
         w, good = known["log_weight"].to_numpy(), known["quality"].to_numpy() == 1
         order = np.argsort(w, kind="stable")
         cost = np.r_[0.0, np.cumsum(np.where(good[order], TARGET_COST, -1.0))]  # of a cut before each
@@ -156,9 +156,10 @@ def keep_resampled(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> D
     """The rows of ``docs`` that the draw keeps, with all their columns."""
     ratio, _ = fit(spark, docs, labels)
     shared = spark.sparkContext.broadcast(ratio)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", _noise double, _log_weight double"
-    out = map_texts(docs.withColumn("_noise", _noise()), lambda batch, texts: {"_log_weight": [shared.value.weight(t) for t in texts]}, schema)
-    return out.filter(F.col("_log_weight") + F.col("_noise") >= ratio.least).drop("_noise", "_log_weight")
+    noise, weight = fresh(docs.columns, "noise", "log_weight")
+    schema = with_fields(docs.schema, **{noise: DoubleType(), weight: DoubleType()})
+    out = map_texts(docs.withColumn(noise, _noise()), lambda batch, texts: {weight: [shared.value.weight(t) for t in texts]}, schema)
+    return out.filter(F.col(weight) + F.col(noise) >= ratio.least).drop(noise, weight)
 
 
 def op9_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,8 @@ more shard takes rows only into itself, and no row moves between older shards.
 
 Null keys hash like any other value (all of them go to one shard); repeated rows are kept
 and get slots of their own; an empty table gives an empty result. Everything is a Spark
-expression over the row; slots need one shuffle of (key, size, checksum) rows.
+expression over the row; slots need one shuffle of counted (key, size, checksum) rows, and
+a second one of those that stand for more than ``RUN`` equal rows, in runs of that many.
 """
 
 from __future__ import annotations
@@ -21,10 +22,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import table
+from .common import fresh, settle, table
 
-#: Sub-buckets in which the rows of a shard are numbered; their counts are what is prefix-summed.
-SLOT_BUCKETS = 256
+#: Distinct rows that one sub-bucket of a shard holds at about this many; its rows are numbered in one task.
+BUCKET_ROWS = 250_000
+#: Copies of one row that are written out together.
+RUN = 4096
 
 
 @dataclass(frozen=True)
@@ -77,24 +80,30 @@ def shard_of(key: Column, tree: list[Leaf]) -> Column:
     return F.substring(leaf, 7, 20).cast("int")
 
 
-def with_slots(df: DataFrame, shard: str, order: list[str]) -> DataFrame:
+def with_slots(df: DataFrame, shard: str, order: list[str], rows: int) -> DataFrame:
     """Gapless numbers from 0 in each shard, by ``order``; rows equal in all columns are kept apart.
 
     Equal rows are first counted, so copies of one key are one row in the shuffle. The
-    running sum is taken inside hashed sub-buckets of a shard, whose totals are then
-    prefix-summed, so no task holds a whole shard.
+    running sum is taken inside hashed sub-buckets of a shard, about one for ``BUCKET_ROWS``
+    of the ``rows``, whose totals are then prefix-summed, so no task holds a whole shard.
+    Copies come back from their counts in runs of ``RUN``; long runs are dealt out again
+    before they are written out, so copies of one row are spread over the tasks.
     """
     columns = df.columns
-    counted = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("_n"))
-    counted = counted.withColumn("_bucket", F.pmod(F.xxhash64(*[F.col(c) for c in order], F.lit("slot")), F.lit(SLOT_BUCKETS)))
-    within = Window.partitionBy(shard, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = counted.withColumn("_end", F.sum("_n").over(within))
-    totals = counted.groupBy(shard, "_bucket").agg(F.sum("_n").alias("_total"))
-    before = Window.partitionBy(shard).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.withColumn("_before", F.coalesce(F.sum("_total").over(before), F.lit(0))).drop("_total")
-    joined = ranked.join(offsets, [shard, "_bucket"])
-    first = F.col("_before") + F.col("_end") - F.col("_n")
-    return joined.select(*columns, F.explode(F.sequence(first, first + F.col("_n") - 1)).alias("slot"))
+    n, first, bucket, end, before, step = fresh(columns, "n", "first", "bucket", "end", "before", "step")
+    buckets = max(1, -(-rows // BUCKET_ROWS))
+    counted = df.groupBy(*columns).agg(F.count(F.lit(1)).alias(n))
+    counted = settle(df.sparkSession, counted.withColumn(bucket, F.pmod(F.xxhash64(*[F.col(c) for c in order], F.lit("slot")), F.lit(buckets))), "counted")
+    within = Window.partitionBy(shard, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = counted.withColumn(end, F.sum(n).over(within))
+    totals = counted.groupBy(shard, bucket).agg(F.sum(n).alias(end))
+    earlier = Window.partitionBy(shard).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(shard, bucket, F.coalesce(F.sum(end).over(earlier), F.lit(0)).alias(before))
+    joined = ranked.join(offsets, [shard, bucket]).select(*columns, n, (F.col(before) + F.col(end) - F.col(n)).alias(first))
+    few = joined.filter(F.col(n) <= RUN)
+    many = joined.filter(F.col(n) > RUN).withColumn(step, F.explode(F.sequence(F.lit(0), F.floor((F.col(n) - 1) / RUN))))
+    many = many.select(*columns, F.least(F.col(n) - F.col(step) * RUN, F.lit(RUN)).alias(n), (F.col(first) + F.col(step) * RUN).alias(first)).repartition(F.col(shard), F.col(first))
+    return few.unionByName(many).select(*columns, F.explode(F.sequence(F.col(first), F.col(first) + F.col(n) - 1)).alias("slot"))
 
 
 def op2_weighted_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,5 +122,5 @@ def op2_weighted_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
         shard_of(F.col("doc_id"), tree).alias("shard"),
         shard_of(F.col("doc_id"), grow(tree)).alias("grown_shard"),
     )
-    out = with_slots(rows, "shard", ["doc_id", "size", "text_crc32"])
+    out = with_slots(rows, "shard", ["doc_id", "size", "text_crc32"], docs.count())
     return out.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")

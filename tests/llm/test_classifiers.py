@@ -116,6 +116,19 @@ def test_languages_of_odd_rows(spark, odd, nothing):
     assert language.identify(nothing, trees).count() == 0
 
 
+def test_nothing_learned_and_signs_that_are_no_letters(spark):
+    trees = language.ContextTrees({"x": ["", ""], "y": []})
+    assert trees.predict(["abc", ""]) [0] == ["und", "und"]
+    assert language.ContextTrees({"x": ["ab"], "y": [""]}).languages == ["x"]
+    known = language.ContextTrees({"x": ["abc"]})
+    assert known.predict(["½", "²", "1_2", "a", "é"])[0] == ["und", "und", "und", "x", "x"]
+    assert language.ContextTrees({"x": ["a"]}).code_lengths(["a", "zz"]).shape == (2, 1)
+    rows = [(1, "same text", "a")] * 300 + [(k, f"other {k}", "b") for k in range(300)] + [(9, "", "c"), (None, "eine", "d")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    assert language.fit_languages(docs, per_language=5).languages == ["a", "b", "d"]  # copies neither vanish nor pile up
+    assert language.fit_languages(docs, per_language=5, languages=2).languages == ["a", "b"]
+
+
 def test_kth_largest_is_exact(spark):
     r = random.Random(2)
     values = [r.gauss(0, 1) for _ in range(500)] + [0.25] * 50

@@ -23,15 +23,51 @@ def test_tree_follows_weights_and_grows_without_other_moves(spark):
     assert all(r.c in (0, 1, 2) for r in rows if r.c != r.a)  # only inside the region whose weight grew
 
 
-def test_slots_of_odd_rows(spark, odd, nothing):
+def test_slots_of_odd_rows(spark, odd, nothing, monkeypatch):
     tree = sharding.topology(3)
     rows = odd.select("doc_id", F.lit(1).alias("size"), sharding.shard_of(F.col("doc_id"), tree).alias("shard"))
-    got = sharding.with_slots(rows, "shard", ["doc_id", "size"]).collect()
+    monkeypatch.setattr(sharding, "BUCKET_ROWS", 4)
+    got = sharding.with_slots(rows, "shard", ["doc_id", "size"], 10).collect()
     slots = defaultdict(list)
     for r in got:
         slots[r.shard].append(r.slot)
     assert len(got) == 10 and all(sorted(x) == list(range(len(x))) for x in slots.values())
-    assert sharding.with_slots(rows.filter("doc_id = -1"), "shard", ["doc_id", "size"]).count() == 0
+    assert sharding.with_slots(rows.filter("doc_id = -1"), "shard", ["doc_id", "size"], 0).count() == 0
+
+
+def test_slots_of_many_copies_come_in_runs(spark):
+    rows = spark.range(20_000).select(F.when(F.col("id") < 13_000, 7).otherwise(F.col("id")).alias("doc_id"), F.lit(0).alias("shard"), F.lit(1).alias("n"))
+    got = sharding.with_slots(rows, "shard", ["doc_id"], 20_000)
+    assert got.columns == ["doc_id", "shard", "n", "slot"]
+    found = got.collect()
+    assert sorted(r.slot for r in found) == list(range(20_000)) and sum(r.doc_id == 7 for r in found) == 13_000
+
+
+def test_draws_are_those_of_a_plain_tree(spark):
+    """The hash of a key and a child's name is XXH64 of one seeded by that of the other."""
+    import math
+
+    import xxhash
+
+    def shard(key, tree):
+        node, level = "", {"": tree}
+        for depth, name in enumerate(("region", "rack", "shard")):
+            here, best = level[node], None
+            kids = defaultdict(list)
+            for x in here:
+                kids[f"{name} {getattr(x, name)}"].append(x)
+            for child, leaves in kids.items():
+                h = xxhash.xxh64_intdigest(child.encode(), xxhash.xxh64_intdigest(key.to_bytes(8, "little", signed=True), 42))
+                clock = -math.log(((h >> 11) + 0.5) * 2.0**-53) / sum(x.weight for x in leaves)
+                best = min(best or (clock, child), (clock, child))
+            node, level = best[1], {best[1]: kids[best[1]]}
+        return int(node[6:])
+
+    tree = sharding.topology(24)
+    keys = [*range(300), -1, 1 << 62]
+    df = spark.createDataFrame([(k,) for k in keys], "k long")
+    got = {r.k: (r.a, r.b) for r in df.select("k", sharding.shard_of(F.col("k"), tree).alias("a"), sharding.shard_of(F.col("k"), sharding.grow(tree)).alias("b")).collect()}
+    assert got == {k: (shard(k, tree), shard(k, sharding.grow(tree))) for k in keys}
 
 
 def _fill(runs, counts, capacity):
@@ -65,10 +101,30 @@ def test_cuts():
     assert packing.cut(5, 4) == [(0, 1), (1, 4)] and packing.cut(8, 4) == [(0, 4), (4, 4)] and packing.cut(3, 4) == [(0, 3)]
 
 
+def test_odd_large_pieces_find_a_partner():
+    assert packing.plan({1000: 1, 700: 1}, 2048)[1] == 1
+    r = random.Random(3)
+    for _ in range(200):
+        sizes = [r.randint(683, 2048) for _ in range(r.randint(1, 40))]
+        bins, left = 0, sorted(sizes)  # piece by piece: the largest with the largest that fits
+        while left:
+            a = left.pop()
+            fits = [x for x in left if x <= 2048 - a]
+            if fits:
+                left.remove(fits[-1])
+            bins += 1
+        counts = Counter(sizes)
+        runs, made = packing.plan(dict(counts), 2048)
+        assert made == bins and Counter(n for x in _fill(runs, counts, 2048).values() for _, n in x) == counts
+
+
 def test_ids_are_the_tokenizer_s(words):
+    from tokenizers import Tokenizer
+
     e = packing.encoder(*packing.public_encoder_args())
-    texts = ["", " a", "a  b", "a \n b", "x\n\n y ", "it's I'll", "<|endoftext|> z", "é 漢字 ٣", "a\tb c d", "w " * 30, " ".join(words)]
-    want = [e.whole.encode(t, add_special_tokens=False).ids for t in texts]
+    library = Tokenizer.from_file(packing.public_encoder_args()[0])
+    texts = ["", " a", "a  b", "a \n b", "x\n\n y ", "it's I'll", "<|endoftext|> z", "a<|endoftext|>b c", "é 漢字 ٣", "a\tb c d", "w " * 30, " ".join(words)]
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
     assert [np.frombuffer(x, "<u4").tolist() for x in e.encode(texts)] == want == [np.frombuffer(x, "<u4").tolist() for x in e.encode(texts)]
 
 

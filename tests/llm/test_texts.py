@@ -69,6 +69,11 @@ def test_base_spans_are_those_of_the_patterns():
         assert personal.base_spans(t) == _plain_base(t)
 
 
+def test_parts_of_any_length():
+    assert personal.base_spans("0" * 5000 + "1.2.3.4") == [("ip", 0, 5007)] and personal.base_spans("9" * 5000 + ".2.3.4") == []
+    assert personal.find("[.]".join(["9" * 5000, "1", "2", "3"]), personal.trained()) == ([], [])
+
+
 def test_segment_marginals_match_enumeration():
     text = "call 4111111111111111 4111111111111111 now"
     field = personal.Field({"card: bias": 0.3, "phone: bias": -0.2, "card: checksum holds": 0.7})
@@ -129,13 +134,25 @@ def test_personal_data_of_odd_rows(odd, nothing):
     assert personal.masked(text, personal.find(text, personal.trained())[1]) == "mail <EMAIL> or <PHONE>."
 
 
+def _walked(text):
+    """Normalised bytes and their source bytes, one character after another, for a model with an empty map."""
+    out, source, at = bytearray(), [], 0
+    for c in " " + text if text else "":
+        put, n = (pieces.MARK if c == " " else c).encode(), len(c.encode())
+        out += put
+        first = at == 0 and len(source) == 0
+        source += [at] * len(put) if c == " " else range(at, at + n)
+        at += 0 if first else n
+    return bytes(out), [*source, len(text.encode())]
+
+
 def test_pieces_are_the_library_s_with_exact_spans(odd, nothing):
     m = pieces.model(PIECES)
     texts = ["", " ", "  a  b ", "a", "é ñ 漢字", "tab\there\n\nline ", "▁x▁▁ y", "a b  c   d", "\x00", "ﬁ Ａ", "word " * 50]
-    for t, ids in zip(texts, m.encode(texts)):
+    for t, (ids, spans) in zip(texts, m.encode(texts)):
         assert ids.tolist() == m.library.encode(t, add_bos=True, add_eos=True)
-        spans = m.offsets(t, ids)
-        _, source = m.normalise(t)
+        raw, source = m.normalise(t)
+        assert (raw, source.tolist()) == _walked(t)
         assert spans[:, 1].tolist() == source[np.cumsum(m.length[ids])].tolist()
         assert spans[0, 0] == 0 and spans[-1, 1] == len(t.encode()) and (spans[1:, 0] == spans[:-1, 1]).all()
     got = pieces.digest_pieces(odd, PIECES).collect()
@@ -144,41 +161,57 @@ def test_pieces_are_the_library_s_with_exact_spans(odd, nothing):
     assert pieces.digest_pieces(nothing, PIECES).count() == 0
 
 
-def test_counted_marks_equal_the_alignment():
+def test_chunks_and_whole_texts_give_the_same_pieces(monkeypatch):
     m, r = pieces.model(PIECES), random.Random(10)
-    texts = ["".join(r.choice(["a", "the", " ", "  ", "é", "漢", "\n", "\x00", "😀", "word", "ﬁ", "."]) for _ in range(r.randint(1, 40))) for _ in range(1500)]
+    texts = ["".join(r.choice(["a", "the", " ", "  ", "é", "漢", "\n", "\x00", "😀", "word", "ﬁ", ".", "▁"]) for _ in range(r.randint(1, 40))) for _ in range(1500)]
     assert m.separable and not m.map.units
-    for t, ids, want in zip(texts, m.encode(texts), m.library.encode(texts, add_bos=True, add_eos=True)):
-        assert ids.tolist() == want
-        assert m.offsets(t, ids)[:, 1].tolist() == m.normalise(t)[1][np.cumsum(m.length[ids])].tolist()
+    apart = m.encode(texts)
+    monkeypatch.setattr(m, "separable", False)
+    for (ids, spans), (want, spans2), library in zip(apart, m.encode(texts), m.library.encode(texts, add_bos=True, add_eos=True)):
+        assert ids.tolist() == want.tolist() == library and (spans == spans2).all()
+
+
+def test_normalisation_with_a_map_and_joined_blanks():
+    m = pieces.PieceModel(PIECES)
+    m.map = pieces.CharacterMap(_compiled({b"a": b"1", b"abc": b"two words", "é".encode(): b"e", b"x": b""}))
+    raw, source = m.normalise("abcd éax")
+    assert raw.decode() == "▁two▁wordsd▁e1" and source[-1] == len("abcd éax".encode())
+    assert source.tolist()[:3] == [0, 0, 0] and source.tolist()[3:18] == [0] * 11 + [3, 4, 4, 4] and source.tolist()[-3:] == [5, 7, 9]
+    m.map, m.collapse = pieces.CharacterMap(b""), True
+    raw, source = m.normalise("  a   b ")
+    assert raw.decode() == "▁a▁b" and source.tolist() == [0, 0, 0, 2, 3, 3, 3, 6, 8]
+    assert m.normalise("   ")[0] == b""
+
+
+def _compiled(pairs):
+    """A double array with one unit a state, offsets chosen by first fit."""
+    import struct
 
+    values, at = b"", {}
+    for k, v in pairs.items():
+        at[k] = len(values)
+        values += v + b"\0"
+    units, taken = {0: 0}, {0}
+
+    def place(prefix, node):
+        nxt = sorted({k[len(prefix)] for k in pairs if k.startswith(prefix) and len(k) > len(prefix)})
+        labels = ([0] if prefix in pairs else []) + nxt
+        base = next(b for b in range(1, 4096) if all((node ^ b ^ c) not in taken for c in labels))
+        taken.update(node ^ base ^ c for c in labels)
+        units[node] |= base << 10 | (0x100 if prefix in pairs else 0)
+        if prefix in pairs:
+            units[node ^ base] = 1 << 31 | at[prefix]
+        for c in nxt:
+            units[node ^ base ^ c] = c
+            place(prefix + bytes([c]), node ^ base ^ c)
+
+    place(b"", 0)
+    flat = [units.get(k, 0) for k in range(max(units) + 1)]
+    return struct.pack("<I", 4 * len(flat)) + struct.pack(f"<{len(flat)}I", *flat) + values
 
-def test_character_map_takes_the_longest_prefix():
-    import struct
 
-    def build(pairs):  # a double array with one unit a state, offsets chosen by first fit
-        values, at = b"", {}
-        for k, v in pairs.items():
-            at[k] = len(values)
-            values += v + b"\0"
-        units, taken = {0: 0}, {0}
-
-        def place(prefix, node):
-            nxt = sorted({k[len(prefix)] for k in pairs if k.startswith(prefix) and len(k) > len(prefix)})
-            labels = ([0] if prefix in pairs else []) + nxt
-            base = next(b for b in range(1, 4096) if all((node ^ b ^ c) not in taken for c in labels))
-            taken.update(node ^ base ^ c for c in labels)
-            units[node] |= base << 10 | (0x100 if prefix in pairs else 0)
-            if prefix in pairs:
-                units[node ^ base] = 1 << 31 | at[prefix]
-            for c in nxt:
-                units[node ^ base ^ c] = c
-                place(prefix + bytes([c]), node ^ base ^ c)
-
-        place(b"", 0)
-        flat = [units.get(k, 0) for k in range(max(units) + 1)]
-        return struct.pack("<I", 4 * len(flat)) + struct.pack(f"<{len(flat)}I", *flat) + values
-
-    made = pieces.CharacterMap(build({b"a": b"1", b"abc": b"2", "é".encode(): b"e"}))
+def test_character_map_takes_the_longest_prefix():
+    made = pieces.CharacterMap(_compiled({b"a": b"1", b"abc": b"2", "é".encode(): b"e"}))
     assert made.longest(b"abd", 0) == (1, b"1") and made.longest(b"xabcd", 1) == (3, b"2")
     assert made.longest("é".encode(), 0) == (2, b"e") and made.longest(b"z", 0) is None
+    assert np.flatnonzero(made.begins).tolist() == [ord("a"), "é".encode()[0]]
