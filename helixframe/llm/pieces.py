@@ -69,7 +69,7 @@ class CharacterMap:
             self.units = list(struct.unpack_from(f"<{n // 4}I", compiled, 4))
             self.values = compiled[4 + n :]
         #: Whether an entry begins with this byte.
-        self.begins = np.array([self.units != [] and self._first(b) for b in range(256)], bool)
+        self.begins = np.array([b > 0 and self.units != [] and self._first(b) for b in range(256)], bool)
 
     @staticmethod
     def _step(unit: int) -> int:
