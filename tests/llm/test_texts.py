@@ -191,12 +191,13 @@ def _compiled(pairs):
     for k, v in pairs.items():
         at[k] = len(values)
         values += v + b"\0"
-    units, taken = {0: 0}, {0}
+    units, taken, bases = {0: 0}, {0}, set()
 
     def place(prefix, node):
         nxt = sorted({k[len(prefix)] for k in pairs if k.startswith(prefix) and len(k) > len(prefix)})
         labels = ([0] if prefix in pairs else []) + nxt
-        base = next(b for b in range(1, 4096) if all((node ^ b ^ c) not in taken for c in labels))
+        base = next(b for b in range(1, 4096) if node ^ b not in bases and all((node ^ b ^ c) not in taken for c in labels))
+        bases.add(node ^ base)
         taken.update(node ^ base ^ c for c in labels)
         units[node] |= base << 10 | (0x100 if prefix in pairs else 0)
         if prefix in pairs:
