@@ -21,8 +21,12 @@ member it is joined to, and classes are the connected components of those report
 
 The result has one row per row of the table: its class (least doc_id among the members) and
 its number of links, copies included. Texts without words link to nothing, not even each
-other, and each is its own class, as is a row without a doc_id (null class). Repeated rows
-are copies. An empty table gives an empty result; other columns are ignored.
+other, and each is its own class. Rows without a doc_id are compared like any others; a class
+of such rows alone has a null id. Repeated rows are copies. An empty table gives an empty
+result; other columns are ignored.
+
+Blocks are bounded in members and in shingles, so texts of any length fit a worker. Rows are
+found again by a hash of id and text. Tables that no later step reads are deleted.
 """
 
 from __future__ import annotations
@@ -30,16 +34,19 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import join_bytes, map_texts, mix64, settle, table
+from .common import Scratch, fresh, join_bytes, map_texts, mix64, settle, table
 
 WORDS, SIMILARITY = 5, 0.8
 SKETCH, BRANCH, DEEP, SMALL, BLOCK, TARGET, LOOSE = 64, 1.5, 4, 48, 1024, 0.995, 0.5
+#: Shingles of a block at about this many.
+BLOCK_SHINGLES = 1 << 21
 _WORD = re.compile(rb"[^\x00-\x2f\x3a-\x40\x5b-\x5e\x60\x7b-\x7f]+")
 _U = np.uint64
 #: Punctuation outside ASCII that also ends a word (fixed values).
@@ -129,15 +136,20 @@ def _number(found: np.ndarray) -> int | None:
     return int((mix64(found).sum(dtype=_U) ^ mix64(np.array([len(found)], _U))[0]).astype(np.int64)) if len(found) else None
 
 
+def locator() -> F.Column:
+    """What finds a row again in another reading of the table."""
+    return F.xxhash64("doc_id", "text")
+
+
 def members(docs: DataFrame) -> DataFrame:
-    """One row per row of ``docs``: doc_id, words or not, number of the set, its sketch."""
+    """One row per row of ``docs``: doc_id, locator, number of the set (null without words), its shingles, its sketch."""
 
     def work(batch: pa.RecordBatch, texts: list[str]) -> dict:
         sets = shingles(texts)
-        number = [_number(s) for s in sets]
-        return {"member": number, "minima": [sketch(s).tobytes() if len(s) else None for s in sets]}
+        return {"member": [_number(s) for s in sets], "shingles": [len(s) for s in sets], "minima": [sketch(s).tobytes() if len(s) else None for s in sets]}
 
-    return map_texts(docs.select("doc_id", "text"), work, f"doc_id {dict(docs.dtypes)['doc_id']}, member long, minima binary")
+    rows = docs.select("doc_id", "text", locator().alias("locator"))
+    return map_texts(rows, work, f"doc_id {dict(docs.dtypes)['doc_id']}, locator long, member long, shingles long, minima binary")
 
 
 def _first_paths(rows: DataFrame) -> DataFrame:
@@ -166,27 +178,31 @@ def _next_paths(rows: DataFrame) -> DataFrame:
     return rows.select("path", "member", "minima").mapInArrow(work, "path long, member long")
 
 
-def buckets(spark: SparkSession, rows: DataFrame) -> DataFrame:
-    """(path, member, size) of the buckets to compare; ``rows``: member, minima, one row per member."""
-    out, level = None, _first_paths(rows)
+def buckets(kept: Scratch, rows: DataFrame) -> list[DataFrame]:
+    """(path, member, size) of the buckets to compare, a table a depth; ``rows``: member, minima, one row per member."""
+    out, level = [], _first_paths(rows)
     for depth in range(1, DEEP + 1):
-        level = settle(spark, level.distinct(), f"level{depth}")
+        level = kept.write(level.distinct(), f"level{depth}")
         sizes = level.groupBy("path").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-        level = level.join(sizes, "path")
-        done = level if depth == DEEP else level.filter(F.col("size") <= SMALL)
-        out = done if out is None else out.unionByName(done)
+        found = level.join(sizes, "path")
+        out.append(kept.write(found if depth == DEEP else found.filter(F.col("size") <= SMALL), "small"))
         if depth < DEEP:
-            level = level.filter(F.col("size") > SMALL).drop("size")
-            if level.isEmpty():
+            found = found.filter(F.col("size") > SMALL).drop("size")
+            if found.isEmpty():
+                kept.drop(level)
                 break
-            level = _next_paths(level.join(rows, "member"))
+            deeper = kept.write(_next_paths(found.join(rows, "member")), "deeper")
+            kept.drop(level)
+            level = deeper
     return out
 
 
-def _blocks(rows: DataFrame) -> DataFrame:
+def _blocks(rows: DataFrame, weight: str | None = None) -> DataFrame:
     """Each row once for every pair of blocks of its bucket that it belongs to."""
     n = F.ceil(F.col("size") / BLOCK).cast("int")
-    mine = F.pmod(F.xxhash64("member"), n).cast("int")
+    if weight:
+        n = F.greatest(n, F.least(F.ceil(F.col(weight) / BLOCK_SHINGLES).cast("int"), F.col("size").cast("int")))
+    mine = F.pmod(F.xxhash64("member"), F.col("_n")).cast("int")
     pairs = F.transform(
         F.sequence(F.lit(0), F.col("_n") - 1),
         lambda k: F.struct(F.least(k, F.col("_mine")).alias("a"), F.greatest(k, F.col("_mine")).alias("b")),
@@ -219,7 +235,7 @@ def _sorted(rows: DataFrame) -> DataFrame:
 
 
 def alive(rows: DataFrame) -> DataFrame:
-    """(path, member) of the members whose sketch agrees loosely with another's in the bucket."""
+    """(path, member, shingles) of the members whose sketch agrees loosely with another's in the bucket."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in _groups(batches, ["path", "a", "b"]):
@@ -237,9 +253,9 @@ def alive(rows: DataFrame) -> DataFrame:
                 hit[i] |= ok.any(axis=1)
                 hit[right] |= ok.any(axis=0)
             if hit.any():
-                yield g.select(["path", "member"]).filter(pa.array(hit)).combine_chunks().to_batches()[0]
+                yield g.select(["path", "member", "shingles"]).filter(pa.array(hit)).combine_chunks().to_batches()[0]
 
-    return _sorted(_blocks(rows)).select("path", "a", "b", "_mine", "member", "minima").mapInArrow(work, "path long, member long")
+    return _sorted(_blocks(rows).select("path", "a", "b", "_mine", "member", "shingles", "minima")).mapInArrow(work, "path long, member long, shingles long")
 
 
 def compare(sets: list[np.ndarray], similarity: float = SIMILARITY) -> Iterator[tuple[int, np.ndarray]]:
@@ -276,7 +292,8 @@ def compare(sets: list[np.ndarray], similarity: float = SIMILARITY) -> Iterator[
 def links(rows: DataFrame) -> DataFrame:
     """(member, root, texts, copies): links of a member counted in a block, and the least member it is joined to.
 
-    ``rows``: path, size, member, its multiplicity, its set, and the sorted paths it is alive in.
+    ``rows``: path, size, weight (shingles of the bucket), member, its multiplicity, its set,
+    and the sorted paths it is alive in.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -318,17 +335,17 @@ def links(rows: DataFrame) -> DataFrame:
             )
 
     columns = ["path", "a", "b", "_mine", "member", "copies", "tokens", "paths"]
-    return _sorted(_blocks(rows)).select(*columns).mapInArrow(work, "member long, root long, texts long, copies long")
+    return _sorted(_blocks(rows, "weight").select(*columns)).mapInArrow(work, "member long, root long, texts long, copies long")
 
 
-def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
+def components(kept: Scratch, edges: DataFrame) -> DataFrame:
     """(member, label): the least member of each connected component of ``edges`` (member, root).
 
     Alternates large and small stars; each round is written, and the rounds end when the
     edges no longer change. Rounds grow with the logarithm of the longest chain.
     """
     pairs = edges.filter("member <> root").select(F.greatest("member", "root").alias("u"), F.least("member", "root").alias("v")).distinct()
-    pairs = settle(spark, pairs, "edges")
+    pairs = kept.write(pairs, "edges")
     mark = lambda d: d.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     before = mark(pairs)
     while True:
@@ -337,7 +354,8 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
-        pairs = settle(spark, small, "edges")
+        last, pairs = pairs, kept.write(small, "edges")
+        kept.drop(last)
         now = mark(pairs)
         if now == before:
             return pairs.select(F.col("u").alias("member"), F.col("v").alias("label"))
@@ -345,32 +363,33 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
 
 
 def classes(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """(doc_id, member, label, class_id, n_links, n_texts) for every row of ``docs`` (doc_id, text)."""
-    rows = settle(spark, members(docs), "members")
-    sets = rows.filter("member is not null").groupBy("member").agg(F.first("minima").alias("minima"), F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("least"))
-    sets = settle(spark, sets, "sets")
-    found = settle(spark, buckets(spark, sets.select("member", "minima")).join(sets.select("member", "minima"), "member"), "buckets")
-    live = settle(spark, alive(found).distinct(), "alive")
+    """(doc_id, locator, member, label, class_id, n_links, n_texts) for every row of ``docs`` (doc_id, text)."""
+    kept = Scratch(spark)
+    rows = kept.write(members(docs), "members")
+    sets = rows.filter("member is not null").groupBy("member").agg(F.first("minima").alias("minima"), F.max("shingles").alias("shingles"), F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("least"), F.min("locator").alias("locator"))
+    sets = kept.write(sets, "sets")
+    found = buckets(kept, sets.select("member", "minima"))
+    live = kept.write(alive(reduce(DataFrame.unionByName, found).join(sets.select("member", "shingles", "minima"), "member")).distinct(), "alive")
+    kept.drop(*found)
     # buckets with the same members say the same: the least path stands for them
-    one = live.groupBy("path").agg(F.count(F.lit(1)).alias("size"), F.sum(F.xxhash64("member").cast("decimal(38,0)")).alias("s"), F.sum(F.xxhash64("member", F.lit(1)).cast("decimal(38,0)")).alias("t"))
-    one = one.groupBy("size", "s", "t").agg(F.min("path").alias("path")).select("path", "size")
-    live = settle(spark, live.join(one, "path"), "kept")
+    one = live.groupBy("path").agg(F.count(F.lit(1)).alias("size"), F.sum("shingles").alias("weight"), F.sum(F.xxhash64("member").cast("decimal(38,0)")).alias("s"), F.sum(F.xxhash64("member", F.lit(1)).cast("decimal(38,0)")).alias("t"))
+    one = one.groupBy("size", "s", "t").agg(F.min(F.struct("path", "weight")).alias("x")).select("x.path", "size", "x.weight")
+    every, live = live, kept.write(live.select("path", "member").join(one, "path"), "kept")
+    kept.drop(every)
     paths = live.groupBy("member").agg(F.array_sort(F.collect_list("path")).alias("paths"))  # bounded by RUNS and BRANCH ** DEEP
-    first = rows.filter("member is not null").groupBy("member").agg(F.min("doc_id").alias("doc_id"))
-    wanted = paths.join(first, "member").filter("doc_id is not null").select("member", "doc_id", "paths")
-    kind = dict(docs.dtypes)["doc_id"]
+    wanted = paths.join(sets.select("member", "locator"), "member").select("locator", "member")
 
     def tokens(batch: pa.RecordBatch, texts: list[str]) -> dict:
         sets = shingles(texts)
-        number = [_number(s) for s in sets]
-        return {"number": number, "tokens": [s.tobytes() for s in sets]}
+        return {"number": [_number(s) for s in sets], "tokens": [s.tobytes() for s in sets]}
 
-    text = docs.select("doc_id", "text").join(wanted.select("doc_id", "member"), "doc_id")
-    text = map_texts(text, tokens, f"doc_id {kind}, member long, number long, tokens binary").filter("number = member")
+    text = docs.select("text", locator().alias("locator")).join(wanted, "locator")
+    text = map_texts(text, tokens, "member long, number long, tokens binary").filter("number = member")
     text = text.groupBy("member").agg(F.first("tokens").alias("tokens"))
     full = live.join(text, "member").join(sets.select("member", "copies"), "member").join(paths, "member")
-    reports = settle(spark, links(full), "links")
-    label = components(spark, reports.select("member", "root"))
+    reports = kept.write(links(full), "links")
+    kept.drop(live)
+    label = components(kept, reports.select("member", "root"))
     counted = reports.groupBy("member").agg(F.sum("texts").alias("texts"), F.sum("copies").alias("linked"))
     named = sets.select("member", "copies", "least").join(label, "member", "left").withColumn("label", F.coalesce("label", "member"))
     ids = named.groupBy("label").agg(F.min("least").alias("class_id"))
@@ -382,8 +401,9 @@ def classes(spark: SparkSession, docs: DataFrame) -> DataFrame:
         (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
         F.coalesce("texts", F.lit(0)).alias("n_texts"),
     )
-    out = rows.select("doc_id", "member").join(per, "member", "left")
-    return out.select("doc_id", "member", "label", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("n_texts", F.lit(0)).alias("n_texts"))
+    out = rows.select("doc_id", "locator", "member").join(per, "member", "left")
+    own = F.when(F.col("member").isNull(), F.col("doc_id")).otherwise(F.col("class_id"))
+    return out.select("doc_id", "locator", "member", "label", own.alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("n_texts", F.lit(0)).alias("n_texts"))
 
 
 def join_similar(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -391,14 +411,16 @@ def join_similar(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 
 def keep_one(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """The row with the least doc_id of each class, with all its columns; rows without words stay."""
-    found = classes(spark, docs).filter("member is not null and doc_id <=> class_id")
-    stay = found.groupBy("label").agg(F.min(F.struct("member", "doc_id")).alias("x")).select(F.col("x.member").alias("_stays"), F.col("x.doc_id").alias("_id"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", _member long"
-    marked = map_texts(docs, lambda batch, texts: {"_member": [_number(s) for s in shingles(texts)]}, schema)
-    marked = marked.withColumn("_alone", F.when(F.col("_member").isNull(), F.monotonically_increasing_id()))  # no two rows without words are copies
-    out = marked.join(stay, F.col("_member").eqNullSafe(F.col("_stays")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left")
-    return out.filter("_stays is not null or _member is null").dropDuplicates(["doc_id", "_member", "_alone"]).drop("_member", "_alone", "_stays", "_id")
+    """A row with the least doc_id of each class, with all its columns; rows without words all stay."""
+    found = classes(spark, docs)
+    of_class = found.filter("member is not null and doc_id <=> class_id").groupBy("label").agg(F.min(F.struct("member", "locator")).alias("x"))
+    stays = of_class.select("x.locator", F.lit(True).alias("one")).unionByName(found.filter("member is null").select("locator", F.lit(False).alias("one")).distinct())
+    at, one, alone = fresh(docs.columns, "locator", "one", "alone")
+    stays = settle(spark, stays, "stays").select(F.col("locator").alias(at), F.col("one").alias(one))
+    out = docs.withColumn(at, locator()).join(stays, at)
+    # rows without words are no copies of each other
+    out = out.withColumn(alone, F.when(~F.col(one), F.monotonically_increasing_id()))
+    return out.dropDuplicates([at, alone]).select(*docs.columns)
 
 
 def op5_chosen_paths(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -171,6 +171,26 @@ def test_bounds_hold_and_search_matches_brute_force(spark):
     assert sorted(g.vec_id for g in few) == [1, 2]
 
 
+def test_hot_cells_are_split_and_lose_nothing(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "PART", 50)
+    monkeypatch.setattr(neighbours, "QUERIES", 3)
+    r = np.random.default_rng(8)
+    x = np.concatenate([r.standard_normal((300, 10)) * 0.1 + c * 5 for c in range(5)] + [np.ones((400, 10))])
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for g in neighbours.search(df, F.col("vec_id") % 100 == 0).orderBy("rank").collect():
+        got[g.query_id].append((g.vec_id, g.score))
+    hits = 0
+    for q in range(0, 1900, 100):
+        d = np.sqrt(((x - x[q]) ** 2).sum(axis=1))
+        best = [k for k in np.lexsort((np.arange(1900), d)) if k != q][:10]
+        assert len(got[q]) == 10 and np.allclose([s for _, s in got[q]], d[[k for k, _ in got[q]]], rtol=0, atol=1e-12)
+        hits += len(set(best) & {k for k, _ in got[q]})
+    assert hits >= 0.98 * 190 and [k for k, _ in got[1500]] == list(range(1501, 1511))
+    clustered = neighbours.Cells(np.arange(1500), x[:1500], 10)
+    assert clustered.probes < len(clustered.centres) / 2
+
+
 def _plain_classes(ids, sets):
     parent, links = list(range(len(ids))), Counter()
 
@@ -236,6 +256,45 @@ def test_blocks_count_each_pair_once(monkeypatch):
     assert similarity.runs_for(0.8, 0.995) >= similarity.runs_for(0.9, 0.995)
 
 
+def test_sets_of_rows_without_ids_are_compared(spark, words):
+    r = random.Random(12)
+    w = [r.choice(words) + str(k) for k in range(80)]
+    text, near = " ".join(w), " ".join([*w[:-1], "other"])
+    docs = spark.createDataFrame([(None, text), (7, near), (None, text), (None, "a b c d e f g"), (None, "a b c d e f g"), (3, "x")], "doc_id long, text string")
+    got = Counter(map(tuple, similarity.join_similar(spark, docs).select("doc_id", "class_id", "n_links").collect()))
+    assert got == {(None, 7, 2): 2, (7, 7, 2): 1, (None, None, 1): 2, (3, 3, 0): 1}
+    kept = similarity.keep_one(spark, docs).collect()
+    assert Counter(map(tuple, kept)) == {(7, near): 1, (None, "a b c d e f g"): 1, (3, "x"): 1}
+
+
+@pytest.mark.parametrize("share", [0.8, 0.9, 0.99])
+def test_links_of_sets_of_all_sizes(spark, words, share):
+    """Pairs at or just above the similarity, from 1 to 2,000 shingles, across every size in between."""
+    r = random.Random(int(share * 100))
+    texts = []
+    for n in [*range(1, 40), *range(40, 300, 7), *range(240, 272), 500, 800, 1200, 1600, 2000]:
+        w = [r.choice(words) + str(n) for _ in range(n + 4)]
+        more = int(n / share) - n  # shingles that only the longer text has
+        texts += [" ".join(w), " ".join([*w, *(f"{r.choice(words)}x{k}" for k in range(more))])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x.doc_id: (x.class_id, x.n_links) for x in similarity.join_similar(spark, docs).collect()}
+    want = _plain_classes(list(range(len(texts))), similarity.shingles(texts))
+    assert sum(n for _, n in want.values()) >= 0.9 * len(texts) and all(got[k][1] <= n for k, (_, n) in want.items())
+    assert sum(got[k] == v for k, v in want.items()) >= 0.98 * len(want)
+
+
+def test_blocks_are_bounded_in_members_and_shingles(spark, words, monkeypatch):
+    monkeypatch.setattr(similarity, "BLOCK", 5)
+    monkeypatch.setattr(similarity, "BLOCK_SHINGLES", 300)
+    monkeypatch.setattr(similarity, "SMALL", 4)
+    r = random.Random(2)
+    w = [r.choice(words) + str(k) for k in range(120)]
+    texts = [" ".join([*w[:k], "changed", *w[k + 1 :]]) for k in range(0, 60, 2)] + [" ".join(w)] * 3
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x.doc_id: (x.class_id, x.n_links) for x in similarity.join_similar(spark, docs).collect()}
+    assert got == _plain_classes(list(range(len(texts))), similarity.shingles(texts))
+
+
 def test_one_of_each_class_stays(spark, odd, nothing):
     kept = similarity.keep_one(spark, odd)
     assert kept.columns == odd.columns
