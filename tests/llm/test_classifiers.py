@@ -20,7 +20,7 @@ def test_subsequence_kernel_is_a_dot_product_of_gapped_subsequences():
         return {u: v / n for u, v in out.items()}
 
     words = ["idiot", "idxiot", "banana", "abc", "scum"]
-    rows, codes, values = toxicity.word_features(words)
+    rows, codes, values = toxicity.word_features([bytes(ord(c) - 96 for c in w) for w in words])
     for k, w in enumerate(words):
         got = {}
         for c, v in zip(codes[rows == k], values[rows == k]):
@@ -36,10 +36,44 @@ def test_norm_of_a_word_of_any_length():
         want = math.sqrt(max(1e-12, sum(w * w * max(0, n + 2 - o[-1]) for o, w in toxicity.PATTERNS)))
         assert abs(float(toxicity._norm(np.array([n]))[0]) / want - 1) < 1e-12
     table = np.ones(1 << 20, np.float32)
-    values = [float(toxicity.word_scores(["ab" * n], table, 0.0)[0][0]) / math.sqrt(n) for n in (1000, 2000, 20_000)]
+    values = [float(toxicity.word_scores(["ab" * n], table)[0][0]) / math.sqrt(n) for n in (1000, 2000, 20_000)]
     assert max(values) / min(values) < 1.01  # grows with the root of the length
 
 
+def test_signs_are_the_same_in_learning_and_scoring():
+    texts = ["Idiot, ID-IOT! i d i o t", "дурак Дурак", "笨蛋 한국", "a½b ² 😀", "", "x. y"]
+    signs, at, text, sentence = toxicity.stream(texts)
+    words = toxicity.spell(signs)
+    assert len(words) == len(at) == len(text) and words[0] == words[1] == words[2] == bytes(ord(c) - 96 for c in "idiot")
+    assert words[3] == words[4] and len(words[3]) == 5 and len(set(words[3])) > 3 and len(words[5]) == len(words[6]) == 4
+    assert sentence.tolist() == [0, 0, 1, 2, 2, 3, 3, 4, 5, 6] and text.tolist() == [0, 0, 0, 1, 1, 2, 2, 3, 5, 5]
+    again, *_ = toxicity.stream([" ".join(texts)])
+    assert toxicity.spell(again)[3] == words[3]
+    rows, codes, _ = toxicity.word_features(words[5:7])
+    assert all(codes > 0) and not set(codes[rows == 0]) & set(codes[rows == 1])
+
+
+def test_sentence_scores_are_sums_over_distinct_words():
+    r = np.random.default_rng(2)
+    table = r.standard_normal(1 << 20).astype(np.float32)
+    table[0] = 0
+    value, _, _ = toxicity.word_scores(["idiot banana scum"], table)
+    got, text = toxicity.sentence_scores(["idiot banana idiot. scum", "banana " * (toxicity.WORDS + 1)], table, 0.5)
+    assert np.allclose(got, [value[:2].sum() + 0.5, value[2] + 0.5, value[1] + 0.5, value[1] + 0.5], atol=1e-5) and text.tolist() == [0, 0, 1, 1]
+
+
+def test_insults_of_other_scripts_are_learned_and_found():
+    r = random.Random(4)
+    for letters, insults in (("абвгдежзиклмнопрст", ["дурак", "болван"]), ("的一是不了在人有我他这中大来上国", ["笨蛋傻瓜", "白痴废物"])):
+        plain = ["".join(r.choice(letters) for _ in range(r.randint(2, 6))) for _ in range(300)]
+        text = lambda bad: " ".join(r.choice(insults) if bad and k % 20 == 7 else r.choice(plain) for k in range(60))
+        machine = toxicity.train([text(k % 2) for k in range(240)], [bool(k % 2) for k in range(240)])
+        fresh = [text(k % 2) for k in range(60)]
+        assert ((machine.scores(fresh) >= 0.7) == np.array([bool(k % 2) for k in range(60)])).all()
+        planted = [" ".join([*plain[:5], insults[0][:2] + letters[0] + insults[0][2:], *plain[5:9]])]  # a sign put in
+        assert machine.scores(planted)[0] > machine.scores([" ".join(plain[:9])])[0]
+
+
 def _insulting(n, seed):
     r = random.Random(seed)
     plain = ["".join(r.choice("aeiounrst") for _ in range(r.randint(3, 8))) for _ in range(300)]
@@ -58,7 +92,7 @@ def test_toxicity_is_learned_and_tolerates_gaps_and_insertions():
     machine = toxicity.train(*_insulting(240, 1))
     texts, toxic = _insulting(80, 1)
     assert ((machine.scores(texts) >= 0.7) == np.array(toxic)).all()
-    of = lambda t: toxicity.word_scores([t], machine.table, machine.bias)[0].max()
+    of = lambda t: toxicity.sentence_scores([t], machine.table, machine.bias)[0].max()
     assert min(of("b l o c k h e a d"), of("d-i-m-w-i-t"), of("blockxhead"), of("BLOCKHEAD")) > of("nearest")
     assert machine.scores(["", "..."]).tolist() == [0.0, 0.0] and toxicity.Machine().scores(["x"]).tolist() == [0.0]
 
