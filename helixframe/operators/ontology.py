@@ -2,49 +2,45 @@
 
 from __future__ import annotations
 
-from .catalogue import planned, rule
+from .catalogue import each, planned, rule
 
 ACCESSION = "^SO:[0-9]{7}$"
 _ONE = "CAST(NULL AS INT) AS field"
 
 
 def _per_type(where: str) -> str:
-    """First line and number of rows of each file's types that meet the condition on @typ."""
-    return f"""
-    SELECT f.file, min(f.line_no) AS line, {_ONE}, count(*) AS n
-    FROM @feat f JOIN @typ t ON t.type = f.type WHERE {where} GROUP BY f.file, f.type"""
-
-
+    """First line and number of rows of each file's types that meet the condition."""
+    return each(where, "@named", n="n")
 
 
 @rule("GFF-SYN-020", "warning", "A phase stands on a type that has none")
 def _(d):
-    return _per_type("t.current AND NOT t.is_cds AND f.phase IN ('0', '1', '2')")
+    return each("current AND NOT is_cds AND n_phased > 0", "@named", line="phased_line", n="n_phased")
 
 
 @rule("SO-001", "warning", "The type is not in the ontology")
 def _(d):
-    return _per_type(f"t.exact IS NULL AND ((lower(t.value) LIKE 'so:%' AND {d.rx('t.value', ACCESSION)}) OR (lower(t.value) NOT LIKE 'so:%' AND t.near_n = 0))")
+    return _per_type(f"exact IS NULL AND ((lower(value) LIKE 'so:%' AND {d.rx('value', ACCESSION)}) OR (lower(value) NOT LIKE 'so:%' AND near_n = 0))")
 
 
 @rule("SO-002", "error", "The type is a malformed accession")
 def _(d):
-    return _per_type(f"t.exact IS NULL AND lower(t.value) LIKE 'so:%' AND NOT {d.rx('t.value', ACCESSION)}")
+    return _per_type(f"exact IS NULL AND lower(value) LIKE 'so:%' AND NOT {d.rx('value', ACCESSION)}")
 
 
 @rule("SO-003", "warning", "The type is not a located sequence feature")
 def _(d):
-    return _per_type("t.current AND NOT t.is_feature")
+    return _per_type("current AND NOT is_feature")
 
 
 @rule("SO-004", "warning", "The type is obsolete")
 def _(d):
-    return _per_type("t.term IS NOT NULL AND NOT t.current")
+    return _per_type("term IS NOT NULL AND NOT current")
 
 
 @rule("SO-005", "warning", "The type is a synonym or a case variant of a label")
 def _(d):
-    return _per_type("t.exact IS NULL AND lower(t.value) NOT LIKE 'so:%' AND t.near_n > 0")
+    return _per_type("exact IS NULL AND lower(value) NOT LIKE 'so:%' AND near_n > 0")
 
 
 @rule("SO-006", "warning", "The child's type is not part of the parent's")
@@ -60,7 +56,7 @@ def _(d):
     edges = f"""(SELECT e.* FROM ({early} UNION ALL {late}) e JOIN @typ c ON c.type = e.ctype AND c.current JOIN @typ p ON p.type = e.ptype AND p.current
         LEFT JOIN (SELECT DISTINCT a.term AS child_term, b.term AS parent_term FROM @so_reach a JOIN @so_up b ON b.up = a.up) ok ON ok.child_term = c.term AND ok.parent_term = p.term
         WHERE ok.child_term IS NULL)"""
-    return f"SELECT file, {d.least_by('child', 'met * 100000000 + child')} AS line, {_ONE}, count(*) AS n FROM {edges} x GROUP BY file, ctype, ptype"
+    return f"SELECT file, {d.least_by('child', 'met', 'child')} AS line, {_ONE}, count(*) AS n FROM {edges} x GROUP BY file, ctype, ptype"
 
 
 planned("SO-007", "info", "The type of an origin does not fit")
@@ -76,4 +72,4 @@ def _(d):
 
 @rule("SO-009", "info", "The type is outside the annotation subset")
 def _(d):
-    return _per_type("t.current AND t.is_feature AND NOT t.in_subset")
+    return _per_type("current AND is_feature AND NOT in_subset")

@@ -7,23 +7,22 @@ from .catalogue import RULES, Rule, each, planned, rule
 #: Rows beyond the end of a region that are listed for each sequence; the rest is one count.
 LISTED = 100
 
-_LATER = "@node n JOIN @first f ON f.file = n.file AND f.id = n.id AND n.line_no > f.line_no"
 _ONE = "CAST(NULL AS INT) AS field, CAST(1 AS BIGINT) AS n"
 
 
 @rule("GFF-STR-001", "error", "An id is used by features of different types")
 def _(d):
-    return f"SELECT n.file, n.line_no AS line, {_ONE} FROM {_LATER} WHERE n.type <> f.type"
+    return each("type <> first_type", "@later")
 
 
 @rule("GFF-STR-002", "warning", "Lines of one id differ in sequence or strand")
 def _(d):
-    return f"SELECT n.file, n.line_no AS line, {_ONE} FROM {_LATER} WHERE n.type = f.type AND (n.seqid <> f.seqid OR n.strand <> f.strand)"
+    return each("type = first_type AND (seqid <> first_seqid OR strand <> first_strand)", "@later")
 
 
 @rule("GFF-STR-003", "warning", "Lines of one id differ in their parents")
 def _(d):
-    return f"SELECT n.file, n.line_no AS line, {_ONE} FROM {_LATER} WHERE n.type = f.type AND n.parent_set <> f.parent_set"
+    return each("type = first_type AND parent_set <> first_parent_set", "@later")
 
 
 def _unresolved(rel: str) -> str:
@@ -49,22 +48,25 @@ RULES["GFF-STR-007"] = Rule("GFF-STR-007", "warning", "Origins form a cycle", No
 
 @rule("GFF-STR-008", "error", "A feature lies outside its sequence region")
 def _(d):
-    rows = """(SELECT n.file, n.seqid, n.line_no, n.st, n.en, r.low, r.high, n.line_no > r.line_no AS later, q.circular
-               FROM @node n JOIN @region r ON r.file = n.file AND r.seqid = n.seqid AND r.nth = 1
-               JOIN @seq q ON q.file = n.file AND q.seqid = n.seqid WHERE n.st IS NOT NULL)"""
-    late = f"(SELECT *, row_number() OVER (PARTITION BY file, seqid ORDER BY line_no) AS rn FROM {rows} x WHERE later AND st >= low AND en > high)"
-    first = lambda extreme: f"""
-        SELECT e.file, min(e.line_no) AS line, {_ONE} FROM (SELECT * FROM {rows} a WHERE NOT later) e
-        JOIN (SELECT file, seqid, {extreme}) m ON m.file = e.file AND m.seqid = e.seqid"""
-    early = f"FROM {rows} b WHERE NOT later GROUP BY file, seqid"
+    """``@outside``: rows after the region's line that leave it, and all rows before that line.
+
+    Those before are told by their extremes only. Of those that end beyond the region the
+    first ``LISTED`` of a sequence are told, each, and the others as one count.
+    """
+    late = "later AND st >= low AND en > high"
+    told = "(NOT circular OR st > high)"
+    listed = f"(SELECT file, seqid, line_no, circular, st, high FROM (SELECT *, row_number() OVER (PARTITION BY file, seqid ORDER BY line_no) AS rn FROM @outside WHERE {late}) w WHERE rn <= {LISTED})"
+    reach = "CASE WHEN circular THEN st ELSE en END"
+    sums = f"""(SELECT file, seqid, min(CASE WHEN NOT later THEN st END) AS least, {d.least_by('CASE WHEN NOT later THEN line_no END', 'CASE WHEN later THEN 1 ELSE 0 END', 'st', 'line_no')} AS least_line,
+        max(CASE WHEN NOT later THEN {reach} END) AS most, {d.most_by('CASE WHEN NOT later THEN line_no END', 'CASE WHEN later THEN 0 ELSE 1 END', reach, '-line_no')} AS most_line,
+        min(low) AS low, min(high) AS high, count(CASE WHEN {late} AND {told} THEN 1 END) AS n_told FROM @outside GROUP BY file, seqid)"""
     return f"""
-    SELECT file, line_no AS line, {_ONE} FROM {rows} x WHERE later AND st < low
-    UNION ALL SELECT file, line_no AS line, {_ONE} FROM {late} y WHERE rn <= {LISTED} AND (NOT circular OR st > high)
-    UNION ALL SELECT file, CAST(NULL AS BIGINT) AS line, CAST(NULL AS INT) AS field, count(*) AS n FROM {late} z
-              WHERE rn > {LISTED} AND (NOT circular OR st > high) GROUP BY file, seqid
-    UNION ALL {first('min(st) AS v ' + early)} WHERE e.st = m.v AND m.v < e.low GROUP BY e.file, e.seqid
-    UNION ALL {first('max(CASE WHEN circular THEN st ELSE en END) AS v ' + early)}
-              WHERE CASE WHEN e.circular THEN e.st ELSE e.en END = m.v AND m.v > e.high GROUP BY e.file, e.seqid"""
+    SELECT file, line_no AS line, {_ONE} FROM @outside WHERE later AND st < low
+    UNION ALL SELECT file, line_no AS line, {_ONE} FROM {listed} y WHERE {told}
+    UNION ALL SELECT s.file, CAST(NULL AS BIGINT) AS line, CAST(NULL AS INT) AS field, s.n_told - coalesce(k.n, 0) AS n FROM {sums} s
+              LEFT JOIN (SELECT file, seqid, count(*) AS n FROM {listed} z WHERE {told} GROUP BY file, seqid) k ON k.file = s.file AND k.seqid = s.seqid WHERE s.n_told > coalesce(k.n, 0)
+    UNION ALL SELECT file, least_line AS line, {_ONE} FROM {sums} t WHERE least < low
+    UNION ALL SELECT file, most_line AS line, {_ONE} FROM {sums} u WHERE most > high"""
 
 
 @rule("GFF-STR-009", "info", "A sequence has no region though others have")
@@ -103,15 +105,12 @@ planned("GFF-STR-013", "warning", "Parent and child lie on different sequences")
 def _(d):
     """Segments of an id between two resolution lines, and its first one, in order of start; each
     is held against the one before it that reaches furthest. Around a circle a segment is two."""
-    usable = "st IS NOT NULL AND seqid NOT IN ('', '.')"
-    later = f"(SELECT n.file, n.id, n.seqid, n.gen, n.line_no, n.st, n.en FROM {_LATER} WHERE n.type = f.type AND n.st IS NOT NULL AND n.seqid NOT IN ('', '.'))"
-    seeds = f"""(SELECT DISTINCT l.file, l.id, l.seqid, l.gen, f.line_no, f.st, f.en FROM {later} l
-                JOIN @first f ON f.file = l.file AND f.id = l.id AND f.seqid = l.seqid WHERE f.st IS NOT NULL)"""
-    both = f"(SELECT * FROM {later} a UNION ALL SELECT * FROM {seeds} b)"
-    circle = f"""(SELECT x.*, CASE WHEN q.circular_gen <= x.gen THEN CASE WHEN r.gen <= x.gen THEN r.low ELSE q.circle_st END END AS low,
-                         CASE WHEN q.circular_gen <= x.gen THEN CASE WHEN r.gen <= x.gen THEN r.high ELSE q.circle_en END END AS high
-                  FROM {both} x JOIN @circle q ON q.file = x.file AND q.seqid = x.seqid
-                  LEFT JOIN @region r ON r.file = x.file AND r.seqid = x.seqid AND r.nth = 1)"""
+    later = "(SELECT * FROM @later WHERE type = first_type AND st IS NOT NULL AND seqid NOT IN ('', '.'))"
+    both = f"""(SELECT file, id, seqid, gen, line_no, st, en FROM {later} l
+        UNION ALL SELECT DISTINCT file, id, seqid, gen, first_line, first_st, first_en FROM {later} f WHERE seqid = first_seqid AND first_st IS NOT NULL)"""
+    circle = f"""(SELECT x.*, CASE WHEN q.circular_gen <= x.gen THEN CASE WHEN q.region_gen <= x.gen THEN q.low ELSE q.circle_st END END AS low,
+                         CASE WHEN q.circular_gen <= x.gen THEN CASE WHEN q.region_gen <= x.gen THEN q.high ELSE q.circle_en END END AS high
+                  FROM {both} x LEFT JOIN @circle q ON q.file = x.file AND q.seqid = x.seqid)"""
     # where a segment begins within the circle, and its length
     size = "high - low + 1"
     turned = f"(SELECT *, CASE WHEN en - st + 1 >= {size} THEN low ELSE low + {d.mod('st - low', size)} END AS a, least(en - st, high - low) AS len FROM {circle} x)"
@@ -119,11 +118,8 @@ def _(d):
                   UNION ALL SELECT file, id, seqid, gen, line_no, st, en, low, a + len - ({size}) FROM {turned} y WHERE low IS NOT NULL AND a + len > high)"""
     key = "file, id, seqid, gen"
     ordered = f"(SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY ps, pe, line_no, st, en) AS rn FROM {pieces} p)"
-    frame = f"OVER (PARTITION BY {key} ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
-    reach = f"(SELECT *, max(pe) {frame} AS reach FROM {ordered} o)"
-    # the first piece that reached so far
-    source = f"(SELECT *, max(CASE WHEN reach IS NULL OR pe > reach THEN rn END) {frame} AS src FROM {reach} r)"
+    # of those before, the first that reaches furthest
+    before = f"max({d.triple('pe', '-rn', 'line_no')}) OVER (PARTITION BY {key} ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
     return f"""
-    SELECT DISTINCT a.file, a.line_no AS line, {_ONE} FROM {source} a
-    JOIN {ordered} b ON b.file = a.file AND b.id = a.id AND b.seqid = a.seqid AND b.gen = a.gen AND b.rn = a.src
-    WHERE a.ps <= a.reach AND a.line_no <> b.line_no"""
+    SELECT DISTINCT file, line_no AS line, {_ONE} FROM (SELECT file, line_no, ps, {before} AS far FROM {ordered} o) a
+    WHERE ps <= far.x AND line_no <> far.z"""

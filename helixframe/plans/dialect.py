@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
+
+#: Greater numbers in a file count as this one, far beyond any sequence, so that no sum of them leaves 64 bits.
+MOST = 10**15
+
 
 class Spark:
     name = "spark"
@@ -12,14 +18,30 @@ class Spark:
     def first_match(self, x: str, pattern: str, group: int = 0) -> str:
         return f"regexp_extract({x}, r'{pattern}', {group})"
 
+    def number(self, digits: str) -> str:
+        """A string of digits as a number; ``MOST`` if it is greater than that."""
+        bare = f"trim(LEADING '0' FROM {digits})"
+        return f"CASE WHEN length({bare}) > {len(str(MOST)) - 1} THEN CAST({MOST} AS BIGINT) WHEN {bare} = '' THEN CAST(0 AS BIGINT) ELSE TRY_CAST({bare} AS BIGINT) END"
+
+    def greater(self, a: str, b: str) -> str:
+        """Whether a string of digits is a greater number than another, however long they are."""
+        a, b = (f"trim(LEADING '0' FROM {x})" for x in (a, b))
+        return f"(length({a}) > length({b}) OR (length({a}) = length({b}) AND {a} > {b}))"
+
     def gap_total(self, x: str, code: str) -> str:
-        return f"aggregate(transform(regexp_extract_all({x}, r'{code}([0-9]+)', 1), v -> CAST(v AS BIGINT)), 0L, (a, v) -> a + v)"
+        return f"aggregate(transform(regexp_extract_all({x}, r'{code}([0-9]+)', 1), v -> {self.number('v')}), CAST(0 AS DECIMAL(38, 0)), (a, v) -> CAST(a + v AS DECIMAL(38, 0)))"
+
+    def triple(self, x: str, y: str, z: str) -> str:
+        return f"named_struct('x', {x}, 'y', {y}, 'z', {z})"
 
     def starts(self, x: str, y: str) -> str:
         return f"startswith({x}, {y})"
 
-    def least_by(self, x: str, order: str) -> str:
-        return f"min_by({x}, {order})"
+    def least_by(self, x: str, *order: str) -> str:
+        return f"min_by({x}, struct({', '.join(order)}))"
+
+    def most_by(self, x: str, *order: str) -> str:
+        return f"max_by({x}, struct({', '.join(order)}))"
 
     def chr(self, n: int) -> str:
         return f"char({n})"
@@ -28,9 +50,19 @@ class Spark:
         return f"pmod({a}, {b})"
 
 
+def _functional(sql: str) -> str:
+    return re.sub(r"trim\(LEADING '0' FROM ([^()]+(?:\([^()]*\))?)\)", r"ltrim(\1, '0')", sql)
+
+
 class Duck(Spark):
     name = "duck"
 
+    def number(self, digits: str) -> str:
+        return _functional(super().number(digits))
+
+    def greater(self, a: str, b: str) -> str:
+        return _functional(super().greater(a, b))
+
     def rx(self, x: str, pattern: str) -> str:
         return f"regexp_matches({x}, '{pattern}')"
 
@@ -38,13 +70,19 @@ class Duck(Spark):
         return f"regexp_extract({x}, '{pattern}', {group})"
 
     def gap_total(self, x: str, code: str) -> str:
-        return f"CAST(coalesce(list_sum(list_transform(regexp_extract_all({x}, '{code}([0-9]+)', 1), lambda v: CAST(v AS BIGINT))), 0) AS BIGINT)"
+        return f"CAST(coalesce(list_sum(list_transform(regexp_extract_all({x}, '{code}([0-9]+)', 1), lambda v: {self.number('v')})), 0) AS HUGEINT)"
+
+    def triple(self, x: str, y: str, z: str) -> str:
+        return f"{{'x': {x}, 'y': {y}, 'z': {z}}}"
 
     def starts(self, x: str, y: str) -> str:
         return f"starts_with({x}, {y})"
 
-    def least_by(self, x: str, order: str) -> str:
-        return f"arg_min({x}, {order})"
+    def least_by(self, x: str, *order: str) -> str:
+        return f"arg_min({x}, row({', '.join(order)}))"
+
+    def most_by(self, x: str, *order: str) -> str:
+        return f"arg_max({x}, row({', '.join(order)}))"
 
     def chr(self, n: int) -> str:
         return f"chr({n})"

@@ -6,11 +6,18 @@ import re
 
 from ..functions import genetic_code
 from ..sources.ontology import Ontology
-from .dialect import Duck
-from .synth import genome_sql, lines_sql
+from .dialect import MOST, Duck
+from .synth import GENOME_BLOCK, MOTIF, SEQUENCES, SHORT, lines_sql
 
 _SPACE = r"[\s\x1c-\x1f\x{85}\x{a0}\x{3000}]+"
 
+
+
+def _whole(digits: str) -> str:
+    """Digits (at most 99 of them) as a number, ``MOST`` at most."""
+    return f"CASE WHEN lpad({digits}, 99, '0') > lpad('{MOST}', 99, '0') THEN {MOST} ELSE TRY_CAST({digits} AS BIGINT) END"
+
+
 VIEWS: dict[str, str] = {
     "line": rf"""
       SELECT b.file, b.line_no, raw, text, TRUE AS valid_utf8, kind,
@@ -20,11 +27,25 @@ VIEWS: dict[str, str] = {
                    WHEN rtrim(l.text) = '###' THEN 'resolution' WHEN l.text LIKE '##%' THEN 'directive' WHEN l.text LIKE '#%' THEN 'comment'
                    WHEN trim(l.text) = '' THEN 'blank' ELSE 'feature' END AS kind
             FROM synth l LEFT JOIN (SELECT file, min(line_no) AS start FROM synth WHERE text LIKE '>%' OR regexp_matches(text, '^##\s*FASTA(\s|$)') GROUP BY file) s ON s.file = l.file) b""",
-    "feat": """
+    "feat": f"""
       SELECT file, line_no, gen, x[1] AS seqid, x[2] AS source, x[3] AS type, x[4] AS s, x[5] AS e, x[6] AS score, x[7] AS strand, x[8] AS phase, x[9] AS attrs,
-             CASE WHEN ok THEN TRY_CAST(x[4] AS BIGINT) END AS st, CASE WHEN ok THEN TRY_CAST(x[5] AS BIGINT) END AS en
-      FROM (SELECT *, coalesce(regexp_matches(x[4], '^[0-9]+$') AND regexp_matches(x[5], '^[0-9]+$') AND TRY_CAST(x[4] AS BIGINT) >= 1 AND TRY_CAST(x[4] AS BIGINT) <= TRY_CAST(x[5] AS BIGINT), FALSE) AS ok
+             CASE WHEN ok THEN {_whole('x[4]')} END AS st, CASE WHEN ok THEN {_whole('x[5]')} END AS en
+      FROM (SELECT *, regexp_matches(x[4], '^[0-9]+$') AND regexp_matches(x[5], '^[0-9]+$') AND regexp_matches(x[4], '[1-9]') AND lpad(x[4], 99, '0') <= lpad(x[5], 99, '0') AS ok
             FROM (SELECT file, line_no, gen, string_split(text, chr(9)) AS x FROM line WHERE kind = 'feature') y WHERE len(x) = 9) z""",
+    "gap": """
+      SELECT g.file, g.line_no, g.value AS gap, t.value AS target, f.st, f.en FROM part g JOIN feat f ON f.file = g.file AND f.line_no = g.line_no
+      LEFT JOIN part t ON t.file = g.file AND t.line_no = g.line_no AND t.tag = 'Target' AND t.nth = 1 WHERE g.tag = 'Gap' AND g.nth = 1""",
+    "later": """
+      SELECT n.file, n.id, n.line_no, n.gen, n.seqid, n.type, n.strand, n.st, n.en, n.parent_set, f.line_no AS first_line, f.seqid AS first_seqid, f.type AS first_type, f.strand AS first_strand,
+             f.st AS first_st, f.en AS first_en, f.parent_set AS first_parent_set
+      FROM node n JOIN first f ON f.file = n.file AND f.id = n.id AND n.line_no > f.line_no""",
+    "outside": """
+      SELECT * FROM (SELECT n.file, n.seqid, n.line_no, n.st, n.en, r.low, r.high, n.line_no > r.line_no AS later, q.circular
+        FROM node n JOIN region r ON r.file = n.file AND r.seqid = n.seqid AND r.nth = 1 JOIN seq q ON q.file = n.file AND q.seqid = n.seqid WHERE n.st IS NOT NULL) x
+      WHERE NOT later OR st < low OR en > high""",
+    "named": """
+      SELECT f.file, t.*, min(f.line_no) AS line_no, count(*) AS n, count(CASE WHEN f.phase IN ('0', '1', '2') THEN 1 END) AS n_phased, min(CASE WHEN f.phase IN ('0', '1', '2') THEN f.line_no END) AS phased_line
+      FROM feat f JOIN typ t ON t.type = f.type GROUP BY ALL""",
     "cell": """
       SELECT file, line_no, unnest([1, 2, 3, 4, 5, 6, 7, 8, 9]) AS field, unnest([seqid, source, type, s, e, score, strand, phase, attrs]) AS value FROM feat""",
     "part": """
@@ -55,9 +76,9 @@ VIEWS: dict[str, str] = {
       SELECT file, line_no, gen, text, coalesce(x[1], '') AS name, greatest(len(x) - 1, 0) AS n_args, coalesce(x[2], '') AS a1, coalesce(x[3], '') AS a2, coalesce(x[4], '') AS a3,
              array_to_string(x[2:], ' ') AS args
       FROM (SELECT file, line_no, gen, text, list_filter(regexp_split_to_array(substr(text, 3), '{_SPACE}'), lambda w: w <> '') AS x FROM line WHERE kind = 'directive') y""",
-    "region": """
+    "region": f"""
       SELECT *, row_number() OVER (PARTITION BY file, seqid ORDER BY line_no) AS nth
-      FROM (SELECT file, line_no, gen, a1 AS seqid, TRY_CAST(a2 AS BIGINT) AS low, TRY_CAST(a3 AS BIGINT) AS high FROM dir
+      FROM (SELECT file, line_no, gen, a1 AS seqid, {_whole('a2')} AS low, {_whole('a3')} AS high FROM dir
             WHERE name = 'sequence-region' AND n_args = 3 AND regexp_matches(a2, '^[0-9]+$') AND regexp_matches(a3, '^[0-9]+$')) y WHERE low >= 1 AND low <= high""",
     "fasta": """
       SELECT file, line_no, text, sum(CASE WHEN text LIKE '>%' THEN 1 ELSE 0 END) OVER (PARTITION BY file ORDER BY line_no) AS rec, text LIKE '>%' AS header,
@@ -68,14 +89,19 @@ VIEWS: dict[str, str] = {
       FROM (SELECT file, rec, min(line_no) AS line_no, max(name) AS name, sum(letters) AS length, bool_or(is_sequence) AS has_sequence FROM fasta WHERE rec > 0 GROUP BY file, rec) y""",
     "seq": """
       SELECT file, seqid, min(line_no) AS line_no, bool_or(circular AND st IS NOT NULL) AS circular, max(en) AS max_en, max(st) AS max_st,
-             arg_min(line_no, CASE WHEN st IS NOT NULL THEN line_no - en * 10000000 END) AS max_en_line, arg_min(line_no, CASE WHEN st IS NOT NULL THEN line_no - st * 10000000 END) AS max_st_line,
+             arg_max(line_no, CASE WHEN st IS NOT NULL THEN row(en, -line_no) END) AS max_en_line, arg_max(line_no, CASE WHEN st IS NOT NULL THEN row(st, -line_no) END) AS max_st_line,
              min(CASE WHEN circular AND st IS NOT NULL THEN gen END) AS circular_gen,
              arg_min(st, CASE WHEN circular AND st IS NOT NULL THEN line_no END) AS circle_st, arg_min(en, CASE WHEN circular AND st IS NOT NULL THEN line_no END) AS circle_en
       FROM node WHERE seqid NOT IN ('', '.') GROUP BY file, seqid""",
     "seq_name": "SELECT file, seqid, url_decode(seqid) AS decoded FROM seq",
-    "circle": "SELECT file, seqid, circular_gen, circle_st, circle_en FROM seq",
-    "genome_block": genome_sql(Duck()),
-    "genome": "SELECT name, max(start0 + length(bases)) AS length FROM genome_block GROUP BY name",
+    "circle": """
+      SELECT q.file, q.seqid, q.circular_gen, q.circle_st, q.circle_en, r.gen AS region_gen, r.low, r.high
+      FROM seq q LEFT JOIN region r ON r.file = q.file AND r.seqid = q.seqid AND r.nth = 1 WHERE q.circular_gen IS NOT NULL""",
+    "genome": f"""
+      SELECT concat('chr', CAST(c AS STRING)) AS name, (max(b) + 1) * {GENOME_BLOCK} AS length
+      FROM (SELECT c, unnest([k * 1000 // {GENOME_BLOCK}, (k * 1000 + 1100) // {GENOME_BLOCK}]) AS b
+            FROM (SELECT o_custkey % 25 AS c, o_orderkey AS k FROM orders UNION ALL SELECT 1, o_orderkey FROM orders) o WHERE c < {SEQUENCES}) p
+      WHERE c % 10 <> 3 OR b < {SHORT} GROUP BY c""",
     "exon_type": "SELECT e.value AS type FROM so_exact e JOIN so_term t ON t.term = e.term WHERE t.is_exon UNION SELECT 'exon'",
     "parent_list": "SELECT file, line_no, string_agg(target, ',' ORDER BY ord) AS plist FROM reference WHERE rel = 'P' GROUP BY file, line_no",
     "partial": "SELECT DISTINCT file, line_no FROM part WHERE nth = 1 AND tag = 'start_range'",
@@ -100,13 +126,13 @@ VIEWS: dict[str, str] = {
              coalesce(sum(c.en - c.st + 1) OVER (PARTITION BY c.file, c.gen, c.key ORDER BY c.rn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
       FROM ranked_cds c JOIN chain h ON h.file = c.file AND h.gen = c.gen AND h.key = c.key WHERE h.ok""",
     "exception": "SELECT file, line_no, regexp_extract(decoded, 'pos:([0-9]+)[.][.]([0-9]+),', 1) AS low, regexp_extract(decoded, 'pos:([0-9]+)[.][.]([0-9]+),', 2) AS high FROM tag_value WHERE tag = 'transl_except'",
-    "recoded": "SELECT DISTINCT c.file, c.gen, c.key, CAST(e.low AS BIGINT) AS low, CAST(e.high AS BIGINT) AS high FROM cds c JOIN exception e ON e.file = c.file AND e.line_no = c.line_no WHERE e.low <> ''",
-    "genome_text": "SELECT name, string_agg(bases, '' ORDER BY block_no) AS bases FROM genome_block GROUP BY name",
+    "recoded": f"SELECT DISTINCT c.file, c.gen, c.key, {_whole('e.low')} AS low, {_whole('e.high')} AS high FROM cds c JOIN exception e ON e.file = c.file AND e.line_no = c.line_no WHERE e.low <> ''",
+    "sliced": f"""
+      SELECT s.file, s.gen, s.key, s.rn, s.strand, substr('{MOTIF * 3}', CAST((s.st - 1 + 7 * CAST(substr(c.name, 4) AS BIGINT)) % {len(MOTIF)} + 1 AS INT), CAST(s.en - s.st + 1 AS INT)) AS part
+      FROM seg s JOIN chain c ON c.file = s.file AND c.gen = s.gen AND c.key = s.key WHERE c.in_genome""",
     "coding": """
       SELECT h.file, h.gen, h.key, h.ph0, h.len, h.p5, h.p3, substr(x.bases, h.ph0 + 1) AS bases
-      FROM chain h JOIN (SELECT s.file, s.gen, s.key, string_agg(CASE WHEN s.strand = '+' THEN substr(g.bases, s.st, s.en - s.st + 1)
-                           ELSE reverse(translate(substr(g.bases, s.st, s.en - s.st + 1), 'ACGT', 'TGCA')) END, '' ORDER BY s.rn) AS bases
-                         FROM seg s JOIN chain c ON c.file = s.file AND c.gen = s.gen AND c.key = s.key JOIN genome_text g ON g.name = c.name WHERE c.in_genome GROUP BY s.file, s.gen, s.key) x
+      FROM chain h JOIN (SELECT file, gen, key, string_agg(CASE WHEN strand = '+' THEN part ELSE reverse(translate(part, 'ACGT', 'TGCA')) END, '' ORDER BY rn) AS bases FROM sliced GROUP BY file, gen, key) x
         ON x.file = h.file AND x.gen = h.gen AND x.key = h.key WHERE h.ok AND h.in_genome AND h.len >= 3""",
     "inner_codon": """
       SELECT file, gen, key, ph0, CAST(k * 3 AS BIGINT) AS pos, substr(bases, CAST(k * 3 + 1 AS INT), 3) AS codon

@@ -10,10 +10,9 @@ from pyspark.sql import functions as F
 from ..operators import profile
 from ..operators.catalogue import RULES
 from ..sources.annotation import Annotation
-from ..sources.scratch import written
 from . import engine, oracle
 from .dialect import Duck
-from .synth import synth_tables, whole_tables
+from .synth import synth_tables
 
 Queries = dict[str, Callable[[SparkSession, str], DataFrame]]
 
@@ -26,37 +25,29 @@ def _rule(rule_id: str) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: engine.find(spark, synth_tables(spark, sf_dir), rule_id)
 
 
-#: Rules whose counts the flagship report gives: one of each kind of plan.
-REPORTED = ("GFF-SYN-003", "GFF-SYN-004", "GFF-SYN-008", "GFF-ATT-004", "GFF-ATT-014", "GFF-DIR-003", "GFF-STR-001", "GFF-STR-003", "GFF-STR-004", "GFF-STR-008", "GFF-STR-015")
+def reported() -> list[str]:
+    """The rules of a run that SQL expresses: all but the two of cycles."""
+    return [r for r in engine.chosen(with_genome=True) if RULES[r].query]
 
 
 def report_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return engine.counts(engine.findings(spark, synth_tables(spark, sf_dir), REPORTED))
+    return engine.counts(engine.findings(spark, synth_tables(spark, sf_dir), reported()))
 
 
 def report_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables = synth_tables(spark, sf_dir)
-    return engine.verdicts(engine.findings(spark, tables, REPORTED), tables["line"])
-
-
-def _every(spark: SparkSession, tables: Annotation) -> DataFrame:
-    """(file, rule, level, line) of all rules of a run; each rule's findings are written, so that no plan holds them all."""
-    out = None
-    for r in engine.chosen(with_genome=True):
-        rows = written(engine.findings(spark, tables, [r]).select("file", "rule", "level", "line"), "found")
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    return engine.verdicts(engine.findings(spark, tables, reported()), tables["line"])
 
 
 def report_counts_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``report_counts`` for every rule of a run; without SQL, as cycles have none."""
-    return engine.counts(_every(spark, synth_tables(spark, sf_dir)))
+    return engine.counts(engine.findings(spark, synth_tables(spark, sf_dir), engine.chosen(with_genome=True)))
 
 
 def report_verdicts_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``report_verdicts`` by every rule of a run."""
     tables = synth_tables(spark, sf_dir)
-    return engine.verdicts(_every(spark, tables), tables["line"])
+    return engine.verdicts(engine.findings(spark, tables, engine.chosen(with_genome=True)), tables["line"])
 
 
 def epoch_running_count(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,13 +74,13 @@ def _wanted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def feature_index_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every order's gene and every first line item's feature, looked up in its well-formed rows."""
-    return engine.resolve(engine.feature_index(synth_tables(spark, sf_dir)).filter("well_formed"), _wanted(spark, sf_dir))
+    """Every order's gene and every first line item's feature, looked up; a file with a malformed row says so."""
+    return engine.resolve(engine.feature_index(synth_tables(spark, sf_dir)), _wanted(spark, sf_dir))
 
 
-def feature_index_resolve_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``feature_index_resolve`` over all rows, so that a file with a malformed one says so; without SQL."""
-    return engine.resolve(engine.feature_index(synth_tables(spark, sf_dir)), _wanted(spark, sf_dir))
+def feature_index_well_formed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same lookups in the well-formed rows alone, so that all other outcomes occur."""
+    return engine.resolve(engine.feature_index(synth_tables(spark, sf_dir)).filter("well_formed"), _wanted(spark, sf_dir))
 
 
 def unresolved_references(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,23 +112,6 @@ def profile_raised_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return engine.raised(found).select("file", "rule", "level", "core_level", "line", "n")
 
 
-def codon_scan_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Codon counts with a genome that covers every order, so that every readable chain is scanned."""
-    return whole_tables(spark, sf_dir)["inner_codon"].groupBy("codon").agg(F.count(F.lit(1)).alias("n_codons"))
-
-
-def genome_slices_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return whole_tables(spark, sf_dir)["coding"].select("file", "gen", "key", "bases")
-
-
-def _whole_rule(rule_id: str) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: engine.find(spark, whole_tables(spark, sf_dir), rule_id)
-
-
-#: Queries over the genome of all orders; its SQL is not given.
-WHOLE: Queries = {f.__name__: f for f in (codon_scan_all, genome_slices_all)} | {f"bio_{n}_all": _whole_rule(f"BIO-{n}") for n in ("006", "007", "008")}
-
-
 _INDEX = """(SELECT l.file, len(x) = 9 AS well_formed, CASE WHEN len(x) = 9 THEN x[3] END AS type,
     CASE WHEN len(x) = 9 AND regexp_extract(x[9], '(^|;)ID=([^;]*)', 2) <> '' THEN url_decode(regexp_extract(x[9], '(^|;)ID=([^;]*)', 2)) END AS id
   FROM (SELECT file, line_no, string_split(text, chr(9)) AS x, text FROM @line) l
@@ -147,8 +121,14 @@ _WANTED = """(SELECT concat('file', CAST(CAST(floor(o_orderkey / 1000) AS BIGINT
   UNION SELECT concat('file', CAST(CAST(floor(o_orderkey / 1000) AS BIGINT) AS STRING)), concat('f', CAST(o_orderkey AS STRING), '.1') FROM orders)"""
 
 
+def _resolved(rows: str) -> str:
+    return f"""SELECT w.file, w.feature_id, CASE WHEN s.n IS NULL THEN 'absent-layer' WHEN s.bad > 0 THEN 'malformed-layer' WHEN h.n IS NULL THEN 'not-found' WHEN h.n > 1 THEN 'duplicate-row' WHEN h.gene THEN 'found' ELSE 'non-gene-target' END AS outcome
+        FROM {_WANTED} w LEFT JOIN (SELECT file, count(*) AS n, count(CASE WHEN NOT well_formed THEN 1 END) AS bad FROM {_INDEX} i WHERE {rows} GROUP BY file) s ON s.file = w.file
+        LEFT JOIN (SELECT file, id, count(*) AS n, bool_or(type IN ('gene', 'SO:0000704')) AS gene FROM {_INDEX} j WHERE well_formed AND id IS NOT NULL GROUP BY file, id) h ON h.file = w.file AND h.id = w.feature_id"""
+
+
 def _counted() -> str:
-    parts = [f"SELECT '{r}' AS rule, '{RULES[r].level}' AS level, file, line FROM ({RULES[r].query(Duck())}) x" for r in REPORTED]
+    parts = [f"SELECT '{r}' AS rule, '{RULES[r].level}' AS level, file, line FROM ({RULES[r].query(Duck())}) x" for r in reported()]
     return " UNION ALL ".join(parts)
 
 
@@ -161,9 +141,8 @@ _SQL: dict[str, Callable[[], str]] = {
     "fasta_records": lambda: "SELECT file, line_no, name, CAST(length AS BIGINT) AS length, has_sequence, CAST(nth AS INT) AS nth FROM @record",
     "feature_index_summary": lambda: f"""SELECT file, count(CASE WHEN well_formed THEN 1 END) AS feature_rows, count(id) AS id_rows, count(CASE WHEN well_formed AND id IS NULL THEN 1 END) AS rows_without_id,
         count(CASE WHEN type IN ('gene', 'SO:0000704') THEN 1 END) AS gene_rows FROM {_INDEX} i GROUP BY file""",
-    "feature_index_resolve": lambda: f"""SELECT w.file, w.feature_id, CASE WHEN s.n IS NULL THEN 'absent-layer' WHEN h.n IS NULL THEN 'not-found' WHEN h.n > 1 THEN 'duplicate-row' WHEN h.gene THEN 'found' ELSE 'non-gene-target' END AS outcome
-        FROM {_WANTED} w LEFT JOIN (SELECT file, count(*) AS n FROM {_INDEX} i WHERE well_formed GROUP BY file) s ON s.file = w.file
-        LEFT JOIN (SELECT file, id, count(*) AS n, bool_or(type IN ('gene', 'SO:0000704')) AS gene FROM {_INDEX} j WHERE well_formed AND id IS NOT NULL GROUP BY file, id) h ON h.file = w.file AND h.id = w.feature_id""",
+    "feature_index_resolve": lambda: _resolved("TRUE"),
+    "feature_index_well_formed": lambda: _resolved("well_formed"),
     "unresolved_references": lambda: "SELECT r.file, r.rel, count(*) AS n_refs, count(DISTINCT r.target) AS n_targets FROM @ref r LEFT JOIN @first f ON f.file = r.file AND f.id = r.target WHERE f.id IS NULL GROUP BY r.file, r.rel",
     "codon_scan": lambda: "SELECT codon, count(*) AS n_codons FROM @inner_codon GROUP BY codon",
     "genome_slices": lambda: "SELECT file, CAST(gen AS BIGINT) AS gen, key, bases FROM @coding",
@@ -174,8 +153,8 @@ _SQL: dict[str, Callable[[], str]] = {
 
 
 def queries() -> Queries:
-    out: Queries = {f.__name__: f for f in (report_counts, report_verdicts, report_counts_all, report_verdicts_all, epoch_running_count, fasta_records, feature_index_summary, feature_index_resolve, feature_index_resolve_all, unresolved_references, scan_line_kinds, codon_scan, genome_slices, ontology_closure, profile_raised_levels)}
-    return out | WHOLE | {name_of(r): _rule(r) for r in engine.implemented()}
+    out: Queries = {f.__name__: f for f in (report_counts, report_verdicts, report_counts_all, report_verdicts_all, epoch_running_count, fasta_records, feature_index_summary, feature_index_resolve, feature_index_well_formed, unresolved_references, scan_line_kinds, codon_scan, genome_slices, ontology_closure, profile_raised_levels)}
+    return out | {name_of(r): _rule(r) for r in engine.implemented()}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 
 from ..functions import genetic_code
 from ..functions.text import codons, percent_decode, reverse_complement
+from ..plans.dialect import Spark
 from .lines import running_count
 from .ontology import Ontology
 
 COLUMNS = ("seqid", "source", "type", "s", "e", "score", "strand", "phase", "attrs")
 #: Tables that many rules, or many branches of one rule, read.
-KEPT = ("line", "feat", "part", "node", "cds", "chain", "seg", "coding", "recoded")
+KEPT = ("line", "feat", "part", "node", "first", "ref", "later", "outside", "seq", "named", "cds", "chain", "seg", "coding", "recoded")
 _SPACE = r"[\s\x1c-\x1f\x85\xa0　]+"
 
 
@@ -66,9 +67,15 @@ class Annotation:
         x = F.split("text", "\t", -1)
         df = self["line"].filter("kind = 'feature'").select("file", "line_no", "gen", x.alias("x")).filter(F.size("x") == 9)
         df = df.select("file", "line_no", "gen", *[F.get("x", F.lit(k)).alias(c) for k, c in enumerate(COLUMNS)])
-        number = lambda c: F.when(F.col(c).rlike("^[0-9]+$"), F.expr(f"try_cast({c} as bigint)"))
-        fine = (number("s") >= 1) & (number("s") <= number("e"))
-        return df.withColumn("st", F.when(fine, number("s"))).withColumn("en", F.when(fine, number("e")))
+        d = Spark()
+        fine = F.col("s").rlike("^0*[1-9][0-9]*$") & F.col("e").rlike("^[0-9]+$") & ~F.expr(d.greater("s", "e"))
+        return df.withColumn("st", F.when(fine, F.expr(d.number("s")))).withColumn("en", F.when(fine, F.expr(d.number("e"))))
+
+    def _gap(self) -> DataFrame:
+        """Rows with a gap: its value, the target's (null without one), and the coordinates."""
+        first = lambda tag: F.get(F.filter(F.split("attrs", ";", -1), lambda p: p.startswith(tag + "=")), F.lit(0))
+        rows = self["feat"].filter("attrs like '%Gap=%'").select("file", "line_no", "st", "en", F.substring(first("Gap"), 5, 1 << 30).alias("gap"), F.substring(first("Target"), 8, 1 << 30).alias("target"))
+        return rows.filter("gap is not null")
 
     def _part(self) -> DataFrame:
         """Parts of column 9: pos, n_parts, part, has_eq, tag, value, nth occurrence of the tag (0 if not a pair)."""
@@ -118,6 +125,28 @@ class Annotation:
         facts = F.struct("line_no", "gen", "seqid", "type", "strand", "st", "en", "parent_set", "parents", "derives")
         return self["node"].filter("id is not null").groupBy("file", "id").agg(F.min_by(facts, "line_no").alias("f")).select("file", "id", "f.*")
 
+    def _later(self) -> DataFrame:
+        """Lines of an id after its first one, with the facts of that one."""
+        facts = [F.col(c).alias(f"first_{c}") for c in ("seqid", "type", "strand", "st", "en", "parent_set")]
+        first = self["first"].select("file", "id", F.col("line_no").alias("first_line"), *facts)
+        rows = self["node"].filter("id is not null").select("file", "id", "line_no", "gen", "seqid", "type", "strand", "st", "en", "parent_set")
+        return rows.join(first, ["file", "id"]).filter("line_no > first_line")
+
+    def _outside(self) -> DataFrame:
+        """Rows that stand before their sequence's region, or after it and leave it."""
+        region = self["region"].filter("nth = 1").select("file", "seqid", F.col("line_no").alias("at"), "low", "high")
+        flags = region.join(self["seq"].select("file", "seqid", "circular"), ["file", "seqid"])
+        rows = self["node"].filter("st is not null").select("file", "seqid", "line_no", "st", "en").join(flags, ["file", "seqid"])
+        return rows.withColumn("later", F.col("line_no") > F.col("at")).drop("at").filter("not later or st < low or en > high")
+
+    def _named(self) -> DataFrame:
+        """The types of each file: first line, rows, rows with a phase, and what the ontology says of the type."""
+        phased = F.col("phase").isin("0", "1", "2")
+        rows = self["feat"].filter("type not in ('', '.')").groupBy("file", "type").agg(
+            F.min("line_no").alias("line_no"), F.count(F.lit(1)).alias("n"), F.count_if(phased).alias("n_phased"), F.min(F.when(phased, F.col("line_no"))).alias("phased_line")
+        )
+        return rows.join(self["typ"], "type")
+
     def _ref(self) -> DataFrame:
         """References: rel P or D, their order on the line, and the id they name."""
         both = F.concat(
@@ -135,9 +164,9 @@ class Annotation:
 
     def _region(self) -> DataFrame:
         """Valid sequence-region directives: seqid, low, high, nth of its seqid."""
-        low, high = F.expr("try_cast(a2 as bigint)"), F.expr("try_cast(a3 as bigint)")
-        df = self["dir"].filter("name = 'sequence-region' and n_args = 3 and a2 rlike '^[0-9]+$' and a3 rlike '^[0-9]+$'")
-        df = df.select("file", "line_no", "gen", F.col("a1").alias("seqid"), low.alias("low"), high.alias("high")).filter("low >= 1 and low <= high")
+        d = Spark()
+        df = self["dir"].filter("name = 'sequence-region' and n_args = 3 and a2 rlike '^0*[1-9][0-9]*$' and a3 rlike '^[0-9]+$'").filter(~F.expr(d.greater("a2", "a3")))
+        df = df.select("file", "line_no", "gen", F.col("a1").alias("seqid"), F.expr(d.number("a2")).alias("low"), F.expr(d.number("a3")).alias("high"))
         return df.withColumn("nth", F.row_number().over(Window.partitionBy("file", "seqid").orderBy("line_no")))
 
     def _fasta(self) -> DataFrame:
@@ -182,7 +211,10 @@ class Annotation:
         return self["seq"].select("file", "seqid", percent_decode(F.col("seqid")).alias("decoded"))
 
     def _circle(self) -> DataFrame:
-        return self["seq"].select("file", "seqid", "circular_gen", F.col("circle.st").alias("circle_st"), F.col("circle.en").alias("circle_en"))
+        """Circular sequences: from which epoch on, the extent of the first circular line, and the region."""
+        rows = self["seq"].filter("circular_gen is not null").select("file", "seqid", "circular_gen", F.col("circle.st").alias("circle_st"), F.col("circle.en").alias("circle_en"))
+        region = self["region"].filter("nth = 1").select("file", "seqid", F.col("gen").alias("region_gen"), "low", "high")
+        return rows.join(region, ["file", "seqid"], "left")
 
     def _typ(self) -> DataFrame:
         """Distinct types with the term each one names, and what the ontology says of it."""
@@ -247,7 +279,7 @@ class Annotation:
         per = per.withColumn("ok", ~F.col("mixed") & F.col("strand").isin("+", "-") & (F.col("worst") >= 0))
         per = per.withColumn("ph0", F.when(F.col("strand") == "+", F.col("ph_plus")).otherwise(F.col("ph_minus")))
         raw, decoded = self["genome"].withColumnRenamed("name", "seqid"), self["genome"].select(F.col("name").alias("_decoded"), F.col("length").alias("_length"))
-        per = per.join(F.broadcast(raw), "seqid", "left").withColumn("_decoded", percent_decode(F.col("seqid"))).join(F.broadcast(decoded), "_decoded", "left")
+        per = per.join(raw, "seqid", "left").withColumn("_decoded", percent_decode(F.col("seqid"))).join(decoded, "_decoded", "left")
         name = F.when(F.col("length").isNotNull(), F.col("seqid")).when(F.col("_length").isNotNull(), F.col("_decoded"))
         inside = F.coalesce(F.col("max_en") <= F.coalesce("length", "_length"), F.lit(False))
         return per.select("file", "gen", "key", "seqid", "strand", "ok", "ph0", (F.col("total") - F.col("ph0")).alias("len"), "p5", "p3", name.alias("name"), inside.alias("in_genome"))
@@ -264,13 +296,14 @@ class Annotation:
 
     def _recoded(self) -> DataFrame:
         """Ranges of recoded codons of a chain: rows below it, and legacy exceptions in its own column 9."""
+        d = Spark()
         rows = self["ref"].filter("rel = 'P' and st is not null").join(F.broadcast(self._type_names("is_recoded", "recoded_codon", "SO:0000145")), "type", "left_semi")
         below = rows.select("file", "gen", F.concat(F.lit("I"), "target").alias("key"), F.col("st").alias("low"), F.col("en").alias("high"))
         hit = F.filter(F.split("attrs", ";", -1), lambda p: p.startswith("transl_except="))
         said = percent_decode(F.substring(F.get(hit, F.lit(0)), 15, 1 << 30))
         places = self["cds"].filter(F.size(hit) > 0).select("file", "gen", "key", F.explode(F.regexp_extract_all(said, F.lit(r"pos:(.*?),\s*aa:"), F.lit(1))).alias("x"))
         ranges = places.select("file", "gen", "key", F.explode(F.regexp_extract_all("x", F.lit(r"[0-9]+(?:\.\.[0-9]+)?"), F.lit(0))).alias("r"))
-        own = ranges.select("file", "gen", "key", F.substring_index("r", "..", 1).cast("long").alias("low"), F.substring_index("r", "..", -1).cast("long").alias("high"))
+        own = ranges.select("file", "gen", "key", F.expr(d.number("substring_index(r, '..', 1)")).alias("low"), F.expr(d.number("substring_index(r, '..', -1)")).alias("high"))
         return below.union(own).distinct()
 
     def _coding(self) -> DataFrame:
