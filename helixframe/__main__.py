@@ -5,10 +5,15 @@ from __future__ import annotations
 import argparse
 import sys
 
+from . import __version__
+
 
 def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="helixframe")
-    p.add_argument("files", nargs="+")
+    p.add_argument("files", nargs="*", help="files, plain or gzip; - is standard input")
+    p.add_argument("--version", action="version", version=f"helixframe {__version__}")
+    p.add_argument("--list-profiles", action="store_true", help="name the profiles and end")
+    p.add_argument("--list-features", action="store_true", help="list the rows of the feature index instead; status 2 without rows or with a malformed one")
     p.add_argument("--format", choices=("text", "json", "html", "sarif"), default="text")
     mode = p.add_mutually_exclusive_group()
     mode.add_argument("--require-header", action="store_const", dest="header", const="require", default="auto")
@@ -18,19 +23,26 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--ontology", help="OBO file in place of the starter ontology")
     p.add_argument("--profile", action="store_true", help="add the community profile's rules")
     p.add_argument("--max-findings", type=int, default=10_000)
-    p.add_argument("--feature-id", help="look one id up instead; status 0 if it is one gene")
+    p.add_argument("--feature-id", help="look one id up instead; status 0 if it is one gene, 2 if a file has no rows or a malformed one")
     a = p.parse_args(argv)
+    if a.list_profiles:
+        print("community")
+        return 0
+    if not a.files:
+        p.error("no file is given")
     if a.translation_table and not a.genome:
         p.error("--translation-table needs --genome")
 
+    from py4j.protocol import Py4JJavaError
     from pyspark.errors import PySparkException
     from pyspark.sql import SparkSession
+    from pyspark.sql import functions as F
 
     from .functions import genetic_code
     from .plans import engine, report
     from .sources.annotation import Annotation
     from .sources.genome import GenomeError, check_genome, read_genome
-    from .sources.lines import gzip_named_otherwise, read_lines
+    from .sources.lines import read_lines
     from .sources.ontology import Ontology, read_obo
     from .sources.scratch import written
 
@@ -38,16 +50,23 @@ def main(argv: list[str] | None = None) -> int:
         p.error("unknown translation table")
     spark = SparkSession.builder.appName("helixframe").getOrCreate()
     try:
-        if hidden := gzip_named_otherwise(spark, a.files):
-            print(f"compressed but not named .gz: {', '.join(hidden)}", file=sys.stderr)
-            return 2
         tables = Annotation(read_lines(spark, a.files), written, Ontology(read_obo(spark, a.ontology)) if a.ontology else None)
         if a.feature_id is not None:
             index = engine.feature_index(tables)
-            wanted = tables["line"].select("file").distinct().selectExpr("file", f"'{a.feature_id.replace(chr(39), chr(92) + chr(39))}' as feature_id")
+            wanted = tables["line"].select("file", F.lit(a.feature_id).alias("feature_id")).distinct()
             out = engine.resolve(index, wanted).collect()
             print("\n".join(f"{r.file}: {r.feature_id}: {r.outcome}" for r in out))
+            if not out or any(r.outcome in ("absent-layer", "malformed-layer") for r in out):
+                return 2
             return 0 if all(r.outcome == "found" for r in out) else 1
+        if a.list_features:
+            index = engine.feature_index(tables)
+            rows = index.filter("well_formed").orderBy("file", "line_no").limit(a.max_findings + 1).collect()
+            for r in rows[: a.max_findings]:
+                print("\t".join("" if x is None else str(x) for x in (r.file, r.line_no, r.seqid, r.type, r.start, r.end, r.strand, r.id)))
+            if len(rows) > a.max_findings:
+                print(f"only the first {a.max_findings} are listed", file=sys.stderr)
+            return 2 if not rows or not index.filter("not well_formed").isEmpty() else 0
         if a.genome:
             tables.genome = written(read_genome(spark, a.genome), "genome")
             check_genome(tables.genome)
@@ -58,9 +77,9 @@ def main(argv: list[str] | None = None) -> int:
         if a.profile:
             found = found.unionByName(engine.raised(found).drop("core_level"))
         make = {"text": engine.report_text, "json": engine.report_json, "html": report.to_html, "sarif": report.to_sarif}
-        sys.stdout.write(make[a.format](found, a.max_findings))
+        sys.stdout.write(make[a.format](found, a.max_findings, rules))
         return 0 if valid else 1
-    except (PySparkException, GenomeError) as e:
+    except (PySparkException, Py4JJavaError, GenomeError) as e:
         print(f"cannot be read: {str(e).splitlines()[0]}", file=sys.stderr)
         return 2
 

@@ -6,6 +6,7 @@ import base64
 import hashlib
 import html
 import json
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame
 
@@ -15,22 +16,23 @@ _STYLE = "body{font:15px sans-serif;margin:2em}td,th{padding:.2em .6em;text-alig
 _SARIF_LEVEL = {"error": "error", "warning": "warning", "info": "note"}
 
 
-def to_html(found: DataFrame, most: int = MAX_FINDINGS) -> str:
+def to_html(found: DataFrame, most: int = MAX_FINDINGS, rules: Iterable[str] = ()) -> str:
     """One page without scripts; its policy allows only its own style."""
-    data = json.loads(report_json(found, most))
+    data = json.loads(report_json(found, most, rules))
     digest = base64.b64encode(hashlib.sha256(_STYLE.encode()).digest()).decode()
     cell = lambda x: f"<td>{html.escape('' if x is None else str(x))}</td>"
     rows = "".join(f"<tr class='{f['level']}'>" + "".join(cell(f[k]) for k in ("file", "line", "field", "level", "rule", "message")) + "</tr>" for f in data["findings"])
     counts = ", ".join(f"{n} {x}" for x, n in data["counts"].items())
+    left = "".join(f"<li>{html.escape(x['rule'])}: {html.escape(x['reason'])}" for x in data["not_checked"])
     more = f"<p>{data['truncated']} more are not listed.</p>" if data["truncated"] else ""
     return (
         f"<!doctype html><meta charset='utf-8'><meta http-equiv='Content-Security-Policy' content=\"default-src 'none'; style-src 'sha256-{digest}'\"><title>Findings</title><style>{_STYLE}</style>"
-        f"<h1>{'Valid' if data['valid'] else 'Not valid'}</h1><p>{counts}</p>{more}<table><tr><th>file<th>line<th>column<th>level<th>rule<th>message</tr>{rows}</table>\n"
+        f"<h1>{'Valid' if data['valid'] else 'Not valid'}</h1><p>{counts}</p>{more}<table><tr><th>file<th>line<th>column<th>level<th>rule<th>message</tr>{rows}</table><h2>Not checked</h2><ul>{left}</ul>\n"
     )
 
 
-def to_sarif(found: DataFrame, most: int = MAX_FINDINGS) -> str:
-    data = json.loads(report_json(found, most))
+def to_sarif(found: DataFrame, most: int = MAX_FINDINGS, rules: Iterable[str] = ()) -> str:
+    data = json.loads(report_json(found, most, rules))
     used = sorted({f["rule"] for f in data["findings"]})
 
     def result(f: dict) -> dict:
@@ -40,5 +42,5 @@ def to_sarif(found: DataFrame, most: int = MAX_FINDINGS) -> str:
         return {"ruleId": f["rule"], "ruleIndex": used.index(f["rule"]), "level": _SARIF_LEVEL[f["level"]], "message": {"text": f["message"]}, "locations": [{"physicalLocation": place}]}
 
     rules = [{"id": r, "shortDescription": {"text": RULES[r].title}, "defaultConfiguration": {"level": _SARIF_LEVEL[RULES[r].level]}} for r in used]
-    run = {"tool": {"driver": {"name": "helixframe", "rules": rules}}, "results": [result(f) for f in data["findings"]], "properties": {"counts": data["counts"], "truncated": data["truncated"]}}
+    run = {"tool": {"driver": {"name": "helixframe", "rules": rules}}, "results": [result(f) for f in data["findings"]], "properties": {"counts": data["counts"], "truncated": data["truncated"], "notChecked": data["not_checked"]}}
     return json.dumps({"$schema": "https://json.schemastore.org/sarif-2.1.0.json", "version": "2.1.0", "runs": [run]})

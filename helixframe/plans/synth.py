@@ -86,7 +86,7 @@ def lines_sql(d: Spark) -> str:
 
 #: Bases that the synthetic genome repeats: position p of sequence c has base (p + 7 c) of them.
 MOTIF = "ATGGCATTCGACCTGATGAAACGTGGTCACTTAGCCGATATTCGGCAATCCTGTAAGCTTGA"
-GENOME_BLOCK, SEQUENCES, SHORT = 6_000, 20, 100
+GENOME_BLOCK, SEQUENCES, SHORT = 1_200, 20, 500
 
 
 def synth_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

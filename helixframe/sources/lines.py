@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import shutil
+import sys
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .scratch import folder
+
+#: The bytes that gzip files begin with (fixed values).
+GZIP = b"\x1f\x8b"
 #: Lines that one task of a running count takes; longer files are dealt over several.
 RUN_BLOCK = 1 << 16
 
 
-class InputError(Exception):
-    """The input could not be read to its end."""
-
-
 def running_count(df: DataFrame, flag: Column, name: str, file: str = "file", line: str = "line_no") -> DataFrame:
     """How many lines up to and including this one have ``flag``, per file.
 
@@ -31,12 +36,14 @@ def running_count(df: DataFrame, flag: Column, name: str, file: str = "file", li
 def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """(file, line_no, text, valid_utf8) of plain or gzip files; LF, CRLF and CR end lines.
 
-    Line numbers are the rank inside an input block plus the lines of the file's earlier
-    blocks. A truncated or corrupt file fails the job: nothing is skipped.
+    Gzip is known by its first bytes, not by the name; ``-`` is standard input. Line numbers
+    are the rank inside an input block plus the lines of the file's earlier blocks. A
+    truncated or corrupt file fails the job: nothing is skipped.
     """
+    paths, named = readable(spark, [paths] if isinstance(paths, str) else list(paths))
     raw = spark.read.option("wholetext", "false").text(paths)
     raw = raw.select(
-        F.col("_metadata.file_path").alias("file"),
+        _shown(F.col("_metadata.file_path"), named).alias("file"),
         F.col("_metadata.file_block_start").alias("_start"),
         F.monotonically_increasing_id().alias("_at"),
         F.col("value"),
@@ -51,7 +58,59 @@ def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return numbered.select("file", (F.col("_rank") + F.col("_before")).cast("long").alias("line_no"), text.alias("text"), valid.alias("valid_utf8"))
 
 
-def gzip_named_otherwise(spark: SparkSession, paths: str | list[str]) -> list[str]:
-    """Files that begin with the gzip signature but whose name hides it: Spark would read them as text."""
-    heads = spark.read.format("binaryFile").load(paths).select("path", F.hex(F.substring("content", 1, 2)).alias("head"))
-    return [r[0] for r in heads.filter("head = '1F8B' and not path like '%.gz'").select("path").collect()]
+def _shown(path: Column, named: dict[str, str]) -> Column:
+    """The path, or the name of the input that was copied to it."""
+    found = F.lit(None).cast("string")
+    for copy, name in named.items():
+        found = F.when(path.endswith(copy), F.lit(name)).otherwise(found)
+    return F.coalesce(found, path) if named else path
+
+
+def readable(spark: SparkSession, paths: list[str]) -> tuple[list[str], dict[str, str]]:
+    """Paths that Spark reads by their names, and the input behind each one that was copied.
+
+    Spark tells gzip by the ending ``.gz`` alone. Standard input, and gzip files of other
+    names, are copied to the shared folder under a name that tells what they are.
+    """
+    context = spark.sparkContext
+    hadoop, conf = spark._jvm.org.apache.hadoop.fs, context._jsc.hadoopConfiguration()
+    out, named = [], {}
+
+    def copied(name: str, zipped: bool) -> tuple[str, str]:
+        copy = f"{uuid.uuid4().hex}{'.gz' if zipped else '.txt'}"
+        named[copy] = name
+        out.append(f"{folder(spark)}/inputs/{copy}")
+        return out[-1], copy
+
+    for path in paths:
+        if path == "-":
+            with tempfile.NamedTemporaryFile() as spool:
+                shutil.copyfileobj(sys.stdin.buffer, spool)
+                spool.flush()
+                spool.seek(0)
+                to = hadoop.Path(copied("-", spool.read(2) == GZIP)[0])
+                to.getFileSystem(conf).copyFromLocalFile(False, True, hadoop.Path(spool.name), to)
+            continue
+        at = hadoop.Path(path)
+        fs = at.getFileSystem(conf)
+        found = list(fs.globStatus(at) or ())
+        if not found:
+            out.append(path)  # Spark says what is wrong with it
+        for status in [y for x in found for y in (fs.listStatus(x.getPath()) if x.isDirectory() else [x])]:
+            name = status.getPath().getName()
+            if status.isDirectory() or name.endswith(".gz"):
+                out.append(status.getPath().toString())
+                continue
+            if name[0] in "._" and name != at.getName():
+                continue  # of a directory's files Spark leaves these out too
+            stream = fs.open(status.getPath())
+            try:
+                zipped = bytes([max(0, stream.read()), max(0, stream.read())]) == GZIP
+            finally:
+                stream.close()
+            if zipped:
+                to = hadoop.Path(copied(status.getPath().toString(), True)[0])
+                hadoop.FileUtil.copy(fs, status.getPath(), to.getFileSystem(conf), to, False, conf)
+            else:
+                out.append(status.getPath().toString())
+    return out, named

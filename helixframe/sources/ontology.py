@@ -50,8 +50,9 @@ SO:0000343|match|SO:0000001|||y
 SO:0000039|match_part|SO:0000001|SO:0000343||y
 SO:0000689|cDNA_match|SO:0000343|||y
 SO:0000668|EST_match|SO:0000343|||y
-SO:0000235|TF_binding_site|SO:0000001|||y
-SO:0000167|promoter|SO:0000001|||y
+SO:0005836|regulatory_region|SO:0000831|||y
+SO:0000235|TF_binding_site|SO:0000001 SO:0005836|||y
+SO:0000167|promoter|SO:0005836|||y
 SO:0000366|insertion_site|SO:0000110|||y
 SO:0001483|SNV|SO:0000110|||y
 SO:0001580|coding_sequence_variant||||

@@ -2,15 +2,39 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: The sessions' folders, by application.
+_FOLDERS: dict[str, str] = {}
+
+
 def folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``, or a folder under the warehouse where the session has none."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    return (found or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch").rstrip("/")
+    """This session's own folder under ``spark.checkpoint.dir``; deleted when the driver's process ends.
+
+    A folder under the warehouse where the session has none and runs in one process; a
+    cluster without the setting is refused.
+    """
+    context = spark.sparkContext
+    if context.applicationId not in _FOLDERS:
+        top = context.getConf().get("spark.checkpoint.dir", None)
+        if not top:
+            if not context.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+            top = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+        _FOLDERS[context.applicationId] = f"{top.rstrip('/')}/tables-{context.applicationId}"
+        atexit.register(_discard, spark, _FOLDERS[context.applicationId])
+    return _FOLDERS[context.applicationId]
+
+
+def _discard(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):  # the session may be gone already
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
