@@ -49,7 +49,7 @@ class Annotation:
         text = F.when((F.col("line_no") == 1) & raw.startswith("﻿"), F.substring(raw, 2, 1 << 30)).otherwise(raw)
         df = self._lines.select("file", "line_no", raw.alias("raw"), text.alias("text"), "valid_utf8")
         t = F.col("text")
-        resolution = F.regexp_replace(t, _SPACE + "$", "") == "###"
+        resolution = t.startswith("###") & t.rlike(rf"\A###({_SPACE})?\z")
         name = F.get(_words(F.substring(t, 3, 1 << 30)), F.lit(0))
         fasta = t.startswith(">") | (t.startswith("##") & ~t.startswith("##gff-version") & ~resolution & (name == "FASTA"))
         starts = df.filter(fasta).groupBy("file").agg(F.min("line_no").alias("_fasta"))
@@ -57,7 +57,7 @@ class Annotation:
         inside = (F.col("line_no") > F.col("_fasta")) | ((F.col("line_no") == F.col("_fasta")) & t.startswith(">"))
         kind = (
             F.when(inside, "fasta").when(t.startswith("#~"), "header").when(resolution, "resolution").when(t.startswith("##"), "directive")
-            .when(t.startswith("#"), "comment").when(F.regexp_replace(t, _SPACE, "") == "", "blank").otherwise("feature")
+            .when(t.startswith("#"), "comment").when(t.rlike(rf"\A({_SPACE})?\z"), "blank").otherwise("feature")
         )
         df = df.withColumn("kind", kind).drop("_fasta")
         return running_count(df, F.col("kind") == "resolution", "gen")
