@@ -151,6 +151,15 @@ def join_bytes(parts: list[bytes], pad: int) -> tuple[np.ndarray, np.ndarray, np
     return np.frombuffer(zero + zero.join(parts) if parts else b"", np.uint8), starts, lengths
 
 
+def translated(texts: pa.Array, by: bytes) -> pa.Array:
+    """The texts, null ones empty, with each byte put through a table that keeps bytes from 128 on."""
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    _, ends, data = texts.buffers()
+    at = np.frombuffer(ends, np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+    held = data.to_pybytes()[at[0] : at[-1]] if data is not None else b""
+    return pa.Array.from_buffers(pa.large_string(), len(texts), [None, pa.py_buffer((at - at[0]).tobytes()), pa.py_buffer(held.translate(by))])
+
+
 def sums_by(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Sum of ``values`` over each [start, start + length); 0 for empty ranges."""
     total = np.zeros(len(values) + 1)

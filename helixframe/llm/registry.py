@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, neighbours, packing, personal, pieces, repetition, resampling, sharding, similarity, toxicity
+from . import collocation, language, neighbours, packing, personal, pieces, ranking, repetition, resampling, sharding, similarity, toxicity, winnowing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
@@ -21,7 +21,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         repetition.op8_suffix_repetition,
         resampling.op9_importance_resampling,
         pieces.op10_offset_pieces,
+        winnowing.op11_winnowing,
+        ranking.op12_block_max_wand,
+        collocation.op13_bucketed_phrases,
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op11_winnowing": winnowing.OP11_SQL,
+    "op12_block_max_wand": ranking.OP12_SQL,
+    "op13_bucketed_phrases": collocation.OP13_SQL,
+}
