@@ -24,6 +24,7 @@ import hashlib
 import math
 import random
 import re
+from bisect import bisect_right
 from collections import defaultdict
 from functools import lru_cache
 
@@ -35,6 +36,8 @@ from .common import map_texts, table
 
 KINDS = ("email", "ip", "card", "phone")
 MAX_TOKENS = 40
+#: Signs before a span that its features read.
+BEFORE = 30
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
@@ -111,8 +114,27 @@ def islands(text: str) -> list[tuple[int, int]]:
     return out
 
 
-def candidates(text: str, a: int, b: int) -> tuple[list[tuple[int, int]], list[tuple[int, int, str, tuple[str, ...]]]]:
-    """Tokens of the island, and its candidate segments: first token, end token, kind, features."""
+class Taken:
+    """Stretches of a text that base spans hold, merged and in order."""
+
+    def __init__(self, spans: list[tuple[str, int, int]]):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for _, a, b in spans:  # by start
+            if self.ends and a <= self.ends[-1]:
+                self.ends[-1] = max(b, self.ends[-1])
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+
+    def touches(self, a: int, b: int) -> bool:
+        """Whether any of them shares a sign with [a, b)."""
+        k = bisect_right(self.ends, a)
+        return k < len(self.starts) and self.starts[k] < b
+
+
+def candidates(text: str, a: int, b: int, taken: Taken | None = None) -> tuple[list[tuple[int, int]], list[tuple[int, int, str, tuple[str, ...]]]]:
+    """Tokens of the island, and its candidate segments that touch nothing taken: first token, end token, kind, features."""
     tokens = [(m.start(), m.end()) for m in _TOKEN.finditer(text, a, b)]
     segments = []
     number = [text[s] in "0123456789" for s, _ in tokens]
@@ -140,17 +162,23 @@ def candidates(text: str, a: int, b: int) -> tuple[list[tuple[int, int]], list[t
                             segments.append((i, j + 1, "ip"))
                 elif text[tokens[j][0]].isalpha():
                     break
+    first, last = {t[0]: k for k, t in enumerate(tokens)}, {t[1]: k for k, t in enumerate(tokens)}
     for m in _ADDRESS.finditer(text, a, b):
-        i = next((k for k, t in enumerate(tokens) if t[0] == m.start()), None)
-        j = next((k for k, t in enumerate(tokens) if t[1] == m.end()), None)
+        i, j = first.get(m.start()), last.get(m.end())
         if i is not None and j is not None and j - i < MAX_TOKENS:
             segments.append((i, j + 1, "email"))
-    return tokens, [(i, j, kind, features(text, tokens[i][0], tokens[j - 1][1], kind)) for i, j, kind in segments]
+    free = [x for x in segments if not (taken and taken.touches(tokens[x[0]][0], tokens[x[1] - 1][1]))]
+    return tokens, [(i, j, kind, features(text, tokens[i][0], tokens[j - 1][1], kind)) for i, j, kind in free]
 
 
 def features(text: str, s: int, e: int, kind: str) -> tuple[str, ...]:
     """Names of the features of the whole span, all of the kind."""
-    span, before = text[s:e], text[max(0, s - 30) : s]
+    return _features(text[max(0, s - BEFORE) : s], text[s:e], text[e : e + 2], kind)
+
+
+@lru_cache(maxsize=1 << 16)
+def _features(before: str, span: str, after: str, kind: str) -> tuple[str, ...]:
+    """The same by what they depend on; a text dense in candidates repeats itself."""
     out = ["bias"]
     if kind == "email":
         out.append("at sign" if "@" in span else "bracketed at" if re.search(r"[\[({<]\s?at", span, re.I) else "word at")
@@ -180,7 +208,7 @@ def features(text: str, s: int, e: int, kind: str) -> tuple[str, ...]:
             out.append("brackets match" if re.match(r"\+?[0-9 ]{0,4}\(\d{2,5}\)", span) and span.count("(") == 1 else "brackets odd")
         if re.search("[0-9] [0-9]", span) and re.search("[-./]", span):
             out.append("blank and other separators")
-        if before[-1:] and before[-1] in ".-/+[" or e < len(text) - 1 and text[e] in "-/." and text[e + 1].isdigit():
+        if before[-1:] and before[-1] in ".-/+[" or len(after) == 2 and after[0] in "-/." and after[1].isdigit():
             out.append("goes on outside")
     for name, cue in _CUES.items():
         if cue.search(before):
@@ -350,13 +378,9 @@ def trained(count: int = 900, seed: int = 11) -> Field:
 def find(text: str, field: Field) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
     """Base spans, and all spans, each by start, then kind."""
     base = base_spans(text)
-    free = lambda s, e: all(e <= x or y <= s for _, x, y in near)
-    added = []
+    taken, added = Taken(base), []
     for a, b in islands(text):
-        near = [x for x in base if x[1] < b and a < x[2]]
-        tokens, segments = candidates(text, a, b)
-        if near:  # base spans stand; the field segments what they leave
-            segments = [s for s in segments if free(tokens[s[0]][0], tokens[s[1] - 1][1])]
+        tokens, segments = candidates(text, a, b, taken)  # base spans stand; the field segments what they leave
         if segments:
             for k in field.decode(len(tokens), segments):
                 i, j, kind, _ = segments[k]

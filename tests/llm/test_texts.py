@@ -2,10 +2,12 @@
 
 import hashlib
 import random
+import time
 import re
 
 import numpy as np
 import public_tokenizers
+import pytest
 
 from helixframe.llm import personal, pieces, repetition
 
@@ -216,3 +218,25 @@ def test_character_map_takes_the_longest_prefix():
     assert made.longest(b"abd", 0) == (1, b"1") and made.longest(b"xabcd", 1) == (3, b"2")
     assert made.longest("é".encode(), 0) == (2, b"e") and made.longest(b"z", 0) is None
     assert np.flatnonzero(made.begins).tolist() == [ord("a"), "é".encode()[0]]
+
+
+@pytest.mark.parametrize("unit", ["1.", "1 ", "(1)", "a@b.c1 ", "1.1.1.1 "])
+def test_personal_time_grows_with_the_text(unit):
+    field = personal.trained()
+    took = []
+    for n in (20_000, 160_000):
+        began = time.process_time()
+        base, both = personal.find(unit * (n // len(unit)), field)
+        took.append(time.process_time() - began)
+        assert set(base) <= set(both)
+    assert took[1] < 20 * took[0] + 1  # eight times the text
+
+
+def test_spans_touch_only_what_they_share_a_sign_with():
+    r = random.Random(8)
+    for _ in range(200):
+        spans = sorted((("ip", a, a + r.randint(1, 6)) for a in (r.randint(0, 40) for _ in range(r.randint(0, 6)))), key=lambda s: s[1])
+        taken = personal.Taken(spans)
+        for a in range(45):
+            for b in range(a + 1, 47):
+                assert taken.touches(a, b) == any(a < e and s < b for _, s, e in spans)
