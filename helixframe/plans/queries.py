@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 from ..operators import profile
 from ..operators.catalogue import RULES
 from ..sources.annotation import Annotation
+from ..sources.scratch import folder
+from ..streaming import references
 from . import engine, oracle
 from .dialect import Duck
 from .synth import synth_tables
@@ -112,6 +115,24 @@ def profile_raised_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return engine.raised(found).select("file", "rule", "level", "core_level", "line", "n")
 
 
+#: Parts in which the lines of every file arrive.
+ARRIVALS = 5
+
+
+def stream_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References that a stream of lines leaves unresolved or resolves too late; the lines of each file arrive in parts, in order."""
+    top = f"{folder(spark)}/stream-{uuid.uuid4().hex}"
+    lines = synth_tables(spark, sf_dir)["line"].select("file", "line_no", F.col("raw").alias("text"))
+    step = lines.agg(F.max("line_no")).first()[0] // ARRIVALS + 1
+    for k in range(ARRIVALS):
+        lines.filter(F.floor(F.col("line_no") / step) == k).write.mode("append").parquet(f"{top}/lines/part={k}")
+    files = spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", 1 << 20).option("recursiveFileLookup", "true")
+    for k in range(ARRIVALS):  # one run of the same query for each part: it goes on from its checkpoint
+        part = files.option("pathGlobFilter", "*.parquet").parquet(f"{top}/lines/part=[0-{k}]")
+        references.watch_references(part, f"{top}/out", f"{top}/state").awaitTermination()
+    return references.findings(spark, f"{top}/out", f"{top}/state").select("file", "rule", "line", "n")
+
+
 _INDEX = """(SELECT l.file, len(x) = 9 AS well_formed, CASE WHEN len(x) = 9 THEN x[3] END AS type,
     CASE WHEN len(x) = 9 AND regexp_extract(x[9], '(^|;)ID=([^;]*)', 2) <> '' THEN url_decode(regexp_extract(x[9], '(^|;)ID=([^;]*)', 2)) END AS id
   FROM (SELECT file, line_no, string_split(text, chr(9)) AS x, text FROM @line) l
@@ -148,12 +169,13 @@ _SQL: dict[str, Callable[[], str]] = {
     "genome_slices": lambda: "SELECT file, CAST(gen AS BIGINT) AS gen, key, bases FROM @coding",
     "ontology_closure": lambda: "SELECT f.file, u.up, count(*) AS n_rows FROM @feat f JOIN @typ t ON t.type = f.type AND t.current JOIN @so_up u ON u.term = t.term GROUP BY f.file, u.up",
     "profile_raised_levels": lambda: " UNION ALL ".join(f"SELECT file, '{r}' AS rule, 'error' AS level, '{RULES[r].level}' AS core_level, line, n FROM ({RULES[r].query(Duck())}) x" for r in profile.RAISED),
+    "stream_references": lambda: " UNION ALL ".join(f"SELECT file, '{r}' AS rule, line, n FROM ({RULES[r].query(Duck())}) x" for r in ("GFF-STR-004", "GFF-STR-005", "GFF-DIR-003")),
     "scan_line_kinds": lambda: "SELECT file, kind, count(*) AS n_lines FROM @line GROUP BY file, kind",
 }
 
 
 def queries() -> Queries:
-    out: Queries = {f.__name__: f for f in (report_counts, report_verdicts, report_counts_all, report_verdicts_all, epoch_running_count, fasta_records, feature_index_summary, feature_index_resolve, feature_index_well_formed, unresolved_references, scan_line_kinds, codon_scan, genome_slices, ontology_closure, profile_raised_levels)}
+    out: Queries = {f.__name__: f for f in (report_counts, report_verdicts, report_counts_all, report_verdicts_all, epoch_running_count, fasta_records, feature_index_summary, feature_index_resolve, feature_index_well_formed, unresolved_references, scan_line_kinds, codon_scan, genome_slices, ontology_closure, profile_raised_levels, stream_references)}
     return out | {name_of(r): _rule(r) for r in engine.implemented()}
 
 

@@ -23,6 +23,34 @@ def _words(text: Column) -> Column:
     return F.filter(F.split(text, _SPACE), lambda w: w != "")
 
 
+def is_resolution(t: Column) -> Column:
+    """Whether a line says that all references before it are resolved."""
+    return t.startswith("###") & t.rlike(rf"\A###({_SPACE})?\z")
+
+
+def starts_fasta(t: Column) -> Column:
+    """Whether the FASTA section begins with a line, if it has not begun before."""
+    name = F.get(_words(F.substring(t, 3, 1 << 30)), F.lit(0))
+    return t.startswith(">") | (t.startswith("##") & ~t.startswith("##gff-version") & ~is_resolution(t) & (name == "FASTA"))
+
+
+def _value(tag: str) -> Column:
+    """The first value of a tag in column 9, null without one."""
+    hit = F.filter(F.split("attrs", ";", -1), lambda p: p.startswith(tag + "="))
+    return F.when(F.size(hit) > 0, F.substring(F.get(hit, F.lit(0)), len(tag) + 2, 1 << 30))
+
+
+def own_id() -> Column:
+    """The decoded id of column 9, null if it has none."""
+    return F.when(_value("ID") != "", percent_decode(_value("ID")))
+
+
+def named_ids(tag: str) -> Column:
+    """The decoded ids that a tag of column 9 lists."""
+    items = F.filter(F.split(F.coalesce(_value(tag), F.lit("")), ",", -1), lambda v: v != "")
+    return F.transform(items, percent_decode)
+
+
 class Annotation:
     """Lazily built tables of one set of lines.
 
@@ -49,10 +77,8 @@ class Annotation:
         text = F.when((F.col("line_no") == 1) & raw.startswith("﻿"), F.substring(raw, 2, 1 << 30)).otherwise(raw)
         df = self._lines.select("file", "line_no", raw.alias("raw"), text.alias("text"), "valid_utf8")
         t = F.col("text")
-        resolution = t.startswith("###") & t.rlike(rf"\A###({_SPACE})?\z")
-        name = F.get(_words(F.substring(t, 3, 1 << 30)), F.lit(0))
-        fasta = t.startswith(">") | (t.startswith("##") & ~t.startswith("##gff-version") & ~resolution & (name == "FASTA"))
-        starts = df.filter(fasta).groupBy("file").agg(F.min("line_no").alias("_fasta"))
+        resolution = is_resolution(t)
+        starts = df.filter(starts_fasta(t)).groupBy("file").agg(F.min("line_no").alias("_fasta"))
         df = df.join(starts, "file", "left")
         inside = (F.col("line_no") > F.col("_fasta")) | ((F.col("line_no") == F.col("_fasta")) & t.startswith(">"))
         kind = (
@@ -106,18 +132,8 @@ class Annotation:
 
         Column 9 is read again inside the row, so no join by line is needed.
         """
-
-        def value(tag: str) -> Column:
-            hit = F.filter(F.split("attrs", ";", -1), lambda p: p.startswith(tag + "="))
-            return F.when(F.size(hit) > 0, F.substring(F.get(hit, F.lit(0)), len(tag) + 2, 1 << 30))
-
-        def listed(tag: str) -> Column:
-            items = F.filter(F.split(F.coalesce(value(tag), F.lit("")), ",", -1), lambda v: v != "")
-            return F.transform(items, percent_decode)
-
-        own = F.when(value("ID") != "", percent_decode(value("ID")))
-        df = self["feat"].withColumn("id", own).withColumn("circular", F.coalesce(value("Is_circular") == "true", F.lit(False)))
-        df = df.withColumn("parents", listed("Parent")).withColumn("derives", listed("Derives_from"))
+        df = self["feat"].withColumn("id", own_id()).withColumn("circular", F.coalesce(_value("Is_circular") == "true", F.lit(False)))
+        df = df.withColumn("parents", named_ids("Parent")).withColumn("derives", named_ids("Derives_from"))
         return df.withColumn("parent_set", F.array_join(F.array_sort(F.array_distinct("parents")), "\x01"))
 
     def _first(self) -> DataFrame:
