@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import profile
+from ..operators import cycles, profile
 from ..operators.catalogue import RULES
 from ..sources.annotation import Annotation
 from ..sources.scratch import folder
@@ -115,8 +115,15 @@ def profile_raised_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return engine.raised(found).select("file", "rule", "level", "core_level", "line", "n")
 
 
+def cycle_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ids that lie on a cycle of parents or of origins."""
+    t = synth_tables(spark, sf_dir)
+    each = [cycles.members(cycles.edges(t, rel)).select("file", F.lit(rel).alias("rel"), "id") for rel in ("P", "D")]
+    return each[0].unionByName(each[1])
+
+
 #: Parts in which the lines of every file arrive.
-ARRIVALS = 5
+ARRIVALS = 3
 
 
 def stream_references(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -153,6 +160,11 @@ def _counted() -> str:
     return " UNION ALL ".join(parts)
 
 
+#: References between defined ids: of the first line of an id, and of later ones of its type that name another target.
+_EDGES = """SELECT DISTINCT r.file, r.rel, r.id, r.target FROM @ref r JOIN @first f ON f.file = r.file AND f.id = r.id JOIN @first d ON d.file = r.file AND d.id = r.target
+  LEFT JOIN @ref k ON k.file = r.file AND k.line_no = f.line_no AND k.rel = r.rel AND k.target = r.target WHERE r.line_no = f.line_no OR (r.type = f.type AND k.file IS NULL)"""
+
+
 _SQL: dict[str, Callable[[], str]] = {
     "report_counts": lambda: f"SELECT file, rule, level, count(*) AS n_findings, min(line) AS first_line FROM ({_counted()}) y GROUP BY file, rule, level",
     "report_verdicts": lambda: f"""SELECT f.file, count(CASE WHEN level = 'error' THEN 1 END) AS n_error, count(CASE WHEN level = 'warning' THEN 1 END) AS n_warning,
@@ -169,13 +181,14 @@ _SQL: dict[str, Callable[[], str]] = {
     "genome_slices": lambda: "SELECT file, CAST(gen AS BIGINT) AS gen, key, bases FROM @coding",
     "ontology_closure": lambda: "SELECT f.file, u.up, count(*) AS n_rows FROM @feat f JOIN @typ t ON t.type = f.type AND t.current JOIN @so_up u ON u.term = t.term GROUP BY f.file, u.up",
     "profile_raised_levels": lambda: " UNION ALL ".join(f"SELECT file, '{r}' AS rule, 'error' AS level, '{RULES[r].level}' AS core_level, line, n FROM ({RULES[r].query(Duck())}) x" for r in profile.RAISED),
+    "cycle_members": lambda: f"SELECT file, rel, id FROM (WITH RECURSIVE e AS ({_EDGES}), w AS (SELECT file, rel, id, target FROM e UNION SELECT w.file, w.rel, w.id, e.target FROM w JOIN e ON e.file = w.file AND e.rel = w.rel AND e.id = w.target) SELECT DISTINCT file, rel, id FROM w WHERE id = target) x",
     "stream_references": lambda: " UNION ALL ".join(f"SELECT file, '{r}' AS rule, line, n FROM ({RULES[r].query(Duck())}) x" for r in ("GFF-STR-004", "GFF-STR-005", "GFF-DIR-003")),
     "scan_line_kinds": lambda: "SELECT file, kind, count(*) AS n_lines FROM @line GROUP BY file, kind",
 }
 
 
 def queries() -> Queries:
-    out: Queries = {f.__name__: f for f in (report_counts, report_verdicts, report_counts_all, report_verdicts_all, epoch_running_count, fasta_records, feature_index_summary, feature_index_resolve, feature_index_well_formed, unresolved_references, scan_line_kinds, codon_scan, genome_slices, ontology_closure, profile_raised_levels, stream_references)}
+    out: Queries = {f.__name__: f for f in (report_counts, report_verdicts, report_counts_all, report_verdicts_all, epoch_running_count, fasta_records, feature_index_summary, feature_index_resolve, feature_index_well_formed, unresolved_references, scan_line_kinds, codon_scan, genome_slices, ontology_closure, profile_raised_levels, cycle_members, stream_references)}
     return out | {name_of(r): _rule(r) for r in engine.implemented()}
 
 
