@@ -54,17 +54,22 @@ def _grams(of: str, k: int) -> Column:
     return F.transform(F.col(of), lambda _, i: F.when(i <= F.size(of) - k, at(i)))
 
 
-def _kept(of: str) -> Column:
+def _least(of: str) -> Column:
+    """The least gram of the window at each place; null where a whole window is not left."""
+    here = lambda i: [F.get(F.col(of), i + j) for j in range(GRAMS)]
+    return F.transform(F.col(of), lambda _, i: F.when(i <= F.size(of) - WINDOW, F.least(*here(i))))
+
+
+def _kept(of: str, least: str) -> Column:
     """Places of the grams that winnowing keeps: of each window's least ones the rightmost."""
 
-    def place(_: Column, i: Column) -> Column:
-        here = [F.get(F.col(of), i + j) for j in range(GRAMS)]
+    def place(m: Column, i: Column) -> Column:
         found = i
         for j in range(1, GRAMS):  # the last that is equal to the least wins
-            found = F.when(here[j] == F.least(*here), i + j).otherwise(found)
-        return F.when(here[-1].isNotNull(), found)
+            found = F.when(F.get(F.col(of), i + j) == m, i + j).otherwise(found)
+        return F.when(m.isNotNull(), found)
 
-    return F.filter(F.array_distinct(F.transform(F.col(of), place)), lambda p: p.isNotNull())
+    return F.filter(F.array_distinct(F.transform(F.col(least), place)), lambda p: p.isNotNull())
 
 
 def item_windows(items: DataFrame, item: str, text: str) -> DataFrame:
@@ -97,15 +102,17 @@ def fingerprints(docs: DataFrame, text: str, lengths: list[tuple[int, int]]) ->
     """
     rows = docs.filter(F.col(text).isNotNull()).select(*text_key(text), words(F.col(text)).alias("w"))
     sizes = sorted({k for n, k in lengths if n < WINDOW} | ({K} if any(n >= K for n, _ in lengths) else set()))
-    rows = rows.select("t1", "t2", F.size("w").alias("n"), *[_grams("w", k).alias(f"h{k}") for k in sizes])
+    rows = rows.select("t1", "t2", *[_grams("w", k).alias(f"h{k}") for k in sizes])
     reach = GRAMS - 1
+    before, after = F.array_repeat(F.lit(None).cast("long"), reach), F.array_repeat(F.lit(None).cast("long"), reach)
+    rows = rows.select("t1", "t2", *[f"h{k}" for k in sizes], *[F.concat(before, F.col(f"h{k}"), after).alias(f"r{k}") for k in sizes])
 
     def near(k: int, p: Column) -> Column:
-        return F.struct(F.lit(k).alias("k"), F.get(F.col(f"h{k}"), p).alias("f"), p.alias("p"), F.array(*[F.when(p + j >= 0, F.get(F.col(f"h{k}"), p + j)) for j in range(-reach, reach + 1)]).alias("near"))
+        return F.struct(F.lit(k).alias("k"), F.get(F.col(f"h{k}"), p).alias("f"), p.alias("p"), F.slice(F.col(f"r{k}"), p + 1, F.lit(2 * reach + 1)).alias("near"))
 
     made = []
     if any(n == WINDOW for n, _ in lengths):
-        made.append((K, "kept", rows.withColumn("kept", _kept(f"h{K}"))))
+        made.append((K, "kept", rows.withColumn("least", _least(f"h{K}")).withColumn("kept", _kept(f"h{K}", "least"))))
     for k in sorted({k for n, k in lengths if n < WINDOW}):
         every = F.filter(F.transform(F.col(f"h{k}"), lambda h, i: F.when(h.isNotNull(), i)), lambda p: p.isNotNull())
         made.append((k, "every", rows.withColumn("every", every)))
