@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import cycles, profile
+from ..operators import cycles, profile, suggestion
 from ..operators.catalogue import RULES
 from ..sources.annotation import Annotation
 from ..sources.scratch import folder
@@ -122,6 +122,13 @@ def cycle_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each[0].unionByName(each[1])
 
 
+def type_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each distinct type of the files, the other labels of the ontology that are most like it."""
+    t = synth_tables(spark, sf_dir)
+    labels = t["so_exact"].filter("value <> term").select(F.col("value").alias("label"))
+    return suggestion.suggestions(t["typ"], labels).filter("label <> value").select("value", "rank", "label", "ratio")
+
+
 #: Parts in which the lines of every file arrive.
 ARRIVALS = 3
 
@@ -188,7 +195,7 @@ _SQL: dict[str, Callable[[], str]] = {
 
 
 def queries() -> Queries:
-    out: Queries = {f.__name__: f for f in (report_counts, report_verdicts, report_counts_all, report_verdicts_all, epoch_running_count, fasta_records, feature_index_summary, feature_index_resolve, feature_index_well_formed, unresolved_references, scan_line_kinds, codon_scan, genome_slices, ontology_closure, profile_raised_levels, cycle_members, stream_references)}
+    out: Queries = {f.__name__: f for f in (report_counts, report_verdicts, report_counts_all, report_verdicts_all, epoch_running_count, fasta_records, feature_index_summary, feature_index_resolve, feature_index_well_formed, unresolved_references, scan_line_kinds, codon_scan, genome_slices, ontology_closure, profile_raised_levels, cycle_members, type_suggestions, stream_references)}
     return out | {name_of(r): _rule(r) for r in engine.implemented()}
 
 
