@@ -41,7 +41,7 @@ def main(argv: list[str] | None = None) -> int:
     from .functions import genetic_code
     from .plans import engine, report
     from .sources.annotation import Annotation
-    from .sources.genome import GenomeError, check_genome, read_genome
+    from .sources.genome import GenomeError, check_genome, genome_blocks, genome_lines
     from .sources.lines import read_lines
     from .sources.ontology import Ontology, read_obo
     from .sources.scratch import written
@@ -68,8 +68,9 @@ def main(argv: list[str] | None = None) -> int:
                 print(f"only the first {a.max_findings} are listed", file=sys.stderr)
             return 2 if not rows or not index.filter("not well_formed").isEmpty() else 0
         if a.genome:
-            tables.genome = written(read_genome(spark, a.genome), "genome")
-            check_genome(tables.genome)
+            bases = genome_lines(spark, a.genome)
+            check_genome(bases)
+            tables.genome = written(genome_blocks(bases), "genome")
             tables.translation_table = a.translation_table or 1
         rules = engine.chosen(header=a.header, with_profile=a.profile, with_genome=bool(a.genome))
         found = written(engine.findings(spark, tables, rules), "findings")

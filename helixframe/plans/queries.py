@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 
 from ..operators import cycles, profile, suggestion
 from ..operators.catalogue import RULES
+from ..sources import genome
 from ..sources.annotation import Annotation
 from ..sources.scratch import folder
 from ..streaming import references
 from . import engine, oracle
 from .dialect import Duck
-from .synth import synth_tables
+from .synth import fasta_sql, synth_fasta, synth_tables
 
 Queries = dict[str, Callable[[SparkSession, str], DataFrame]]
 
@@ -103,6 +104,16 @@ def genome_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return synth_tables(spark, sf_dir)["coding"].select("file", "gen", "key", "bases")
 
 
+def genome_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What makes the FASTA lines of the orders unusable as a genome: each record's first line of each fault."""
+    return genome.genome_faults(synth_fasta(spark, sf_dir)).select("file", "rec", "fault", "line", "n", "about")
+
+
+def genome_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bases of each record of the same lines, by the blocks that coding rules read."""
+    return genome.genome_blocks(synth_fasta(spark, sf_dir), block=128).groupBy("name").agg(F.sum(F.length("bases")).alias("bases"), F.max(F.col("start0") + F.length("bases")).alias("longest"))
+
+
 def ontology_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many rows of each file name each term or one below it."""
     t = synth_tables(spark, sf_dir)
@@ -172,6 +183,28 @@ _EDGES = """SELECT DISTINCT r.file, r.rel, r.id, r.target FROM @ref r JOIN @firs
   LEFT JOIN @ref k ON k.file = r.file AND k.line_no = f.line_no AND k.rel = r.rel AND k.target = r.target WHERE r.line_no = f.line_no OR (r.type = f.type AND k.file IS NULL)"""
 
 
+#: FASTA lines with their record: written apart from ``sources/genome.py``, by windows over whole records.
+_FASTA = f"""WITH fasta AS ({fasta_sql(Duck())}),
+  b AS (SELECT *, rtrim(text, chr(13)) AS body, length(text) - length(rtrim(text, chr(13))) AS cr, max(line_no) OVER (PARTITION BY file) AS final FROM fasta),
+  r AS (SELECT *, length(body) AS n, body LIKE '>%' AS head, regexp_extract(body, '^>[ \\t\\r]*([^ \\t\\r]*)', 1) AS name, count(CASE WHEN body LIKE '>%' THEN 1 END) OVER (PARTITION BY file ORDER BY line_no) AS rec FROM b)"""
+_FAULTS = f"""{_FASTA},
+  f AS (SELECT file, rec, arg_min(n, line_no) AS n1, arg_min(cr, line_no) AS cr1 FROM r WHERE NOT head AND rec > 0 AND n > 0 GROUP BY file, rec),
+  s AS (SELECT r.file, r.rec, min(line_no) AS short FROM r JOIN f ON f.file = r.file AND f.rec = r.rec WHERE NOT head AND r.n < n1 GROUP BY r.file, r.rec),
+  h AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY file, line_no) AS nth FROM r WHERE head),
+  x AS (
+    SELECT r.file, r.rec, r.line_no, CASE WHEN body LIKE ';%' THEN 'a comment inside a record' WHEN regexp_matches(body, '[^A-Za-z*-]') THEN 'a sign that is no base'
+        WHEN r.line_no > short THEN 'bases after a shorter or blank line' WHEN r.n > n1 THEN 'a longer line than the record''s first'
+        WHEN r.n = n1 AND cr <> cr1 AND NOT (cr = 0 AND r.line_no = final) THEN 'line ends that change inside a record' END AS fault,
+      CASE WHEN body LIKE ';%' THEN NULL WHEN regexp_matches(body, '[^A-Za-z*-]') THEN regexp_extract(body, '[^A-Za-z*-]') WHEN r.line_no > short THEN CAST(short AS STRING) WHEN r.n > n1 THEN CAST(r.n AS STRING) END AS about
+    FROM r JOIN f ON f.file = r.file AND f.rec = r.rec LEFT JOIN s ON s.file = r.file AND s.rec = r.rec WHERE NOT head AND r.n > 0
+    UNION ALL SELECT file, rec, line_no, CASE WHEN name = '' THEN 'a header without a name' WHEN NOT valid_utf8 AND contains(name, chr(65533)) THEN 'a name that is not UTF-8' WHEN nth > 1 THEN 'a repeated name' END, name FROM h
+    UNION ALL SELECT file, rec, line_no, 'bases before the first header', NULL FROM r WHERE rec = 0 AND trim(body) <> '' AND body NOT LIKE ';%'
+    UNION ALL SELECT file, 0, max(line_no), 'no sequence', NULL FROM r GROUP BY file HAVING max(rec) = 0)
+  SELECT file, rec, fault, min(line_no) AS line, count(*) AS n, arg_min(about, line_no) AS about FROM x WHERE fault IS NOT NULL GROUP BY file, rec, fault"""
+_LENGTHS = f"""{_FASTA} SELECT name, CAST(sum(bases) AS BIGINT) AS bases, CAST(max(bases) AS BIGINT) AS longest FROM (
+  SELECT file, rec, max(CASE WHEN head THEN name END) AS name, sum(CASE WHEN head THEN 0 ELSE n END) AS bases FROM r WHERE rec > 0 GROUP BY file, rec) t GROUP BY name"""
+
+
 _SQL: dict[str, Callable[[], str]] = {
     "report_counts": lambda: f"SELECT file, rule, level, count(*) AS n_findings, min(line) AS first_line FROM ({_counted()}) y GROUP BY file, rule, level",
     "report_verdicts": lambda: f"""SELECT f.file, count(CASE WHEN level = 'error' THEN 1 END) AS n_error, count(CASE WHEN level = 'warning' THEN 1 END) AS n_warning,
@@ -195,10 +228,10 @@ _SQL: dict[str, Callable[[], str]] = {
 
 
 def queries() -> Queries:
-    out: Queries = {f.__name__: f for f in (report_counts, report_verdicts, report_counts_all, report_verdicts_all, epoch_running_count, fasta_records, feature_index_summary, feature_index_resolve, feature_index_well_formed, unresolved_references, scan_line_kinds, codon_scan, genome_slices, ontology_closure, profile_raised_levels, cycle_members, type_suggestions, stream_references)}
+    out: Queries = {f.__name__: f for f in (report_counts, report_verdicts, report_counts_all, report_verdicts_all, epoch_running_count, fasta_records, feature_index_summary, feature_index_resolve, feature_index_well_formed, unresolved_references, scan_line_kinds, codon_scan, genome_slices, ontology_closure, profile_raised_levels, cycle_members, type_suggestions, stream_references, genome_faults, genome_lengths)}
     return out | {name_of(r): _rule(r) for r in engine.implemented()}
 
 
 def oracle_sql() -> dict[str, str]:
-    out = {name: oracle.with_views(make()) for name, make in _SQL.items()}
+    out = {name: oracle.with_views(make()) for name, make in _SQL.items()} | {"genome_faults": _FAULTS, "genome_lengths": _LENGTHS}
     return out | {name_of(r): oracle.with_views(RULES[r].query(Duck())) for r in engine.implemented() if RULES[r].query}

@@ -7,6 +7,8 @@ numbered within a file with gaps, from the order's own rows: no global sort.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -89,13 +91,44 @@ MOTIF = "ATGGCATTCGACCTGATGAAACGTGGTCACTTAGCCGATATTCGGCAATCCTGTAAGCTTGA"
 GENOME_BLOCK, SEQUENCES, SHORT = 1_200, 20, 500
 
 
-def synth_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    views = {}
+def fasta_sql(d: Spark) -> str:
+    """(file, line_no, text, valid_utf8) over orders and lineitem: a record an order, a line of bases a line item, with every fault of a genome."""
+    width = "CASE h % 41 WHEN 0 THEN 30 WHEN 1 THEN 55 ELSE 50 END"
+    bases = f"substr('{MOTIF * 2}', CAST(a % 60 + 1 AS INT), {width})"
+    text = f"CASE h % 83 WHEN 2 THEN '' WHEN 3 THEN concat('AC GT', {bases}) WHEN 4 THEN concat({bases}, {d.chr(13)}) WHEN 5 THEN ';x' WHEN 6 THEN lower({bases}) ELSE {bases} END"
+    name = "concat('o', CAST(k AS STRING))"
+    head = f"CASE k % 97 WHEN 0 THEN '>' WHEN 1 THEN concat('> ', {name}) WHEN 2 THEN '>o1 again' WHEN 3 THEN ';no header' WHEN 4 THEN concat('>', {name}, '\ufffd z') WHEN 5 THEN concat('>', {name}, {d.chr(13)}) ELSE concat('>', {name}, ' order') END"
+    file = "concat('genome', CAST(f AS STRING))"
+    fixed = [
+        (-4, "'; made of orders'", "TRUE"), (-3, d.chr(13), "TRUE"), (-2, "CASE WHEN f % 3 = 1 THEN 'ACGT' ELSE ' ' END", "TRUE"),
+        (70000, "'>last'", "TRUE"), (70001, f"concat('ACGT', {d.chr(13)})", "TRUE"), (70002, "'TTTT'", "TRUE"),
+    ]
+    rest = " UNION ALL ".join(f"SELECT {file} AS file, CAST({n} AS BIGINT) AS line_no, {x} AS text, {v} AS valid_utf8 FROM files" for n, x, v in fixed)
+    return f"""
+    WITH r AS (
+      SELECT o_orderkey AS k, 0 AS s, CAST(0 AS BIGINT) AS a, CAST(0 AS BIGINT) AS b, CAST(0 AS DOUBLE) AS q, CAST(0 AS DOUBLE) AS p FROM orders
+      UNION ALL SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice FROM lineitem
+    ),
+    files AS (SELECT DISTINCT CAST(floor(o_orderkey / 1000) AS BIGINT) AS f FROM orders),
+    numbered AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY s, a, b, q, p) AS i FROM r),
+    hashed AS (SELECT *, k * 31 + i * 7 AS h, CAST(floor(k / 1000) AS BIGINT) AS f FROM numbered)
+    SELECT {file} AS file, CAST((k % 1000) * 64 + i AS BIGINT) AS line_no, CASE WHEN s = 0 THEN {head} ELSE {text} END AS text, s <> 0 OR k % 97 <> 4 AS valid_utf8 FROM hashed
+    UNION ALL {rest}
+    UNION ALL SELECT concat('bare', CAST(f AS STRING)), CAST(1 AS BIGINT), ';nothing', TRUE FROM files"""
+
+
+def synth_fasta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _over_tables(spark, sf_dir, fasta_sql(Spark()))
+
+
+def _over_tables(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
     for name in ("orders", "lineitem"):
-        views[name] = f"helix_synth_{name}"
-        spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(views[name])
-    text = lines_sql(Spark()).replace("FROM orders", f"FROM {views['orders']}").replace("FROM lineitem JOIN orders", f"FROM {views['lineitem']} JOIN {views['orders']}")
-    return spark.sql(text)
+        spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(f"helix_synth_{name}")
+    return spark.sql(re.sub(r"\b(FROM|JOIN) (orders|lineitem)\b", r"\1 helix_synth_\2", text))
+
+
+def synth_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _over_tables(spark, sf_dir, lines_sql(Spark()))
 
 
 _TABLES: dict[tuple[str, str], Annotation] = {}

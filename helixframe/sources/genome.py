@@ -1,51 +1,126 @@
-"""Genome sequences as a table of blocks, and ranges of bases by an equi-join on blocks."""
+"""Genome sequences as a table of blocks, faults of their lines, and ranges of bases by an equi-join on blocks."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .annotation import _SPACE, _words
-from .lines import read_lines, running_count
+from .lines import RUN_BLOCK, read_lines, running_count
 
 BLOCK = 1 << 16
+#: Faults that make a genome unusable, in the order in which a line is tried for them.
+FAULTS = (
+    "bases before the first header", "a header without a name", "a name that is not UTF-8", "a repeated name", "a comment inside a record",
+    "a sign that is no base", "bases after a shorter or blank line", "a longer line than the record's first", "line ends that change inside a record", "no sequence",
+)
 
 
 class GenomeError(Exception):
     """The genome is not a usable FASTA file."""
 
 
-def read_genome(spark: SparkSession, paths: str | list[str], block: int = BLOCK) -> DataFrame:
+def genome_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(file, line_no, text, valid_utf8): lines that LF ends, with any CR before it, as ``genome_faults`` looks at both."""
+    paths = [paths] if isinstance(paths, str) else list(paths)
+    if "-" in paths:
+        raise GenomeError("a genome is read twice and so not from standard input")
+    return read_lines(spark, paths, ends="\n")
+
+
+def _name(body: Column) -> Column:
+    return F.regexp_extract(body, r"^>\s*(\S*)", 1)
+
+
+def _recorded(lines: DataFrame) -> DataFrame:
+    """The lines with ``body`` (no CR at its end), ``head``, the record ``rec`` (0 before the first) and the run of lines ``_run``."""
+    lines = lines.withColumn("body", F.rtrim("text", F.lit("\r"))).withColumn("head", F.col("body").startswith(">"))
+    return running_count(lines, F.col("head"), "rec").withColumn("_run", F.floor(F.col("line_no") / RUN_BLOCK))
+
+
+def genome_faults(lines: DataFrame) -> DataFrame:
+    """(file, rec, fault, line, n, about) of lines (file, line_no, text, valid_utf8): the first line of each fault of a record, and how many there are.
+
+    A line has the first fault of ``FAULTS`` that applies. Before the first header there may be
+    blank lines and lines that begin with ``;``. In a record all lines but the last have the
+    length of the first one, and its number of CR; the last line of a file may end without any.
+    Names are unique over all files; a name counts as not UTF-8 if its line is not and the name
+    shows a replaced sign. A file without any header has the fault "no sequence"; one without
+    lines gives no row. What a line is held against (the record's first line, its earliest
+    shorter one) is found per run of lines and then among the runs, so no task holds a record.
+    """
+    rows = _recorded(lines)
+    key = ["file", "rec", "_run"]
+    n = F.length("body")
+    body = rows.filter("not head and rec > 0").select(*key, "line_no", "body", n.alias("n"), (F.length("text") - n).alias("cr"))
+    run = Window.partitionBy(*key)
+    record = Window.partitionBy("file", "rec")
+    first = body.groupBy(*key).agg(F.min(F.when(F.col("n") > 0, F.struct("line_no", "n", "cr"))).alias("_first")).withColumn("_first", F.min("_first").over(record))
+    last = rows.groupBy("file").agg(F.max("line_no").alias("_last"), F.min("line_no").alias("_begin"), F.max("rec").alias("_records"))
+    held = body.join(first, key).withColumn("_short", F.min(F.when(F.col("n") < F.coalesce("_first.n", F.lit(1)), F.col("line_no"))).over(run))
+    # the earliest shorter line of earlier runs; those of the line's own run are known already
+    shorter = held.groupBy(*key).agg(F.min("_short").alias("_s"))
+    earlier = record.orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
+    shorter = shorter.select(*key, F.min("_s").over(earlier).alias("_earlier")).join(last.select("file", "_last"), "file")
+    held = held.join(shorter, key)
+    short = F.coalesce(F.least("_short", "_earlier"), F.lit(1 << 62))
+    sign = F.regexp_extract("body", "[^A-Za-z*-]", 0)
+    ended = (F.col("cr") != F.col("_first.cr")) & ~((F.col("cr") == 0) & (F.col("line_no") == F.col("_last")))
+    fault = (
+        F.when(F.col("body").startswith(";"), FAULTS[4]).when(sign != "", FAULTS[5]).when(F.col("line_no") > short, FAULTS[6])
+        .when(F.col("n") > F.col("_first.n"), FAULTS[7]).when((F.col("n") == F.col("_first.n")) & ended, FAULTS[8])
+    )
+    about = F.when(fault == FAULTS[5], sign).when(fault == FAULTS[6], short.cast("string")).when(fault == FAULTS[7], F.col("n").cast("string"))
+    inside = held.filter("n > 0").select("file", "rec", fault.alias("fault"), "line_no", about.alias("about"))
+    # what a header is held against: the first one of its name
+    heads = rows.filter("head").select("file", "rec", "line_no", "valid_utf8", _name(F.col("body")).alias("name"))
+    origin = heads.groupBy("name").agg(F.min(F.struct("file", "line_no")).alias("_origin"))
+    heads = heads.join(origin, "name")
+    fault = (
+        F.when(F.col("name") == "", FAULTS[1]).when(~F.col("valid_utf8") & F.col("name").contains("\ufffd"), FAULTS[2])
+        .when(F.struct("file", "line_no") != F.col("_origin"), FAULTS[3])
+    )
+    named = heads.select("file", "rec", fault.alias("fault"), "line_no", F.col("name").alias("about"))
+    # bytes other than blanks, and no comment
+    early = rows.filter((F.col("rec") == 0) & F.col("body").rlike(r"\S") & ~F.col("body").startswith(";"))
+    early = early.select("file", "rec", F.lit(FAULTS[0]).alias("fault"), "line_no", F.lit(None).cast("string").alias("about"))
+    none = last.filter("_records = 0").select("file", F.lit(0).cast("long").alias("rec"), F.lit(FAULTS[9]).alias("fault"), F.col("_last").alias("line_no"), F.lit(None).cast("string").alias("about"))
+    every = inside.unionByName(named).unionByName(early).unionByName(none).filter("fault is not null")
+    return every.groupBy("file", "rec", "fault").agg(F.min("line_no").alias("line"), F.count(F.lit(1)).alias("n"), F.min_by("about", "line_no").alias("about"))
+
+
+def check_genome(lines: DataFrame) -> None:
+    """Raise ``GenomeError`` for the first fault of ``genome_lines``, or if there is no line at all."""
+    bad = genome_faults(lines).orderBy("file", "line").limit(1).collect()
+    if bad:
+        about = f" ({bad[0].about!r})" if bad[0].about else ""
+        raise GenomeError(f"genome {bad[0].file} line {bad[0].line}: {bad[0].fault}{about}")
+    if lines.isEmpty():
+        raise GenomeError("the genome has no sequence")
+
+
+def genome_blocks(lines: DataFrame, block: int = BLOCK) -> DataFrame:
     """(name, block_no, start0, bases): upper-case bases, ``start0`` before the block's first one.
 
     A line of bases belongs to the block in which it begins. Offsets are running sums inside
-    runs of lines, added up per record, so no task holds a sequence.
+    runs of lines, added up per record, so no task holds a sequence. A record without bases has
+    one empty block; lines before the first header are left out.
     """
-    lines = read_lines(spark, paths).withColumn("text", F.regexp_replace("text", f"{_SPACE}$", "")).filter("text <> ''")
-    head = F.col("text").startswith(">")
-    lines = running_count(lines, head, "rec").withColumn("head", head)
-    names = lines.filter("head").select("file", "rec", F.get(_words(F.substring("text", 2, 1 << 30)), F.lit(0)).alias("name"))
-    bases = lines.filter("not head").withColumn("n", F.length("text")).withColumn("_run", F.floor(F.col("line_no") / (1 << 16)))
+    lines = _recorded(lines).filter("rec > 0")
+    names = lines.filter("head").select("file", "rec", _name(F.col("body")).alias("name"))
+    bases = lines.filter("not head and body <> ''").withColumn("n", F.length("body"))
     within = Window.partitionBy("file", "rec", "_run").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy("file", "rec").orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
     offsets = bases.groupBy("file", "rec", "_run").agg(F.sum("n").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
     placed = bases.withColumn("_end", F.sum("n").over(within)).join(offsets, ["file", "rec", "_run"]).withColumn("start0", F.col("_before") + F.col("_end") - F.col("n"))
     rows = placed.withColumn("block_no", F.floor(F.col("start0") / block)).groupBy("file", "rec", "block_no")
-    made = rows.agg(F.min("start0").alias("start0"), F.array_sort(F.collect_list(F.struct("start0", "text"))).alias("x"))
-    made = made.join(names, ["file", "rec"], "left")
-    return made.select("name", "block_no", "start0", F.upper(F.array_join(F.col("x.text"), "")).alias("bases"))
+    made = rows.agg(F.min("start0").alias("start0"), F.array_sort(F.collect_list(F.struct("start0", "body"))).alias("x"))
+    made = names.join(made, ["file", "rec"], "left").na.fill({"block_no": 0, "start0": 0})
+    return made.select("name", "block_no", "start0", F.upper(F.coalesce(F.array_join(F.col("x.body"), ""), F.lit(""))).alias("bases"))
 
 
-def check_genome(blocks: DataFrame) -> None:
-    """Raise ``GenomeError`` for an empty genome, bases before a header, repeated names or other signs than letters."""
-    starts = blocks.filter("block_no = 0").groupBy("name").count()
-    if starts.isEmpty():
-        raise GenomeError("the genome has no sequence")
-    bad = starts.filter("name is null or name = '' or count > 1").limit(1).collect()
-    if bad:
-        raise GenomeError(f"sequence name {bad[0][0]!r} is missing or repeated")
-    if not blocks.filter(F.col("bases").rlike("[^A-Z*-]")).isEmpty():
-        raise GenomeError("a sequence holds signs that are no bases")
+def read_genome(spark: SparkSession, paths: str | list[str], block: int = BLOCK) -> DataFrame:
+    """``genome_blocks`` of files."""
+    return genome_blocks(genome_lines(spark, paths), block)
 
 
 def slices(ranges: DataFrame, blocks: DataFrame, keys: list[str], block: int = BLOCK) -> DataFrame:

@@ -33,15 +33,15 @@ def running_count(df: DataFrame, flag: Column, name: str, file: str = "file", li
     return counted.withColumn(name, F.col("_here") + F.col("_before")).drop("_block", "_flag", "_here", "_before")
 
 
-def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """(file, line_no, text, valid_utf8) of plain or gzip files; LF, CRLF and CR end lines.
+def read_lines(spark: SparkSession, paths: str | list[str], ends: str | None = None) -> DataFrame:
+    """(file, line_no, text, valid_utf8) of plain or gzip files; LF, CRLF and CR end lines, or ``ends`` alone.
 
     Gzip is known by its first bytes, not by the name; ``-`` is standard input. Line numbers
     are the rank inside an input block plus the lines of the file's earlier blocks. A
     truncated or corrupt file fails the job: nothing is skipped.
     """
     paths, named = readable(spark, [paths] if isinstance(paths, str) else list(paths))
-    raw = spark.read.option("wholetext", "false").text(paths)
+    raw = spark.read.text(paths, lineSep=ends)
     raw = raw.select(
         _shown(F.col("_metadata.file_path"), named).alias("file"),
         F.col("_metadata.file_block_start").alias("_start"),

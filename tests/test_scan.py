@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from helixframe.plans import engine, report
 from helixframe.sources.annotation import Annotation
-from helixframe.sources.genome import check_genome, read_genome, slices
+from helixframe.sources.genome import check_genome, genome_lines, read_genome, slices
 from helixframe.sources.lines import read_lines
 from helixframe.sources.ontology import Ontology, parse_obo
 
@@ -70,7 +70,7 @@ def test_genome_blocks(spark, tmp_path):
     bases = {"one": "ACGTACGTGGTTAACC" * 9, "two": "TTGACA"}
     (tmp_path / "g.fa").write_text("".join(f">{n} x\n" + "".join(s[k : k + 7] + "\n" for k in range(0, len(s), 7)) for n, s in bases.items()))
     blocks = read_genome(spark, str(tmp_path / "g.fa"), block=20)
-    check_genome(blocks)
+    check_genome(genome_lines(spark, str(tmp_path / "g.fa")))
     wanted = [(k, n, a, b) for k, (n, a, b) in enumerate([("one", 1, 144), ("one", 19, 23), ("one", 60, 60), ("two", 2, 5)])]
     got = slices(spark.createDataFrame(wanted, "k int, name string, st long, en long"), blocks, ["k"], block=20)
     assert {r.k: r.bases for r in got.collect()} == {k: bases[n][a - 1 : b] for k, n, a, b in wanted}
