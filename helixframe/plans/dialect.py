@@ -49,6 +49,10 @@ class Spark:
     def mod(self, a: str, b: str) -> str:
         return f"pmod({a}, {b})"
 
+    def below(self, n: str) -> str:
+        """A row for each number from 0 to below ``n``, which is above 0."""
+        return f"explode(sequence(CAST(0 AS BIGINT), CAST({n} AS BIGINT) - 1))"
+
 
 def _functional(sql: str) -> str:
     return re.sub(r"trim\(LEADING '0' FROM ([^()]+(?:\([^()]*\))?)\)", r"ltrim(\1, '0')", sql)
@@ -89,3 +93,6 @@ class Duck(Spark):
 
     def mod(self, a: str, b: str) -> str:
         return f"((({a}) % ({b})) + ({b})) % ({b})"
+
+    def below(self, n: str) -> str:
+        return f"unnest(range(CAST({n} AS BIGINT)))"

@@ -14,7 +14,7 @@ from ..sources import genome
 from ..sources.annotation import Annotation
 from ..sources.scratch import folder
 from ..streaming import references
-from . import engine, oracle
+from . import engine, oracle, plain
 from .dialect import Duck
 from .synth import fasta_sql, synth_fasta, synth_tables
 
@@ -234,4 +234,4 @@ def queries() -> Queries:
 
 def oracle_sql() -> dict[str, str]:
     out = {name: oracle.with_views(make()) for name, make in _SQL.items()} | {"genome_faults": _FAULTS, "genome_lengths": _LENGTHS}
-    return out | {name_of(r): oracle.with_views(RULES[r].query(Duck())) for r in engine.implemented() if RULES[r].query}
+    return out | {name_of(r): oracle.with_views(f"SELECT * FROM ({plain.SQL[r]}) x" if r in plain.SQL else RULES[r].query(Duck())) for r in engine.implemented() if RULES[r].query}

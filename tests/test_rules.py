@@ -203,3 +203,20 @@ def test_genome_names_and_lengths(spark):
     assert biology(spark, text, ["BIO-001", "BIO-002", "BIO-003"], chr1="ACGT") == [("BIO-001", 4), ("BIO-002", 3), ("BIO-003", 2)]
     assert biology(spark, text, ["BIO-001"], other="ACGT") == [("BIO-001", 3)]
     assert biology(spark, HEAD + GENE + row(type="mRNA", strand="-", attrs="ID=m;Parent=g1"), ["BIO-010"], chr1="A") == [("BIO-010", 3)]
+
+
+def test_exons_of_one_parent_over_bins(spark):
+    """Containment without pairs: ranges that begin in earlier bins, end elsewhere, are shared or hold nothing."""
+    w = 1 << 14
+    exons = [(5, 3 * w + 9), (w, w + 50), (w, w + 70), (2 * w, 2 * w + 5), (5 * w + 1, 5 * w + 90), (9, 10)]
+    coding = [(5, 9), (4, 9), (w, w + 70), (3 * w, 3 * w + 9), (3 * w, 3 * w + 10), (5 * w, 5 * w + 9), (5 * w + 1, 5 * w + 90), (5 * w + 2, 5 * w + 91), (8 * w, 8 * w), (2 * w, 4 * w)]
+    text = HEAD + "".join(row(type="exon", start=str(a), end=str(b), attrs=f"ID=e{k};Parent=m") for k, (a, b) in enumerate(exons))
+    text += "".join(row(type="CDS", start=str(a), end=str(b), phase="0", attrs=f"ID=c{k};Parent=m,other") for k, (a, b) in enumerate(coding))
+    at = len((HEAD + "x").split("\n")) + len(exons)
+    want = [("BIO-005", at + k) for k, (a, b) in enumerate(coding) if not any(x <= a and b <= y for x, y in exons)]
+    assert biology(spark, text, ["BIO-005"], chr1="A") == want and len(want) == 6
+    t = tables(spark, text)
+    t.genome = genome(spark, chr1="A")
+    for r in ("BIO-005", "BIO-006", "BIO-008"):
+        plan = engine.find(spark, t, r)._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in plan and "CartesianProduct" not in plan
