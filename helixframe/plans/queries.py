@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import cycles, profile, suggestion
 from ..operators.catalogue import RULES
-from ..sources import genome
+from ..sources import genome, rulebook
 from ..sources.annotation import Annotation
 from ..sources.scratch import folder
 from ..streaming import references
@@ -126,6 +126,23 @@ def profile_raised_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return engine.raised(found).select("file", "rule", "level", "core_level", "line", "n")
 
 
+def profile_compliance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per file: findings of the shipped profile by its own levels, and whether the file complies by the rules that the profile names."""
+    book = rulebook.read_profile(spark, "community")
+    tables = synth_tables(spark, sf_dir)
+    found = engine.findings(spark, tables, [*book.rules, *book.levels])
+    return engine.compliance(found, tables["line"], book).select("file", "profile_error", "profile_warning", "profile_info", "compliant")
+
+
+def ontology_used(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per file: the terms that its types name, and a checksum of them with all terms above each: the part of the ontology that it is judged by."""
+    t = synth_tables(spark, sf_dir)
+    used = t["feat"].select("file", "type").distinct().join(F.broadcast(t["typ"].filter("term is not null").select("type", "term")), "type").select("file", "term").distinct()
+    pairs = used.join(F.broadcast(t["so_up"]), "term").withColumn("pair", F.concat("term", F.lit("<"), "up"))
+    text = F.array_join(F.array_sort(F.collect_list("pair")), ",")  # at most the ontology's closure
+    return pairs.groupBy("file").agg(F.count_distinct("term").alias("n_terms"), F.sha2(text, 256).alias("sha256"))
+
+
 def cycle_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ids that lie on a cycle of parents or of origins."""
     t = synth_tables(spark, sf_dir)
@@ -183,6 +200,14 @@ def _counted() -> str:
     return " UNION ALL ".join(parts)
 
 
+#: Rules of the shipped profile by level: written apart from its file.
+_PROFILE_LEVELS = {"error": ("SO-001", "BIO-008", "AGB-009"), "warning": ("AGB-001", "AGB-002", "AGB-003", "AGB-007", "AGB-008", "AGB-012", "AGB-013"), "info": ("AGB-004", "AGB-005", "AGB-006", "AGB-010", "AGB-011")}
+
+
+def _profiled() -> str:
+    return " UNION ALL ".join(f"SELECT '{level}' AS level, file FROM ({_plain(r)}) x" for level, ids in _PROFILE_LEVELS.items() for r in ids)
+
+
 #: References between defined ids: of the first line of an id, and of later ones of its type that name another target.
 _EDGES = """SELECT DISTINCT r.file, r.rel, r.id, r.target FROM @ref r JOIN @first f ON f.file = r.file AND f.id = r.id JOIN @first d ON d.file = r.file AND d.id = r.target
   LEFT JOIN @ref k ON k.file = r.file AND k.line_no = f.line_no AND k.rel = r.rel AND k.target = r.target WHERE r.line_no = f.line_no OR (r.type = f.type AND k.file IS NULL)"""
@@ -226,6 +251,11 @@ _SQL: dict[str, Callable[[], str]] = {
     "genome_slices": lambda: "SELECT file, CAST(gen AS BIGINT) AS gen, key, bases FROM @coding",
     "ontology_closure": lambda: "SELECT f.file, u.up, count(*) AS n_rows FROM @feat f JOIN @typ t ON t.type = f.type AND t.current JOIN @so_up u ON u.term = t.term GROUP BY f.file, u.up",
     "profile_raised_levels": lambda: " UNION ALL ".join(f"SELECT file, '{r}' AS rule, 'error' AS level, '{RULES[r].level}' AS core_level, line, n FROM ({RULES[r].query(Duck())}) x" for r in profile.RAISED),
+    "profile_compliance": lambda: f"""SELECT f.file, count(CASE WHEN p.level = 'error' THEN 1 END) AS profile_error, count(CASE WHEN p.level = 'warning' THEN 1 END) AS profile_warning, count(CASE WHEN p.level = 'info' THEN 1 END) AS profile_info,
+        count(CASE WHEN p.level = 'error' THEN 1 END) = 0 AS compliant
+        FROM (SELECT DISTINCT file FROM @line) f LEFT JOIN ({_profiled()}) p ON p.file = f.file GROUP BY f.file""",
+    "ontology_used": lambda: """SELECT file, count(DISTINCT term) AS n_terms, sha256(string_agg(pair, ',' ORDER BY pair)) AS sha256 FROM (
+        SELECT DISTINCT f.file, t.term, concat(t.term, '<', u.up) AS pair FROM @feat f JOIN @typ t ON t.type = f.type JOIN @so_up u ON u.term = t.term) x GROUP BY file""",
     "cycle_members": lambda: f"SELECT file, rel, id FROM (WITH RECURSIVE e AS ({_EDGES}), w AS (SELECT file, rel, id, target FROM e UNION SELECT w.file, w.rel, w.id, e.target FROM w JOIN e ON e.file = w.file AND e.rel = w.rel AND e.id = w.target) SELECT DISTINCT file, rel, id FROM w WHERE id = target) x",
     "stream_references": lambda: " UNION ALL ".join(f"SELECT file, '{r}' AS rule, line, n FROM ({RULES[r].query(Duck())}) x" for r in ("GFF-STR-004", "GFF-STR-005", "GFF-DIR-003")),
     "scan_line_kinds": lambda: "SELECT file, kind, count(*) AS n_lines FROM @line GROUP BY file, kind",
@@ -233,7 +263,7 @@ _SQL: dict[str, Callable[[], str]] = {
 
 
 def queries() -> Queries:
-    out: Queries = {f.__name__: f for f in (report_counts, report_verdicts, report_counts_all, report_verdicts_all, epoch_running_count, fasta_records, feature_index_summary, feature_index_resolve, feature_index_well_formed, unresolved_references, scan_line_kinds, codon_scan, genome_slices, ontology_closure, profile_raised_levels, cycle_members, type_suggestions, stream_references, genome_faults, genome_lengths)}
+    out: Queries = {f.__name__: f for f in (report_counts, report_verdicts, report_counts_all, report_verdicts_all, epoch_running_count, fasta_records, feature_index_summary, feature_index_resolve, feature_index_well_formed, unresolved_references, scan_line_kinds, codon_scan, genome_slices, ontology_closure, profile_raised_levels, profile_compliance, ontology_used, cycle_members, type_suggestions, stream_references, genome_faults, genome_lengths)}
     return out | {name_of(r): _rule(r) for r in engine.implemented()}
 
 

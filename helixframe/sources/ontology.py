@@ -1,13 +1,18 @@
 """Term tables from a flat ontology file, with their two closures.
 
 At most a few thousand terms: they are parsed on the driver and broadcast. ``STARTER`` is a
-small ontology for use without a file; a full one is read with ``read_obo``.
+small ontology for use without a file; a full one is read with ``load_ontology``.
 """
 
 from __future__ import annotations
 
+import gzip
+import hashlib
+import json
 import re
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
+from pathlib import Path
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -99,13 +104,58 @@ def parse_obo(text: str) -> dict[str, Term]:
     return out
 
 
-def read_obo(spark: SparkSession, path: str) -> dict[str, Term]:
-    """Terms of a file that Spark can open; it is small and read whole."""
-    return parse_obo("\n".join(r[0] for r in spark.read.text(path, wholetext=True).collect()))
+class OntologyError(ValueError):
+    """A release that is not what its checksum says, or cannot be used."""
+
+
+#: Format of a release: ``release.json`` names a gzip file of terms in JSON beside it and its sha256.
+RELEASE = 1
+
+
+def write_release(terms: dict[str, Term], to: str | Path, **about: str) -> str:
+    """A release of the terms in a folder; gives the path of its ``release.json``."""
+    data = gzip.compress(json.dumps({t: asdict(x) for t, x in terms.items()}, sort_keys=True).encode(), mtime=0)
+    (Path(to) / "terms.json.gz").write_bytes(data)
+    release = {"format": RELEASE, "terms_file": "terms.json.gz", "terms_sha256": hashlib.sha256(data).hexdigest(), "terms": len(terms), **about}
+    (Path(to) / "release.json").write_text(json.dumps(release))
+    return str(Path(to) / "release.json")
+
+
+def _bytes(spark: SparkSession, path: str) -> bytes:
+    """A small file, whole."""
+    found = spark.read.format("binaryFile").load(path).select("content").collect()
+    if len(found) != 1:
+        raise OntologyError(f"{path} is not one file")
+    return bytes(found[0][0])
+
+
+def load_ontology(spark: SparkSession, path: str) -> Ontology:
+    """A verified release by its ``release.json``, or an OBO file; a release whose terms do not match its checksum is refused."""
+    data = _bytes(spark, path)
+    if not path.endswith(".json"):
+        text = data.decode("utf-8")
+        terms = parse_obo(text)
+        if not terms:
+            raise OntologyError(f"{path} has no terms")
+        head = dict(x.split(": ", 1) for x in text.split("[", 1)[0].splitlines() if ": " in x)
+        return Ontology(terms, {"source": path, "data_version": head.get("data-version"), "date": head.get("date"), "sha256": hashlib.sha256(data).hexdigest(), "bundled": False})
+    try:
+        release = json.loads(data)
+        file, digest, form = release["terms_file"], release["terms_sha256"], release["format"]
+    except (ValueError, KeyError, TypeError) as e:
+        raise OntologyError(f"{path} is no release: {e}") from e
+    if form != RELEASE or "/" in file:
+        raise OntologyError(f"{path} has an unknown format")
+    packed = _bytes(spark, f"{path.rsplit('/', 1)[0] if '/' in path else '.'}/{file}")
+    if hashlib.sha256(packed).hexdigest() != digest:
+        raise OntologyError(f"{file} does not match the sha256 in {path}")
+    terms = {t: Term(**x) for t, x in json.loads(gzip.decompress(packed)).items()}
+    return Ontology(terms, {"source": release.get("source", path), "data_version": release.get("data_version"), "date": release.get("date"), "sha256": digest, "bundled": True})
 
 
 class Ontology:
-    def __init__(self, terms: dict[str, Term] | None = None):
+    def __init__(self, terms: dict[str, Term] | None = None, about: dict[str, Any] | None = None):
+        self.about = about or ({"source": "starter", "sha256": hashlib.sha256(STARTER.encode()).hexdigest(), "bundled": True} if terms is None else {"source": "terms"})
         self.terms = starter() if terms is None else terms
         self.up = {t: self._closure([t], lambda x: self.terms[x].is_a if x in self.terms else []) for t in self.terms}
         direct = {t: [p for a in self.up[t] if a in self.terms for p in self.terms[a].part_of] for t in self.terms}

@@ -60,12 +60,30 @@ def test_lookups_and_listings(spark, tmp_path, capsys):
     assert status == 0 and [x.split("\t")[1:] for x in out.splitlines()] == [["2", "ctg7", "gene", "5", "80", "+", "locus\\1"], ["3", "ctg7", "mRNA", "5", "80", "+", "t1"]]
     assert run(capsys, "--list-features", "--max-findings", "1", at("a.gff3"))[1].count("\n") == 1
     assert run(capsys, "--list-features", at("bad.gff3"))[0] == 2
+    status, out = run(capsys, "--list-features", "--format", "json", at("a.gff3"), at("empty.gff3"))
+    data = json.loads(out)
+    assert status == 2 and [(x["layer"], x["feature_rows"]) for x in data["layers"]] == [("present", 2), ("absent", 0)] and [r["id"] for r in data["rows"]] == ["locus\\1", "t1"]
+    status, out = run(capsys, "--feature-id", "locus\\1", "--format", "json", at("a.gff3"))
+    assert status == 0 and [(m["outcome"], m["passes"], len(m["rows"])) for m in json.loads(out)] == [("found", True, 1)]
     assert run(capsys, "--list-profiles") == (0, "community\n")
     with pytest.raises(SystemExit) as e:
         main([])
     assert e.value.code == 2
 
 
+def test_a_profile_decides_the_status(spark, tmp_path, capsys):
+    """A file may be valid and not comply; files of profiles and ontologies that cannot be used end with 2."""
+    (tmp_path / "a.gff3").write_text(TEXT.replace("gene", "odd_type"))
+    at = str(tmp_path / "a.gff3")
+    assert run(capsys, at)[0] == 0
+    status, out = run(capsys, "--profile", "community", "--format", "json", at)
+    data = json.loads(out)
+    assert status == 1 and data["valid"] and not data["profile"]["compliant"] and [(f["rule"], f["level"]) for f in data["profile"]["findings"] if f["level"] == "error"] == [("SO-001", "error")]
+    (tmp_path / "p.yaml").write_text("id: x\n")
+    (tmp_path / "release.json").write_text("{}")
+    assert run(capsys, "--profile", str(tmp_path / "p.yaml"), at)[0] == run(capsys, "--profile", "nobody", at)[0] == run(capsys, "--ontology", str(tmp_path / "release.json"), at)[0] == 2
+
+
 def test_numbers_of_any_length(spark):
     """Coordinates, targets, gaps, regions and exceptions of 25 digits are judged, not lost, and stop nothing."""
     big, huge = "9" * 25, "1" + "0" * 30
