@@ -53,7 +53,7 @@ def _(d):
         JOIN {usable} u ON u.file = r.file AND u.id = r.target AND u.line_no > r.line_no
         WHERE r.rel = 'P' GROUP BY r.file, r.line_no, r.ord, r.type, r.target"""
     late = f"SELECT w.file, w.child, w.ctype, u.type AS ptype, w.met * 2 + 1 AS met, w.target, 1 AS late FROM ({waiting}) w JOIN {usable} u ON u.file = w.file AND u.id = w.target AND u.line_no = w.met"
-    edges = f"""(SELECT e.* FROM ({early} UNION ALL {late}) e JOIN @typ c ON c.type = e.ctype AND c.current JOIN @typ p ON p.type = e.ptype AND p.current
+    edges = f"""(SELECT {d.small('ok')}e.* FROM ({early} UNION ALL {late}) e JOIN @typ c ON c.type = e.ctype AND c.current JOIN @typ p ON p.type = e.ptype AND p.current
         LEFT JOIN (SELECT DISTINCT a.term AS child_term, b.term AS parent_term FROM @so_reach a JOIN @so_up b ON b.up = a.up) ok ON ok.child_term = c.term AND ok.parent_term = p.term
         WHERE ok.child_term IS NULL)"""
     return f"SELECT file, {d.least_by('child', 'met', 'child')} AS line, {_ONE}, count(*) AS n FROM {edges} x GROUP BY file, ctype, ptype"
