@@ -37,3 +37,12 @@ def test_a_rule_of_few_lines_writes_the_lines_once_and_shuffles_none(spark):
     assert [r.line for r in engine.find(spark, t, "GFF-DIR-004").collect()] == [43, 46]
     assert kept == ["lines", "marks"]
     assert "hashpartitioning" not in t["line"]._jdf.queryExecution().executedPlan().toString()
+
+
+def test_directives_and_regions_are_read_from_the_lines_once(spark):
+    kept = []
+    keep = lambda df, name: kept.append(name) or written(df, name)
+    rows = [("a", 1, "##sequence-region chr2 1 5"), ("a", 2, ROW.format(1)), ("a", 3, "##sequence-region chr2 1 9")]
+    t = Annotation(spark.createDataFrame(rows, "file string, line_no long, text string"), keep)
+    assert [r.line for r in engine.find(spark, t, "GFF-STR-009").collect()] == [2]
+    assert kept.count("dir") == kept.count("region") == 1
