@@ -86,6 +86,36 @@ def test_a_full_bucket_is_emptied_to_the_table(spark, tmp_path, files):
     assert max(r.rows for r in references.states(spark, out).collect()) <= 5 * 3
 
 
+def test_state_has_no_more_keys_for_more_files(spark, tmp_path):
+    every = numbered({f"f{k}": made(k, 12 + k % 5) for k in range(200)})
+    parts = [[x for x in every if x[1] <= 6], [x for x in every if x[1] > 6]]
+    out = run(spark, tmp_path, parts)
+    assert rows(references.findings(spark, out, str(tmp_path / "state"))) == batch_of(spark, every)
+    held = spark.read.format("statestore").option("path", str(tmp_path / "state")).option("stateVarName", "marks").load()
+    assert held.select("key").distinct().count() <= 64 * 3
+
+
+def test_files_are_settled_together_as_one_by_one():
+    import numpy as np
+    import pandas as pd
+
+    r = random.Random(4)
+    columns, parts = ["file", "kind", "id", "line_no"], {}
+    for file, closed in (("a", 0), ("b", 7), ("c", 3), ("d", 0)):
+        ends = sorted(r.sample(range(20, 60), 3)) if file != "c" else []
+        at = [x for x in range(1, 70) if x not in ends]
+        parts[file] = (closed, ends, pd.DataFrame([(file, r.choice(["def", "P", "D"]), r.choice("xyz"), x) for x in r.sample(at, 40)], columns=columns))
+    told = lambda df: sorted((x.file, x.kind, x.id, x.line_no, -1 if pd.isna(x.before) else int(x.before)) for x in df.reindex(columns=[*columns, "before"]).itertuples())
+    want = [[], []]
+    for file, (closed, ends, rows) in parts.items():
+        for k, df in enumerate(references.settle_epochs(rows, np.array(ends, dtype="int64"), closed)):
+            want[k] += told(df.assign(file=file))
+    marks = pd.DataFrame({"closed": {f: p[0] for f, p in parts.items()}})
+    ends = pd.DataFrame([(f, x) for f, p in parts.items() for x in p[1]], columns=["file", "line_no"])
+    both = references.settle_files(pd.concat([p[2] for p in parts.values()]).sample(frac=1, random_state=1), ends, marks)
+    assert [told(df) for df in both] == [sorted(x) for x in want] and any(x[4] > 0 for x in want[0])
+
+
 def test_idle_state_is_emptied(spark, tmp_path, files):
     every = numbered({"f2": files["f2"]})
     folder, out, schema = str(tmp_path / "in"), str(tmp_path / "out"), "file string, line_no long, text string"
