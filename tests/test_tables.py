@@ -2,7 +2,7 @@
 
 import pytest
 
-from helixframe.plans import engine
+from helixframe.plans import engine, synth
 from helixframe.sources import annotation, scratch
 from helixframe.sources.annotation import Annotation
 from helixframe.sources.scratch import written
@@ -95,3 +95,33 @@ def test_shuffles_get_more_partitions_as_tables_grow(spark, monkeypatch):
         assert "hashpartitioning(id" in (told := plan._jdf.queryExecution().executedPlan().toString()) and ", 20)" in told
     finally:
         spark.conf.unset(initial)
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_row_is_split_once_and_ids_are_listed_without_lambdas(spark):
+    attrs = ["Parent=a,,b%2Cc,;Derives_from=d", "Parent=,;ID=x%", "Parent=;Parent=q", "XParent=1", "Derives_from=%41,b", "ID=;Parent=p"]
+    rows = [("a", k, "chr1\ts\tgene\t1\t9\t.\t+\t.\t" + x) for k, x in enumerate(attrs, start=1)] + [("a", 8, "chr1\ts\tgene"), ("a", 9, "x\r\r"), ("a", 10, " \t\x85\u3000"), ("a", 11, "\x1f!")]
+    made = spark.createDataFrame(rows, "file string, line_no long, text string")
+    assert plan_of(Annotation(made)["parsed"]).count("split(text#") == plan_of(engine.feature_index(Annotation(made))).count("split(text#") == 1
+    t = Annotation(made, written)
+    assert {r.line_no: (r.parents, r.derives, r.id) for r in t["parsed"].collect()} == {
+        1: (["a", "b,c"], ["d"], None), 2: ([], [], "x%"), 3: ([], [], None), 4: ([], [], None), 5: ([], ["A", "b"], None), 6: (["p"], [], None)
+    }
+    assert {(r.line_no, r.rel, r.ord, r.target) for r in t["ref"].collect()} == {(1, "P", 0, "a"), (1, "P", 1, "b,c"), (1, "D", 0, "d"), (5, "D", 0, "A"), (5, "D", 1, "b"), (6, "P", 0, "p")}
+    assert "lambda" not in plan_of(t["ref"])
+    assert {r.line_no: (r.raw, r.kind) for r in t["line"].filter("line_no > 8").collect()} == {9: ("x", "feature"), 10: (" \t\x85\u3000", "blank"), 11: ("\x1f!", "feature")}
+
+
+def test_synthetic_lines_are_numbered_in_one_window(spark, tmp_path):
+    """An item stands once for every order of its key, and the numbers have no gap."""
+    order = "o_orderkey long, o_custkey long"
+    item = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_returnflag string, l_linestatus string"
+    spark.createDataFrame([(7, 1), (7, 2), (8, 3), (9, 4)], order).write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(7, 5, 6, 1, 3.0, 1.0, "R", "O"), (7, 5, 6, 2, 3.0, 1.0, "N", "O"), (8, 1, 2, 1, 3.0, 1.0, "N", "F"), (99, 1, 1, 1, 1.0, 1.0, "N", "O")], item).write.parquet(f"{tmp_path}/lineitem.parquet")
+    made = synth.synth_lines(spark, str(tmp_path))
+    assert plan_of(made).count("Window [") == 1
+    got = sorted(r.line_no for r in made.filter("line_no between 100 and 60000 and text <> '###'").collect())
+    assert got == [7 * 64 + 100 + i for i in range(1, 7)] + [8 * 64 + 101, 8 * 64 + 102, 9 * 64 + 101]
