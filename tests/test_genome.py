@@ -56,3 +56,21 @@ def test_a_record_without_bases_is_a_sequence(spark, tmp_path):
     (tmp_path / "g.fa").write_bytes(GOOD[0])
     found = genome.read_genome(spark, str(tmp_path / "g.fa")).collect()
     assert {r.name: r.bases for r in found} == {"a": "ACGTAC", "b": "ACGAC", "c": "", "d": "ACGT*-ACGTNN"}
+
+
+def test_records_over_many_runs(spark, monkeypatch):
+    """What a line is held against lies several runs before it; runs without a header, with one and with several."""
+    monkeypatch.setattr(genome, "RUN_BLOCK", 3)
+    text = [">a", "", "", "", "ACGT", "ACGT", "ACGT", "ACGT", "ACGTA", "AC", "ACGT", "ACGT", "ACGT", ">b", ">a", "ACG", "ACG", "ACG", "ACG\r", "ACGT", "ACG", "AC", ">c", "AC", "AC", "AC", "A", "", "AC"]
+    lines = spark.createDataFrame([("x", k, v, True) for k, v in enumerate(text, 1)], "file string, line_no long, text string, valid_utf8 boolean")
+    got = {(r.rec, r.fault): (r.line, r.n, r.about) for r in genome.genome_faults(lines).collect()}
+    assert got == {
+        (1, genome.FAULTS[6]): (5, 9, "2"), (3, genome.FAULTS[3]): (15, 1, "a"), (3, genome.FAULTS[8]): (19, 1, None), (3, genome.FAULTS[7]): (20, 1, "4"), (4, genome.FAULTS[6]): (29, 1, "27"),
+    }
+
+
+def test_lines_of_a_genome_are_made_once(spark, monkeypatch):
+    """Their plan is run for the table that is written; all that is asked of them is read from it."""
+    lines = spark.createDataFrame([("x", 1, ">a", True), ("x", 2, "AC", True)], "file string, line_no long, text string, valid_utf8 boolean")
+    plan = genome.genome_faults(lines)._jdf.queryExecution().optimizedPlan().toString()
+    assert "LogicalRDD" not in plan and "Relation" in plan
