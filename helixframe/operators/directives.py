@@ -25,11 +25,11 @@ def _(d):
 
 @rule("GFF-DIR-003", "error", "A reference is resolved only after a resolution line")
 def _(d):
-    return """
+    return f"""
     SELECT file, coalesce(p, q) AS line, CAST(NULL AS INT) AS field, CAST(1 AS BIGINT) AS n
     FROM (SELECT r.file, r.target, min(CASE WHEN r.rel = 'P' THEN r.line_no END) AS p, min(CASE WHEN r.rel = 'D' THEN r.line_no END) AS q,
                  min(r.gen) AS g, max(f.gen) AS defined
-          FROM @ref r JOIN @first f ON f.file = r.file AND f.id = r.target AND r.line_no <= f.line_no
+          FROM {d.met("r.line_no <= f.line_no")}
           GROUP BY r.file, r.target) x
     WHERE g < defined"""
 

@@ -47,9 +47,9 @@ def _(d):
 def _(d):
     """Judged when the parent is known: at the child, or at the parent's first usable later line."""
     usable = "(SELECT file, id, line_no, type FROM @node WHERE id IS NOT NULL AND type NOT IN ('', '.'))"
-    early = "SELECT r.file, r.line_no AS child, r.type AS ctype, f.type AS ptype, r.line_no * 2 AS met, r.target, 0 AS late FROM @ref r JOIN @first f ON f.file = r.file AND f.id = r.target AND f.line_no <= r.line_no WHERE r.rel = 'P'"
+    early = f"SELECT r.file, r.line_no AS child, r.type AS ctype, f.type AS ptype, r.line_no * 2 AS met, r.target, 0 AS late FROM {d.met('f.line_no <= r.line_no')} WHERE r.rel = 'P'"
     waiting = f"""SELECT r.file, r.line_no AS child, r.type AS ctype, r.target, min(u.line_no) AS met
-        FROM @ref r JOIN @first f ON f.file = r.file AND f.id = r.target AND f.line_no > r.line_no
+        FROM {d.met('f.line_no > r.line_no')}
         JOIN {usable} u ON u.file = r.file AND u.id = r.target AND u.line_no > r.line_no
         WHERE r.rel = 'P' GROUP BY r.file, r.line_no, r.ord, r.type, r.target"""
     late = f"SELECT w.file, w.child, w.ctype, u.type AS ptype, w.met * 2 + 1 AS met, w.target, 1 AS late FROM ({waiting}) w JOIN {usable} u ON u.file = w.file AND u.id = w.target AND u.line_no = w.met"

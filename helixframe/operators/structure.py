@@ -25,21 +25,21 @@ def _(d):
     return each("type = first_type AND parent_set <> first_parent_set", "@later")
 
 
-def _unresolved(rel: str) -> str:
+def _unresolved(d, rel: str) -> str:
     return f"""
     SELECT r.file, min(r.line_no) AS line, CAST(NULL AS INT) AS field, count(*) AS n
-    FROM @ref r LEFT JOIN @first f ON f.file = r.file AND f.id = r.target
+    FROM {d.sought()}
     WHERE f.id IS NULL AND r.rel = '{rel}' GROUP BY r.file, r.target"""
 
 
 @rule("GFF-STR-004", "error", "A parent is not in the file")
 def _(d):
-    return _unresolved("P")
+    return _unresolved(d, "P")
 
 
 @rule("GFF-STR-005", "error", "An origin is not in the file")
 def _(d):
-    return _unresolved("D")
+    return _unresolved(d, "D")
 
 
 RULES["GFF-STR-006"] = Rule("GFF-STR-006", "error", "Parents form a cycle", None)
